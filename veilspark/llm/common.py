@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import os
 import uuid
-import zlib
 from pathlib import Path
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,28 +54,13 @@ def text_or_empty(text: Column) -> Column:
 
 
 def word_hash(word: bytes) -> int:
-    """64 bits of a word, the same in every process: two CRCs with different starts, mixed."""
-    x = (zlib.crc32(word) << 32 | zlib.crc32(word, 0x9E3779B9) ^ len(word)) & 0xFFFFFFFFFFFFFFFF
-    x = (x ^ (x >> 31)) * 0x7FB5D329728EA185 & 0xFFFFFFFFFFFFFFFF
-    x = (x ^ (x >> 27)) * 0x81DADEF4BC2DD44D & 0xFFFFFFFFFFFFFFFF
-    return x ^ (x >> 33)
+    """64 bits of a word, the same in every process."""
+    return xxhash.xxh3_64_intdigest(word)
 
 
-class WordHashes(dict):
-    """Word to hash, kept for words seen before; forgets all when it grows over its limit, so memory stays bounded."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word):
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = word_hash(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
-        return h
-
-    def array(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list) -> np.ndarray:
+    """The same for a list of bytes or strings."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
