@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import cuckoo_dedup, decontam, kneser_ney, langid, licenses, pieces, pii, token_rollup, toxicity as severity
+from veilspark.llm import cuckoo_dedup, decontam, kneser_ney, langid, licenses, minhash, pieces, pii, token_rollup, toxicity as severity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_docs(spark, sf_dir))
+
+
 def op2_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo_dedup.exact_dedup(_docs(spark, sf_dir))
 
@@ -58,6 +62,6 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.rollup_of_corpus(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_cuckoo_dedup, op3_hyperdimensional_langid, op4_pii_spans, op5_template_decontamination, op6_toxicity_severity, op7_kneser_ney, op8_sentencepiece, op9_license_scan, op10_token_rollup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_cuckoo_dedup, op3_hyperdimensional_langid, op4_pii_spans, op5_template_decontamination, op6_toxicity_severity, op7_kneser_ney, op8_sentencepiece, op9_license_scan, op10_token_rollup)}
 
 ORACLES: dict[str, str] = {"op2_cuckoo_dedup": cuckoo_dedup.ORACLE}
