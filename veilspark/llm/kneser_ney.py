@@ -1,10 +1,11 @@
 """Language-model scores from an interpolated modified Kneser-Ney bigram model.
 
 Counting: each task hashes its tokens, counts bigrams and tokens in sorted runs of up to `RUN_TOKENS`
-tokens, and sends each run in pieces, one per hash range (shard), as packed arrays. A shard merges its pieces, writes its bigrams as
-sorted hash arrays and sends sums for contexts and continuations to the shards of their words, which
-write sorted arrays of words. So frequent words and pairs reach a shard once per run, and rows of
-Spark stay few and of similar size. Shards are as many as spark.sql.shuffle.partitions.
+tokens, and sends each run in pieces, one per shard, as packed arrays (each context once, with the number of its
+words). A shard merges its pieces, writes its bigrams as sorted hash arrays and sends sums for contexts and
+continuations to the shards of their words, which write sorted arrays of words. So frequent words and pairs
+reach a shard once per run, and rows of Spark stay few and of similar size. A context's bigrams lie in
+`SPREAD` shards, by their second word. Shards are as many as spark.sql.shuffle.partitions, rounded up to a multiple of SPREAD.
 
 Scoring: workers map the arrays into memory and look tokens up by binary search, sorted per chunk of texts.
 The store is a folder below spark.checkpoint.dir. A store that isn't a shared file system is copied
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import chunks, crc32_id, mix, prepare, shared_folder, text_or_empty, word_hash, word_hashes
 
-RUN_TOKENS = 3_000_000
+RUN_TOKENS = 4_000_000
+SPREAD = 4
 END, START = np.uint64(word_hash(b"\0end")), np.uint64(word_hash(b"\0start"))
 
 
@@ -66,6 +68,16 @@ def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def pair_shard(u: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
+    return shard_of(mix(u), shards // SPREAD) * SPREAD + (w % np.uint64(SPREAD)).astype(np.int64)
+
+
+def narrow(a: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest unsigned type that holds them."""
+    most = int(a.max(initial=0))
+    return a.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
 def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, ascending, with the sums of their values."""
     order = np.argsort(key, kind="stable")
@@ -117,16 +129,49 @@ class Store:
 PIECES = "kind string, shard int, key binary, more binary, n binary"
 
 
-def _pieces(kind: str, key: np.ndarray, more: np.ndarray, n: np.ndarray, shards: int) -> pd.DataFrame:
-    """One row per shard; key is ascending. more and n: one or more columns per key."""
+def _packed(a: np.ndarray) -> bytes:
+    """A type's width, then the numbers."""
+    a = narrow(a)
+    return bytes([a.itemsize]) + a.tobytes()
+
+
+def _unpacked(column: pd.Series) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b, f"u{b[0]}", offset=1).astype(np.int64) for b in column]) if len(column) else np.zeros(0, np.int64)
+
+
+def _pieces(kind: str, key: np.ndarray, n: np.ndarray, shards: int) -> pd.DataFrame:
+    """One row per shard of words; key is ascending, n has a number or a row of numbers for each."""
     at = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
-    rows = [(kind, s, key[a:b].tobytes(), more[a:b].tobytes(), n[a:b].tobytes()) for s, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b]
+    rows = [(kind, s, key[a:b].tobytes(), b"", _packed(n[a:b].ravel())) for s, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b]
+    return pd.DataFrame(rows, columns=["kind", "shard", "key", "more", "n"])
+
+
+def _pair_pieces(u: np.ndarray, w: np.ndarray, n: np.ndarray, shards: int) -> pd.DataFrame:
+    """One row per shard of pairs: key has the contexts, more the number of words of each and then the words."""
+    shard = pair_shard(u, w, shards)
+    order = np.lexsort((u, shard))
+    u, w, n, shard = u[order], w[order], n[order], shard[order]
+    at = np.searchsorted(shard, np.arange(shards + 1))
+    rows = []
+    for s, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+        if a < b:
+            first = np.flatnonzero(np.concatenate([[True], u[a + 1 : b] != u[a : b - 1]]))
+            sizes = np.diff(np.append(first, b - a)).astype(np.uint32)
+            rows.append(("pair", s, u[a:b][first].tobytes(), sizes.tobytes() + w[a:b].tobytes(), _packed(n[a:b])))
     return pd.DataFrame(rows, columns=["kind", "shard", "key", "more", "n"])
 
 
-def _joined(column: pd.Series, kind: type, width: int = 1) -> np.ndarray:
-    flat = np.frombuffer(b"".join(column), kind)
-    return flat.reshape(-1, width) if width > 1 else flat
+def _pairs(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    us, ws = [], []
+    for key, more in zip(x.key, x.more):
+        u = np.frombuffer(key, np.uint64)
+        us.append(np.repeat(u, np.frombuffer(more, np.uint32, len(u))))
+        ws.append(np.frombuffer(more, np.uint64, offset=4 * len(u)))
+    return np.concatenate(us), np.concatenate(ws)
+
+
+def _joined(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64)
 
 
 def _runs(shards: int):
@@ -137,9 +182,9 @@ def _runs(shards: int):
             w, u = (np.concatenate([h[i] for h in held]) for i in (0, 1))
             held.clear()
             word, n = np.unique(w, return_counts=True)
-            yield _pieces("word", word, np.zeros((len(word), 0), np.uint64), n.astype(np.uint32), shards)
-            key, first, n = np.unique(pair_key(u, w), return_index=True, return_counts=True)
-            yield _pieces("pair", key, np.column_stack([u[first], w[first]]), n.astype(np.uint32), shards)
+            yield _pieces("word", word, n, shards)
+            _, first, n = np.unique(pair_key(u, w), return_index=True, return_counts=True)
+            yield _pair_pieces(u[first], w[first], n, shards)
 
         for x in batches:
             for _, part in chunks(x.text.tolist()):
@@ -161,22 +206,21 @@ def _merge_runs(shards: int, folder: str):
 
     def merge(x: pd.DataFrame) -> pd.DataFrame:
         kind, shard = x.kind.iloc[0], int(x.shard.iloc[0])
-        key, n = _joined(x.key, np.uint64), _joined(x.n, np.uint32).astype(np.int64)
+        n = _unpacked(x.n)
         if kind == "word":
-            word, n = summed(key, n)
-            return _pieces("count", word, np.zeros((len(word), 0)), n, shards)
-        ends = _joined(x.more, np.uint64, 2)
-        key, first, at = np.unique(key, return_index=True, return_inverse=True)
+            return _pieces("count", *summed(_joined(x.key), n), shards)
+        u, w = _pairs(x)
+        key, first, at = np.unique(pair_key(u, w), return_index=True, return_inverse=True)
         n = np.bincount(at, n, len(key)).astype(np.int64)
-        u, w = ends[first, 0], ends[first, 1]
+        u, w = u[first], w[first]
         store = Store(folder)
         store.write(f"pair-key-{shard:06d}", key)
-        store.write(f"pair-n-{shard:06d}", n)
+        store.write(f"pair-n-{shard:06d}", narrow(n))
         context = summed(u, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
         follows = summed(w, np.ones(len(w), np.int64))
-        top = pd.DataFrame([("stat", -1, b"", b"", np.array([0, 0, 0, *((n == k).sum() for k in (1, 2, 3, 4)), 0, 0, 0, 0], np.float64).tobytes())], columns=["kind", "shard", "key", "more", "n"])
-        blank = lambda k: np.zeros((len(k), 0))
-        return pd.concat([_pieces("context", context[0], blank(context[0]), np.column_stack(context[1:]), shards), _pieces("follows", follows[0], blank(follows[0]), follows[1], shards), top], ignore_index=True)
+        stat = np.array([0, 0, 0, *((n == k).sum() for k in (1, 2, 3, 4)), 0, 0, 0, 0], np.float64)
+        top = pd.DataFrame([("stat", -1, b"", b"", stat.tobytes())], columns=["kind", "shard", "key", "more", "n"])
+        return pd.concat([_pieces("context", context[0], np.column_stack(context[1:]), shards), _pieces("follows", *follows, shards), top], ignore_index=True)
 
     return merge
 
@@ -191,15 +235,15 @@ def _merge_words(shards: int, folder: str):
         keys, rows = [], []
         for kind, at, width in (("count", 0, 1), ("follows", 1, 1), ("context", 2, 4)):
             own = x[x.kind == kind]
-            k = _joined(own.key, np.uint64)
+            k = _joined(own.key)
             r = np.zeros((len(k), 6), np.int64)
-            r[:, at : at + width] = _joined(own.n, np.int64).reshape(-1, width)
+            r[:, at : at + width] = _unpacked(own.n).reshape(-1, width)
             keys.append(k), rows.append(r)
         key, *columns = summed(np.concatenate(keys), *np.concatenate(rows).T)
         table = np.column_stack(columns) if columns else np.zeros((0, 6), np.int64)
         store = Store(folder)
         store.write(f"word-key-{shard:06d}", key)
-        store.write(f"word-n-{shard:06d}", table)
+        store.write(f"word-n-{shard:06d}", narrow(table))
         c, follows = table[:, 0], table[:, 1]
         return pd.DataFrame({"values": [[float(c.sum()), float((c > 0).sum()), float(follows.sum()), 0, 0, 0, 0, *(float((follows == k).sum()) for k in (1, 2, 3, 4))]]})
 
@@ -228,7 +272,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Counts all rows of docs; only eleven sums come to the driver."""
     spark: SparkSession = docs.sparkSession
     prepare(spark)
-    shards, folder = int(spark.conf.get("spark.sql.shuffle.partitions")), shared_folder(spark, "kneser-ney")
+    shards, folder = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // SPREAD) * SPREAD, shared_folder(spark, "kneser-ney")
     runs = docs.select(text_or_empty(docs[text_col]).alias("text")).mapInPandas(_runs(shards), PIECES)
     sums = runs.groupBy("kind", "shard").applyInPandas(_merge_runs(shards, folder), SUMS)
     stats = sums.groupBy("shard").applyInPandas(_merge_words(shards, folder), "values array<double>")
@@ -247,27 +291,28 @@ class Scorer:
         except FileNotFoundError:  # a shard that no key fell into
             return np.zeros(0, np.uint64), np.zeros((0, 6) if kind == "word" else 0, np.int64)
 
-    def look_up(self, kind: str, key: np.ndarray, width: int) -> np.ndarray:
-        """Rows of ascending distinct keys; zeros where there is none."""
+    def look_up(self, kind: str, key: np.ndarray, shard: np.ndarray, width: int) -> np.ndarray:
+        """Rows of ascending distinct keys in their shards; zeros where there is none."""
         out = np.zeros((len(key), width), np.int64)
-        shard = shard_of(key, self.model.shards)
-        for s in np.unique(shard).tolist():
-            a, b = np.searchsorted(shard, [s, s + 1])
-            keys, rows = self._open(kind, s)
+        order = np.argsort(shard, kind="stable")
+        at = np.searchsorted(shard[order], np.arange(self.model.shards + 1)).tolist()
+        for s in range(self.model.shards):
+            mine = order[at[s] : at[s + 1]]
+            keys, rows = self._open(kind, s) if len(mine) else ((), ())
             if len(keys):
-                at = np.minimum(np.searchsorted(keys, key[a:b]), len(keys) - 1)
-                hit = keys[at] == key[a:b]
-                out[a:b][hit] = rows[at[hit]].reshape(-1, width)
+                spot = np.minimum(np.searchsorted(keys, key[mine]), len(keys) - 1)
+                hit = keys[spot] == key[mine]
+                out[mine[hit]] = rows[spot[hit]].reshape(-1, width)
         return out
 
     def score_all(self, texts: list[str]) -> pd.DataFrame:
         m = self.model
         w, u, lens = sequences(texts)
         words, at = np.unique(np.concatenate([w, u]), return_inverse=True)
-        table = self.look_up("word", words, 6)
+        table = self.look_up("word", words, shard_of(words, m.shards), 6)
         own, before = table[at[: len(w)]], table[at[len(w) :]]
-        pairs, at = np.unique(pair_key(u, w), return_inverse=True)
-        c = self.look_up("pair", pairs, 1)[at, 0]
+        pairs, first, at = np.unique(pair_key(u, w), return_index=True, return_inverse=True)
+        c = self.look_up("pair", pairs, pair_shard(u[first], w[first], m.shards).astype(np.uint32), 1)[at, 0]
         follows, total = own[:, 1], before[:, 2]
         word_d, pair_d = np.array([0, *m.word_d]), np.array([0, *m.pair_d])
         low = np.maximum(follows - word_d[np.minimum(follows, 3)], 0) / max(1, m.pairs) + m.left / (m.types + 1)
