@@ -4,8 +4,8 @@ Texts become sequences of template words: numbers, units and names are replaced
 other words are lower-cased. Windows of `WINDOW` template words (a shorter item is one window of its own
 length, from `LEAST` words on) are hashed and joined with the windows of the benchmark. Windows in which
 fewer than half of the words are literal don't count. Hits of one item at one alignment form a run; its slots
-must be consistent: a value of the item always stands for the same value of the text, and the other way
-round. Items whose numbers or names were changed are thus still found, chance mixtures are not.
+must be consistent: a value of the item stands for one value of the text, and the other way round; windows
+with another one don't count. Items whose numbers or names were changed are thus still found, chance mixtures are not.
 
 A document is contaminated by an item if consistent windows at one alignment cover at least `COVERAGE` of the item's windows,
 or a stretch of at least `STRETCH` template words.
@@ -138,27 +138,21 @@ class TemplateIndex:
             self.by_size[size] = (hashes, bits, [x[1:] for x in r])
 
 
-def consistent(pairs: list[tuple[int, str, str]]) -> bool:
-    """Slots (type, item's value, text's value): one to one for each type."""
-    there, back = {}, {}
-    return all(there.setdefault((k, a), b) == b and back.setdefault((k, b), a) == a for k, a, b in pairs)
-
-
 def runs_of(size: int, spots: list[int], kind: np.ndarray, ours: list[str], theirs: list[str], shift: int) -> tuple[int, int]:
-    """Most windows that are consistent together, and the longest consistent stretch of template words. spots: the item's
-    windows that hit at this alignment. Inconsistent runs are divided where a slot contradicts an earlier one."""
-    best = stretch = 0
-    taken, pairs = [], []
-    for p in spots:
-        slots = [(int(kind[i]), ours[i], theirs[i + shift]) for i in range(p, p + size) if kind[i]]
-        if not consistent(pairs + slots):
-            best, stretch = max(best, len(taken)), max(stretch, _stretch(taken, size))
-            taken, pairs = [], []
-            if not consistent(slots):
-                continue
-        taken.append(p)
-        pairs += slots
-    return max(best, len(taken)), max(stretch, _stretch(taken, size))
+    """How many windows are consistent, and the longest consistent stretch of template words. spots: the item's windows that
+    hit at this alignment. Each place of a slot votes for what its value stands for, both ways (of equal votes the first
+    place's holds); windows with a slot that is against the outcome don't count."""
+    places = sorted({i for p in spots for i in range(p, p + size) if kind[i]})
+    votes: tuple[dict, dict] = ({}, {})
+    for i in places:
+        k, a, b = int(kind[i]), ours[i], theirs[i + shift]
+        for table, x, y in ((votes[0], a, b), (votes[1], b, a)):
+            count = table.setdefault((k, x), {})
+            count[y] = count.get(y, 0) + 1
+    there, back = ({x: max(c, key=c.get) for x, c in v.items()} for v in votes)
+    bad = {i for i in places if there[int(kind[i]), ours[i]] != theirs[i + shift] or back[int(kind[i]), theirs[i + shift]] != ours[i]}
+    taken = [p for p in spots if not any(i in bad for i in range(p, p + size))]
+    return len(taken), _stretch(taken, size)
 
 
 def _stretch(spots: list[int], size: int) -> int:
