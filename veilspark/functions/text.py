@@ -73,9 +73,15 @@ def nfkc(c: Column) -> Column:
     return _ascii_or(c, c, _vectorised(lambda t: unicodedata.normalize("NFKC", t)))
 
 
+def _chain(t: str) -> str:
+    """The whole chain for a text that isn't ASCII."""
+    t = unicodedata.normalize("NFKC", t).translate({0x3000: " "} | {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)})
+    return t.translate(dict.fromkeys(map(ord, V.ZERO_WIDTH))).translate(str.maketrans(*V.HOMOGLYPHS)).casefold()
+
+
 def unicode_chain(c: Column) -> Column:
-    """NFKC, half width, no zero width, look-alikes replaced, case folded."""
-    return casefold(homoglyphs(drop_zero_width(half_width(nfkc(c)))))
+    """NFKC, half width, no zero width, look-alikes replaced, case folded. Of ASCII texts only the letter case changes."""
+    return _ascii_or(c, F.lower(c), _vectorised(_chain))
 
 
 def strip_symbols(c: Column) -> Column:
@@ -135,9 +141,9 @@ def _percent(t: Column) -> Column:
     return F.try_url_decode(safe)
 
 
-def alias_hits(c: Column, aliases: dict[str, list[str]] = V.ALIASES) -> Column:
+def alias_hits(c: Column, aliases: dict[str, list[str]] = V.ALIASES, folded: bool = False) -> Column:
     """(canonical, language) for each notion with an alias in the text, or in the text without blanks; its first alias decides the language."""
-    x = casefold(c)
+    x = c if folded else casefold(c)
     packed = F.regexp_replace(x, f"{WHITE}+", "")
     hits = []
     for canonical, words in aliases.items():
@@ -162,7 +168,7 @@ def normalise(c: Column) -> Column:
     spaced = whitespace(c)
     normal = unicode_chain(spaced)
     bare = strip_symbols(normal)
-    codes, aliases, rebuilt = decoded(c), alias_hits(normal), rebuild_hits(c)
+    codes, aliases, rebuilt = decoded(c), alias_hits(normal, folded=True), rebuild_hits(c)
     flag = lambda cond, name: F.when(cond, F.lit(name))
     flags = F.array_compact(F.array(
         flag(confusable(c), "unicode_confusable_detected"),
@@ -178,7 +184,7 @@ def normalise(c: Column) -> Column:
     return F.struct(
         c.alias("raw_text"),
         normal.alias("normalized_text"),
-        casefold(normal).alias("casefold_text"),
+        normal.alias("casefold_text"),
         compact(normal).alias("compact_text"),
         bare.alias("symbol_stripped_text"),
         F.array_distinct(F.array_compact(F.array(codes["base64"], codes["url"], codes["hex"]))).alias("decoded_candidates"),
