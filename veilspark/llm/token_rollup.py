@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import prepare, shared_folder, text_or_empty
+from veilspark.llm.common import cut, prepare, shared_folder, text_or_empty
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["docs", "tokens", "chars"]
@@ -72,7 +72,7 @@ def revisions(old: DataFrame, old_tokenizer: str, new: DataFrame, new_tokenizer:
 
 
 def _signed(counted: DataFrame, tokenizer: str, sign) -> DataFrame:
-    return counted.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), sign.cast("long").alias("docs"), (sign * F.col("tokens")).cast("long").alias("tokens"), (sign * F.length(text_or_empty(F.col("text")))).cast("long").alias("chars"))
+    return counted.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), sign.cast("long").alias("docs"), (sign * F.col("tokens")).cast("long").alias("tokens"), (sign * (F.col("chars") if "chars" in counted.columns else F.length(text_or_empty(F.col("text"))))).cast("long").alias("chars"))
 
 
 class TokenRollup:
@@ -144,10 +144,12 @@ def rollup_of_corpus(docs: DataFrame, vocabulary: str, pattern: str, bpe_name: s
     """Totals of a corpus: one batch inserts provisional word counts under the BPE's name, a second revises them to
     BPE counts and inserts the word counts under their own name; a retry of the second changes nothing."""
     rollup = TokenRollup(docs.sparkSession)
-    rows = docs.select("source", "lang", "text")
-    words = word_counts(rows)
+    rows = docs.select("source", "lang", "text", F.length(text_or_empty(docs["text"])).alias("chars"))
+    both = bpe_counts(word_counts(rows, out_col="words"), vocabulary, pattern, out_col="bpe").select("source", "lang", "chars", "words", "bpe")
+    both = cut(both)  # counted once; a few numbers for each document
+    words, bpe = both.withColumn("tokens", F.col("words")), both.withColumn("tokens", F.col("bpe"))
     rollup.commit("provisional", inserts(words, bpe_name))
-    revised = revisions(words, bpe_name, bpe_counts(rows, vocabulary, pattern), bpe_name).unionByName(inserts(words, words_name))
+    revised = revisions(words, bpe_name, bpe, bpe_name).unionByName(inserts(words, words_name))
     rollup.commit("revised", revised)
     rollup.commit("revised", revised)
     rollup.compact()
