@@ -107,27 +107,30 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     rows = docs.select(docs[id_col].alias("__id"), text_or_empty(docs[text_col]).alias("__text")).join(F.broadcast(sample), "__id")  # at most max_labelled rows of 16 bytes
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            words = [WORD.findall(t.lower()) for t in x["__text"]]
-            counts = [Counter(w) for w in words]
-            yield pd.DataFrame({
-                "id": x["__id"], "toxic": x["__toxic"].astype("int32"), "marks": [signatures(w) for w in words], "total": [len(w) for w in words],
-                "words": [list(c) for c in counts], "counts": [list(c.values()) for c in counts],
-            })
-
-    table = cut(rows.mapInPandas(counted, "id long, toxic int, marks array<long>, total long, words array<string>, counts array<long>"))
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                x = batch.iloc[at : at + 200]
+                words = [WORD.findall(t.lower()) for t in x["__text"]]
+                counts = [Counter(w) for w in words]
+                yield pd.DataFrame({
+                    "id": x["__id"].to_numpy(), "toxic": x["__toxic"].to_numpy("int32"), "marks": [signatures(w) for w in words], "total": [len(w) for w in words],
+                    "words": [list(c) for c in counts], "counts": [list(c.values()) for c in counts],
+                })
+
+    table = rows.mapInPandas(counted, "id long, toxic int, marks array<long>, total long, words array<string>, counts array<long>")
+    table = cut(table.withColumn("row", F.monotonically_increasing_id()))  # fixed by the checkpoint
     seen: set[tuple[int, int]] = set()
     kept, n_toxic = [], 0
-    for r in sorted(table.select("id", "toxic", "marks").distinct().collect(), key=lambda r: (r.id, r.toxic)):
+    for r in sorted(table.select("row", "id", "toxic", "marks").collect(), key=lambda r: (r.id, -r.toxic, r.marks)):
         marks = set(enumerate(r.marks))
         if not marks & seen:
-            kept.append(r.id)
+            kept.append(r.row)
             n_toxic += r.toxic > 0
         seen |= marks
     if not n_toxic or n_toxic == len(kept):
         return SeverityModel()
-    keep = table.sparkSession.createDataFrame([(i,) for i in kept], "id long")
-    table = table.join(F.broadcast(keep), "id").dropDuplicates(["id"])
+    keep = table.sparkSession.createDataFrame([(i,) for i in kept], "row long")
+    table = table.join(F.broadcast(keep), "row")  # at most max_labelled rows of 8 bytes
     rate = n_toxic / len(kept)
     by_word = table.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("k"))
     by_word = cut(by_word.filter("n > 1"))
@@ -141,22 +144,24 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     index = {w: i for i, w in enumerate(words)}
     lexicon = F.array(*map(F.lit, words))
     pairs = F.filter(F.arrays_zip("words", "counts"), lambda z: F.array_contains(lexicon, z["words"]))
-    x, toxic, share = [], [], []
-    for r in table.select("id", "toxic", "total", pairs.alias("pairs")).orderBy("id").collect():
-        row = np.zeros(len(words) + 1)
+    table = cut(table.select("id", "toxic", "total", pairs.alias("pairs")))
+    empty = {r.bad: r["count"] for r in table.filter(F.size("pairs") == 0).groupBy((F.col("toxic") > 0).alias("bad")).count().collect()}
+    rows = table.filter(F.size("pairs") > 0).orderBy("id").collect()
+    x, number = np.zeros((len(rows) + 2, len(words) + 1), np.float32), np.ones(len(rows) + 2)
+    toxic, share = np.zeros(len(rows) + 2, bool), np.zeros(len(rows) + 2)
+    for i, r in enumerate(rows):
         for z in r.pairs:
-            row[index[z["words"]]] = 1 + math.log(z["counts"])
-        share.append(sum(z["counts"] for z in r.pairs) / max(1, r.total))
-        row[-1] = share_feature(share[-1])
-        x.append(row), toxic.append(r.toxic > 0)
-    x, toxic, share = np.array(x), np.array(toxic), np.array(share)
+            x[i, index[z["words"]]] = 1 + math.log(z["counts"])
+        share[i] = sum(z["counts"] for z in r.pairs) / max(1, r.total)
+        x[i, -1] = share_feature(share[i])
+        toxic[i] = r.toxic > 0
+    toxic[-1] = True  # the last two rows stand for all clean and all toxic rows without any of the words
+    number[-2:] = [max(empty.get(False, 0), 1e-6), max(empty.get(True, 0), 1e-6)]
     some = share[toxic & (share > 0)]
     thirds = np.quantile(some, [1 / 3, 2 / 3]) if len(some) else np.array([0.0, 0.0])
     grade = np.where(toxic, 1 + (share > thirds[0]).astype(int) + (share > thirds[1]), 0)
-    grade[toxic & (share == 0)] = 1
-    # equal rows once, with their number
-    both, number = np.unique(np.column_stack([x, grade]), axis=0, return_counts=True)
-    weights, cuts = fit_ordinal(both[:, :-1], both[:, -1].astype(int), number.astype(float))
+    grade[-1] = 1
+    weights, cuts = fit_ordinal(x, grade, number)
     return SeverityModel(words, weights, cuts)
 
 
