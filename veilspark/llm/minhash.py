@@ -10,9 +10,10 @@ the largest idf, and of these there are at most 64 times the mean number of dist
    from pools of 65,536 values. Two texts of weighted Jaccard similarity 0.8 share a band with probability 0.9992.
 2. Texts of equal words are one node. Nodes that share a band are a bucket. A bucket's most connected node
    leads it; every other node is compared with its leaders (a star, not all pairs).
-3. A link inside a bucket that its leader can't show is still looked for: nodes that don't link with the leader
-   are compared with the bucket's other nodes, but for those that can't link because the distance 1 - similarity is a metric
-   (distances to the leader differ by more than 0.2), and those already in the same component.
+3. A link inside a bucket that its leader can't show is still looked for. Buckets that hold several components after
+   that go through prefix filtering: in one order of all shingles, rare ones first, two texts of similarity 0.8 or more share a
+   shingle among the first ones that weigh a fifth of either text. Pairs of different components that do, and whose weights may
+   fit, are compared. No link between texts that share a bucket is lost, and texts whose differences are their own make no pairs.
 4. Linked nodes form components (large-star and small-star rounds), and a component's class id is its smallest id.
 
 Defined results: texts without a word (null and empty ones too) are classes of their own; repeated rows share a
@@ -57,6 +58,18 @@ def bucket_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+class SparseTable:
+    """An array of mostly one value, small to send; `dense` gives the array."""
+
+    def __init__(self, size: int, rest: float, index: np.ndarray, values: np.ndarray):
+        self.size, self.rest, self.index, self.values = size, rest, index, values
+
+    def dense(self) -> np.ndarray:
+        out = np.full(self.size, self.rest, self.values.dtype)
+        out[self.index] = self.values
+        return out
+
+
 # ---- document frequencies ---------------------------------------------------------------------------
 
 
@@ -77,14 +90,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[some], docs))], names=["bucket", "n"])
 
 
-def idf_table(docs: DataFrame) -> np.ndarray:
+def idf_table(docs: DataFrame) -> SparseTable:
     """idf of every bucket of the sketch. Only buckets over the floor come to the driver, of which there are few."""
     counts = cut(docs.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
     total = (counts.filter("bucket = -1").agg(F.sum("n").alias("n")).first().n) or 1
-    idf = np.full(1 << SKETCH_BITS, 1 + math.log(1 / FLOOR), np.float32)
-    for r in counts.filter((F.col("bucket") >= 0) & (F.col("n") > FLOOR * total)).collect():
-        idf[r.bucket] = 1 + math.log(total / r.n)
-    return idf
+    common = counts.filter((F.col("bucket") >= 0) & (F.col("n") > FLOOR * total)).toArrow()
+    n = common.column("n").to_numpy().astype(np.float64)
+    return SparseTable(1 << SKETCH_BITS, 1 + math.log(1 / FLOOR), common.column("bucket").to_numpy(), (1 + np.log(total / n)).astype(np.float32))
 
 
 # ---- shingles and samples ---------------------------------------------------------------------------
@@ -142,9 +154,9 @@ class Sampler:
         return mix(out)
 
 
-def _signed(idf: np.ndarray):
+def _signed(table: SparseTable):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler()
+        sampler, idf = Sampler(), table.dense()
         for b in batches:
             ids, texts = b.column("doc_id"), b.column("text").to_pylist()
             digests, rows = [], []
@@ -175,8 +187,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (float(a[1].sum(dtype=np.float64)) + float(b[1].sum(dtype=np.float64)) - both)
 
 
-def _compared(idf: np.ndarray):
+def _compared(table: SparseTable):
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = table.dense()
         recent: OrderedDict[bytes, tuple[np.ndarray, np.ndarray]] = OrderedDict()
 
         def features(node: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -203,14 +216,66 @@ def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array([digest_of(words_of(t)) == n for n, t in zip(b.column("node").to_pylist(), b.column("text").to_pylist())], pa.bool_()))
 
 
+# ---- prefixes -----------------------------------------------------------------------------------------
+
+ORDER_BITS = 22
+
+
+def _place(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+
+
+def _shingle_counts(table: SparseTable):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = table.dense()
+        n = np.zeros(1 << ORDER_BITS, np.int64)
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                words = words_of(t)
+                np.add.at(n, _place(shingles(words, word_hashes(words), idf)[0]), 1)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some].astype(np.int32))], names=["place", "n"])
+
+    return counted
+
+
+def shingle_order(texts: DataFrame, idf: SparseTable) -> SparseTable:
+    """For each place of hashed shingles its count if that is over one, else 0. At most 2^22 places of 12 bytes come to the driver."""
+    counts = texts.select("text").mapInArrow(_shingle_counts(idf), "place int, n int").groupBy("place").agg(F.sum("n").alias("n")).filter("n > 1")
+    many = counts.select("place", F.least("n", F.lit(2**32 - 1)).alias("n")).toArrow()
+    return SparseTable(1 << ORDER_BITS, 0, many.column("place").to_numpy(), many.column("n").to_numpy().astype(np.uint32))
+
+
+def prefix(h: np.ndarray, weight: np.ndarray, order: np.ndarray, similar: float) -> np.ndarray:
+    """The first shingles in the order, until the rest weighs less than the share `similar` of all."""
+    by = np.lexsort((h, order[_place(h)]))
+    at = np.cumsum(weight[by].astype(np.float64))
+    k = int(np.searchsorted(at, (1 - similar + 1e-6) * at[-1], "right")) + 1
+    return h[by[:k]]
+
+
+def _prefixed(table: SparseTable, ranks: SparseTable, similar: float):
+    def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, order = table.dense(), ranks.dense()
+        for b in batches:
+            rows, total = [], []
+            for t in b.column("text").to_pylist():
+                words = words_of(t)
+                h, w = shingles(words, word_hashes(words), idf)
+                rows.append(prefix(h, w, order, similar).view(np.int64))
+                total.append(float(w.sum(dtype=np.float64)))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(total), pa.array(rows, pa.list_(pa.int64()))], names=["node", "total", "shingles"])
+
+    return prefixed
+
+
 # ---- components -------------------------------------------------------------------------------------
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for all nodes of links (a, b); a component is called after its smallest node.
 
-    Large-star and small-star rounds until nothing changes; every table of a round is written to the shared folder,
-    so that joins on a node with very many links can be split.
+    Large-star and small-star rounds until nothing changes. A round is one job, written to the shared folder.
     """
     e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     mark = None
@@ -220,9 +285,9 @@ def components(links: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
         mark = tuple(now)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
 
@@ -238,37 +303,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(docs.mapInArrow(_signed(idf), "doc_id long, node binary, bands array<long>"))
     nodes = cut(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
 
-    # buckets of two or more, and their leaders
+    # buckets of two or more, and their members by how connected they are
     member = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = cut(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    member = cut(member.join(sizes, "bucket"))
+    member = member.join(sizes, "bucket")
     rank = member.groupBy("node").agg(F.sum("size").alias("rank"))
     member = cut(member.join(rank, "node").select("bucket", "node", "rank"))
-    lead = cut(member.groupBy("bucket").agg(F.max(F.struct("rank", "node"))["node"].alias("leader")))
-    member = cut(member.join(lead, "bucket").select("bucket", "node", "leader"))
 
     needed = member.select("node").distinct().join(nodes.select("node", "rep"), "node")
     texts = cut(docs.join(needed, docs["doc_id"].eqNullSafe(needed["rep"])).select("node", "text").mapInArrow(_own_text, "node binary, text string").dropDuplicates(["node"]))
 
     def compare(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs."""
         x = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         x = x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return cut(x.select("a", "b", "text_a", "text_b").mapInArrow(_compared(idf), "a binary, b binary, similarity double"))
-
-    stars = compare(member.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-    linked = F.col("similarity") >= similar - 1e-9
-    part = cut(components(stars.filter(linked)))
-
-    # what the leaders can't show
-    apart = F.lit(1 - similar + 1e-6)
-    seen = member.join(stars.select(F.col("a").alias("node"), F.col("b").alias("leader"), "similarity"), ["node", "leader"]).select("bucket", "node", "similarity")
-    seen = cut(seen.join(part, "node", "left").select("bucket", "node", "similarity", F.coalesce("component", "node").alias("component")))
-    open_ = seen.filter(~linked).select("bucket", F.col("node").alias("a"), F.col("similarity").alias("s"), F.col("component").alias("c"))
-    other = seen.select("bucket", F.col("node").alias("b"), F.col("similarity").alias("t"), F.col("component").alias("d"))
-    may = (F.col("c") != F.col("d")) & (F.abs(F.col("s") - F.col("t")) <= apart) & ((F.col("t") >= similar - 1e-9) | (F.col("a") < F.col("b")))
-    rest = cut(open_.join(other, (open_["bucket"] == other["bucket"]) & may).select("a", "b").distinct())
-    more = compare(rest).filter(linked)
-    joined = components(stars.filter(linked).select("a", "b").union(more.select("a", "b"))) if more.limit(1).count() else part
+        return cut(x.select("a", "b", "text_a", "text_b").mapInArrow(_compared(idf), "a binary, b binary, similarity double").filter(F.col("similarity") >= similar - 1e-9).select("a", "b"))
+
+    # stars around the best connected nodes
+    lead = cut(member.groupBy("bucket").agg(F.max(F.struct("rank", "node"))["node"].alias("leader")))
+    pairs = member.join(lead, "bucket").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    links = compare(pairs.distinct())
+    part = cut(components(links))
+    # a leader has been compared with all of its bucket; where the others are of one component, nothing is left to do
+    state = member.join(lead, "bucket").filter("node <> leader").join(part, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    mixed = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
+    state = state.join(cut(mixed), "bucket")
+
+    left = cut(state.select("node", "component").distinct())
+    rest = texts.join(left.select("node"), "node")
+    order = shingle_order(rest, idf)
+    first = cut(rest.mapInArrow(_prefixed(idf, order, similar), "node binary, total double, shingles array<long>").join(left, "node").select("node", "component", "total", F.explode("shingles").alias("shingle")))
+    shared = cut(first.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("shingle"))
+    first = cut(first.join(shared, "shingle"))
+    one, two = (first.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "component", "total"))) for k in "ab")
+    fits = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("total_a", "total_b") >= (similar - 1e-6) * F.greatest("total_a", "total_b"))
+    pairs = one.join(two, (one["shingle"] == two["shingle"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    found = compare(pairs)
+    joined = cut(components(links.union(found))) if found.limit(1).count() else part
 
     named = nodes.select("node", "rep", "copies").join(joined, "node", "left").select("node", "rep", "copies", F.coalesce("component", "node").alias("component"))
     classes = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size")).filter("class_size > 1")
