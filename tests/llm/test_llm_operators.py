@@ -208,6 +208,38 @@ def test_kneser_ney(spark):
     assert math.isclose(sum(p("alphabr", w) for w in c) + p("alphabr", "unknown"), 1, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_kneser_ney_of_higher_order(spark, order):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(WORDS[:6]) for _ in range(rng.randint(0, 25)))) for i in range(150)] + [(500, None), (501, "never seen words alpha")]
+    got = {r.doc_id: r for r in kneser_ney.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string"), order).collect()}
+    split = lambda t: [*(t or "").split(), "</s>"]
+    grams = lambda s: [tuple((["<s>"] * (order - 1) + s)[i : i + order]) for i in range(len(s))]
+    counts = {order: Counter(g for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for g in grams(split(t)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d = {k: [0, *kneser_ney.discounts([float(sum(x == j for x in c.values())) for j in (1, 2, 3, 4)])] for k, c in counts.items()}
+
+    def p(g):
+        k, c = len(g), counts[len(g)]
+        own = {x: n for x, n in c.items() if x[:-1] == g[:-1]}
+        low = p(g[1:]) if k > 1 else 1 / (len(c) + 1)
+        if not own:
+            return low
+        return (max(c[g] - d[k][min(c[g], 3)], 0) + sum(d[k][min(n, 3)] for n in own.values()) * low) / sum(own.values())
+
+    for i, t in rows:
+        assert math.isclose(got[i].score, sum(math.log10(p(g)) for g in grams(split(t))), rel_tol=1e-9)
+
+
+def test_op7_tells_scrambled_texts(spark, tmp_path):
+    texts = ["a b c"] * 20 + ["d b e"] * 20 + ["a b e"]  # every pair of the last one is seen as often as those of the others
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1][:40] + [next(i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1)]
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.perplexity for r in queries.op7_kneser_ney(spark, str(tmp_path)).collect()}
+    assert got[ids[-1]] > 1.5 * got[ids[0]]
+
+
 def test_sentencepiece(spark):
     import sentencepiece
 

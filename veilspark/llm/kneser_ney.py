@@ -1,27 +1,31 @@
-"""Language-model scores from an interpolated modified Kneser-Ney bigram model.
+"""Language-model scores from an interpolated modified Kneser-Ney model of n-grams; the order is a parameter, 3 by default.
 
-Counting: each task hashes its tokens, counts bigrams and tokens in sorted runs of up to `RUN_TOKENS`
-tokens, and sends each run in pieces, one per shard, as packed arrays (each context once, with the number of its
-words). A shard merges its pieces, writes its bigrams as sorted hash arrays and sends sums for contexts and
-continuations to the shards of their words, which write sorted arrays of words. So frequent words and pairs
-reach a shard once per run, and rows of Spark stay few and of similar size. A context's bigrams lie in
-`SPREAD` shards, by their second word. Shards are as many as spark.sql.shuffle.partitions, rounded up to a multiple of SPREAD.
+Counting: each task hashes its tokens, counts n-grams of the order and tokens in sorted runs of up to `RUN_TOKENS`
+tokens, and sends each run in pieces, one per shard, as packed arrays (each word once, and places in the list of words). A shard
+merges its pieces. An n-gram's shard follows from its last two words, so that all that lower orders count (the
+different words before each shorter n-gram) is in the same shard and needs no shuffle. The shard writes the n-grams of all orders as
+sorted hash arrays and sends sums for contexts of one word and continuations to the shards of their words, which write sorted arrays
+of words. So frequent words and n-grams reach a shard once per run, and rows of Spark stay few and of similar size. A context's
+n-grams lie in `SPREAD` shards, by their last word; sums of longer contexts are added up when they are looked up. Shards are as
+many as spark.sql.shuffle.partitions, rounded up to a multiple of SPREAD.
 
 Scoring: workers map the arrays into memory and look tokens up by binary search, sorted per chunk of texts.
 The store is a folder below spark.checkpoint.dir. A store that isn't a shared file system is copied
 shard by shard to unlinked local files when first touched.
 
-p(w|u) = max(c(uw) - D(c), 0) / c(u.) + g(u) p1(w);  p1(w) = max(N(.w) - D', 0) / N(..) + g' / (V + 1).
-D and D' are the three discounts from the counts of counts 1 to 4 of bigrams and of continuations.
+p(w|h) = max(c(hw) - D(c), 0) / c(h.) + g(h) p(w|h'), h' without the first word of h; at the end
+p1(w) = max(N(.w) - D', 0) / N(..) + g' / (V + 1). c counts occurrences at the highest order, and different words before at lower
+ones. Each order has three discounts D from its counts of counts 1 to 4. A context that was never seen passes p(w|h') on.
 
 Defined results: texts are lower-cased in A-Z and split at blanks; each text, empty and null ones too,
-has one end token and a start context of its own; rows with a null id are learned from; without a
-training row the model is uniform over one unknown token; repeated rows are learned from as often as they occur.
+has one end token and a start context of its own (as many start tokens as a context has words); rows with a null id are learned
+from; without a training row the model is uniform over one unknown token; repeated rows are learned from as often as they occur.
 """
 
 from __future__ import annotations
 
 import io
+import mmap
 import os
 import tempfile
 import uuid
@@ -35,13 +39,14 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import chunks, crc32_id, mix, prepare, shared_folder, text_or_empty, word_hash, word_hashes
 
-RUN_TOKENS = 4_000_000
+ORDER = 3
+RUN_TOKENS = 2_000_000
 SPREAD = 4
 END, START = np.uint64(word_hash(b"\0end")), np.uint64(word_hash(b"\0start"))
 
 
-def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens, of the tokens before them, and the number of tokens of each text."""
+def sequences(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of all tokens, of the tokens before them, of those two before and so on; and the number of tokens of each text."""
     words, lens = [], []
     for t in texts:
         w = t.encode("utf-8", "surrogatepass").lower().split()
@@ -53,14 +58,21 @@ def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner = np.ones(len(w), bool)
     inner[ends] = False
     w[inner], w[ends] = word_hashes(words), END
-    u = np.empty_like(w)
-    u[1:] = w[:-1]
-    u[ends - n + 1] = START
-    return w, u, n
+    h = [w]
+    for _ in range(order - 1):
+        u = np.empty_like(w)
+        u[1:] = h[-1][:-1]
+        u[ends - n + 1] = START
+        h.append(u)
+    return h, n
 
 
-def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(u * np.uint64(0x9E3779B97F4A7C15) + w)
+def gram_key(h: list[np.ndarray]) -> np.ndarray:
+    """Hash of n-grams; h has their words, the last ones first."""
+    key = h[0]
+    for u in h[1:]:
+        key = mix(u * np.uint64(0x9E3779B97F4A7C15) + key)
+    return key
 
 
 def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
@@ -68,8 +80,14 @@ def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def pair_shard(u: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
-    return shard_of(mix(u), shards // SPREAD) * SPREAD + (w % np.uint64(SPREAD)).astype(np.int64)
+def gram_shard(u: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
+    """Of n-grams that end in u, w."""
+    return first_shard(u, shards) + (w % np.uint64(SPREAD)).astype(np.int64)
+
+
+def first_shard(u: np.ndarray, shards: int) -> np.ndarray:
+    """The first of the SPREAD shards of contexts that end in u."""
+    return shard_of(mix(u), shards // SPREAD) * SPREAD
 
 
 def narrow(a: np.ndarray) -> np.ndarray:
@@ -86,6 +104,14 @@ def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (key[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values))
 
 
+def mapped(path: str) -> np.ndarray:
+    """An array file, mapped without holding a file open: workers map many."""
+    with open(path, "rb") as f:
+        np.lib.format.read_magic(f)
+        shape, fortran, dtype = np.lib.format.read_array_header_1_0(f)
+        return np.ndarray(shape, dtype, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), f.tell(), order="F" if fortran else "C")
+
+
 class Store:
     """Arrays in files of a shared folder."""
 
@@ -115,7 +141,7 @@ class Store:
 
     def map(self, name: str) -> np.ndarray:
         if self.local:
-            return np.load(f"{self.local}/{name}.npy", mmap_mode="r")
+            return mapped(f"{self.local}/{name}.npy")
         from pyarrow import fs
 
         system, top = fs.FileSystem.from_uri(self.folder)
@@ -123,7 +149,7 @@ class Store:
             while block := f.read(1 << 22):
                 copy.write(block)
             copy.flush()
-            return np.load(copy.name, mmap_mode="r")  # the mapping outlives the name
+            return mapped(copy.name)  # the mapping outlives the name
 
 
 PIECES = "kind string, shard int, key binary, more binary, n binary"
@@ -146,50 +172,44 @@ def _pieces(kind: str, key: np.ndarray, n: np.ndarray, shards: int) -> pd.DataFr
     return pd.DataFrame(rows, columns=["kind", "shard", "key", "more", "n"])
 
 
-def _pair_pieces(u: np.ndarray, w: np.ndarray, n: np.ndarray, shards: int) -> pd.DataFrame:
-    """One row per shard of pairs: key has the contexts, more the number of words of each and then the words."""
-    shard = pair_shard(u, w, shards)
-    order = np.lexsort((u, shard))
-    u, w, n, shard = u[order], w[order], n[order], shard[order]
+def _gram_pieces(h: list[np.ndarray], n: np.ndarray, shards: int) -> pd.DataFrame:
+    """One row per shard of n-grams: key has the words in them, more the places in key of all last words, of all words before and so on."""
+    shard = gram_shard(h[1], h[0], shards)
+    order = np.lexsort((h[1], shard))
+    h, n, shard = [c[order] for c in h], n[order], shard[order]
     at = np.searchsorted(shard, np.arange(shards + 1))
     rows = []
     for s, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
         if a < b:
-            first = np.flatnonzero(np.concatenate([[True], u[a + 1 : b] != u[a : b - 1]]))
-            sizes = np.diff(np.append(first, b - a)).astype(np.uint32)
-            rows.append(("pair", s, u[a:b][first].tobytes(), sizes.tobytes() + w[a:b].tobytes(), _packed(n[a:b])))
+            words, places = np.unique(np.concatenate([c[a:b] for c in h]), return_inverse=True)
+            rows.append(("gram", s, words.tobytes(), _packed(places), _packed(n[a:b])))
     return pd.DataFrame(rows, columns=["kind", "shard", "key", "more", "n"])
 
 
-def _pairs(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    us, ws = [], []
-    for key, more in zip(x.key, x.more):
-        u = np.frombuffer(key, np.uint64)
-        us.append(np.repeat(u, np.frombuffer(more, np.uint32, len(u))))
-        ws.append(np.frombuffer(more, np.uint64, offset=4 * len(u)))
-    return np.concatenate(us), np.concatenate(ws)
+def _grams(x: pd.DataFrame, order: int) -> list[np.ndarray]:
+    parts = [np.frombuffer(key, np.uint64)[np.frombuffer(more, f"u{more[0]}", offset=1)].reshape(order, -1) for key, more in zip(x.key, x.more)]
+    return list(np.concatenate(parts, axis=1))
 
 
 def _joined(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint64)
 
 
-def _runs(shards: int):
+def _runs(shards: int, order: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
 
         def flush() -> Iterator[pd.DataFrame]:
-            w, u = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            h = [np.concatenate(c) for c in zip(*held)]
             held.clear()
-            word, n = np.unique(w, return_counts=True)
+            word, n = np.unique(h[0], return_counts=True)
             yield _pieces("word", word, n, shards)
-            _, first, n = np.unique(pair_key(u, w), return_index=True, return_counts=True)
-            yield _pair_pieces(u[first], w[first], n, shards)
+            _, first, n = np.unique(gram_key(h), return_index=True, return_counts=True)
+            yield _gram_pieces([c[first] for c in h], n, shards)
 
         for x in batches:
             for _, part in chunks(x.text.tolist()):
-                w, u, _ = sequences(part)
-                held.append((w, u))
+                held.append(sequences(part, order)[0])
                 if sum(len(h[0]) for h in held) >= RUN_TOKENS:
                     yield from flush()
         if held:
@@ -201,31 +221,49 @@ def _runs(shards: int):
 SUMS = "kind string, shard int, key binary, more binary, n binary"
 
 
-def _merge_runs(shards: int, folder: str):
-    """Pairs: writes the shard, sends sums by context and by word. Words: sends their counts on."""
+def _merge_runs(shards: int, folder: str, order: int):
+    """N-grams: writes the shard, sends sums by context and by word. Words: sends their counts on."""
 
     def merge(x: pd.DataFrame) -> pd.DataFrame:
         kind, shard = x.kind.iloc[0], int(x.shard.iloc[0])
         n = _unpacked(x.n)
         if kind == "word":
             return _pieces("count", *summed(_joined(x.key), n), shards)
-        u, w = _pairs(x)
-        key, first, at = np.unique(pair_key(u, w), return_index=True, return_inverse=True)
-        n = np.bincount(at, n, len(key)).astype(np.int64)
-        u, w = u[first], w[first]
-        store = Store(folder)
-        store.write(f"pair-key-{shard:06d}", key)
-        store.write(f"pair-n-{shard:06d}", narrow(n))
-        context = summed(u, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
-        follows = summed(w, np.ones(len(w), np.int64))
-        stat = np.array([0, 0, 0, *((n == k).sum() for k in (1, 2, 3, 4)), 0, 0, 0, 0], np.float64)
+        h, store, stat = _grams(x, order), Store(folder), np.zeros(3 + 4 * order)
+        for k in range(order, 1, -1):
+            key, first, at = np.unique(gram_key(h), return_index=True, return_inverse=True)
+            n = np.bincount(at, n, len(key)).astype(np.int64)
+            h = [c[first] for c in h]
+            store.write(f"gram{k}-key-{shard:06d}", key)
+            store.write(f"gram{k}-n-{shard:06d}", narrow(n))
+            context = summed(gram_key(h[1:]), n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
+            stat[_counts_at(k)] = [(n == j).sum() for j in (1, 2, 3, 4)]
+            if k > 2:
+                _write_contexts(store, k, shard, context[0], np.column_stack(context[1:]))
+                h, n = h[:-1], np.ones(len(key), np.int64)
+        follows = summed(h[0], np.ones(len(key), np.int64))
         top = pd.DataFrame([("stat", -1, b"", b"", stat.tobytes())], columns=["kind", "shard", "key", "more", "n"])
         return pd.concat([_pieces("context", context[0], np.column_stack(context[1:]), shards), _pieces("follows", *follows, shards), top], ignore_index=True)
 
     return merge
 
 
-def _merge_words(shards: int, folder: str):
+def _counts_at(k: int) -> slice:
+    """Where the counts of counts of order k are in the sums; those of order 1 are after those of order 2."""
+    at = {2: 3, 1: 7}.get(k, 4 * k - 1)
+    return slice(at, at + 4)
+
+
+def _write_contexts(store: Store, k: int, shard: int, key: np.ndarray, table: np.ndarray) -> None:
+    """Contexts of more than one word, with what follows them in this shard. Most have one follower, seen once: for those one row does."""
+    once = (table == [1, 1, 0, 0]).all(1)
+    store.write(f"once{k}-key-{shard:06d}", key[once])
+    store.write(f"once{k}-n-{shard:06d}", np.array([[1, 1, 0, 0]], np.uint8))
+    store.write(f"context{k}-key-{shard:06d}", key[~once])
+    store.write(f"context{k}-n-{shard:06d}", narrow(table[~once]))
+
+
+def _merge_words(shards: int, folder: str, order: int):
     """Writes a shard of words: count, continuations, context total, followers seen once, twice, more often."""
 
     def merge(x: pd.DataFrame) -> pd.DataFrame:
@@ -245,7 +283,7 @@ def _merge_words(shards: int, folder: str):
         store.write(f"word-key-{shard:06d}", key)
         store.write(f"word-n-{shard:06d}", narrow(table))
         c, follows = table[:, 0], table[:, 1]
-        return pd.DataFrame({"values": [[float(c.sum()), float((c > 0).sum()), float(follows.sum()), 0, 0, 0, 0, *(float((follows == k).sum()) for k in (1, 2, 3, 4))]]})
+        return pd.DataFrame({"values": [[float(c.sum()), float((c > 0).sum()), float(follows.sum()), 0, 0, 0, 0, *(float((follows == k).sum()) for k in (1, 2, 3, 4)), *[0.0] * (4 * order - 8)]]})
 
     return merge
 
@@ -260,24 +298,27 @@ def discounts(n: list[float]) -> list[float]:
 class Model:
     """What scoring needs: the store's folder and a few numbers."""
 
-    def __init__(self, folder: str, shards: int, values: list[float]):
-        self.folder, self.shards = folder, shards
+    def __init__(self, folder: str, shards: int, values: list[float], order: int):
+        self.folder, self.shards, self.order = folder, shards, order
         self.tokens, self.types, self.pairs = (int(v) for v in values[:3])
-        self.pair_d, self.word_d = discounts(values[3:7]), discounts(values[7:11])
+        self.gram_d = {k: discounts(values[_counts_at(k)]) for k in range(2, order + 1)}
+        self.word_d = discounts(values[_counts_at(1)])
         n1, n2 = values[7], values[8]
         self.left = sum(d * n for d, n in zip(self.word_d, (n1, n2, self.types - n1 - n2))) / self.pairs if self.pairs else 1.0
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Counts all rows of docs; only eleven sums come to the driver."""
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
+    """Counts all rows of docs; only a few sums come to the driver."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark: SparkSession = docs.sparkSession
     prepare(spark)
     shards, folder = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // SPREAD) * SPREAD, shared_folder(spark, "kneser-ney")
-    runs = docs.select(text_or_empty(docs[text_col]).alias("text")).mapInPandas(_runs(shards), PIECES)
-    sums = runs.groupBy("kind", "shard").applyInPandas(_merge_runs(shards, folder), SUMS)
-    stats = sums.groupBy("shard").applyInPandas(_merge_words(shards, folder), "values array<double>")
-    row = stats.agg(*(F.sum(F.col("values")[i]).alias(f"v{i}") for i in range(11))).first()
-    return Model(folder, shards, [row[f"v{i}"] or 0.0 for i in range(11)])
+    runs = docs.select(text_or_empty(docs[text_col]).alias("text")).mapInPandas(_runs(shards, order), PIECES)
+    sums = runs.groupBy("kind", "shard").applyInPandas(_merge_runs(shards, folder, order), SUMS)
+    stats = sums.groupBy("shard").applyInPandas(_merge_words(shards, folder, order), "values array<double>")
+    row = stats.agg(*(F.sum(F.col("values")[i]).alias(f"v{i}") for i in range(3 + 4 * order))).first()
+    return Model(folder, shards, [row[f"v{i}"] or 0.0 for i in range(3 + 4 * order)], order)
 
 
 class Scorer:
@@ -289,10 +330,10 @@ class Scorer:
         try:
             return self.store.map(f"{kind}-key-{shard:06d}"), self.store.map(f"{kind}-n-{shard:06d}")
         except FileNotFoundError:  # a shard that no key fell into
-            return np.zeros(0, np.uint64), np.zeros((0, 6) if kind == "word" else 0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros((0, 6), np.int64)
 
     def look_up(self, kind: str, key: np.ndarray, shard: np.ndarray, width: int) -> np.ndarray:
-        """Rows of ascending distinct keys in their shards; zeros where there is none."""
+        """Rows of ascending distinct keys in their shards; zeros where there is none. A single row holds for all keys."""
         out = np.zeros((len(key), width), np.int64)
         order = np.argsort(shard, kind="stable")
         at = np.searchsorted(shard[order], np.arange(self.model.shards + 1)).tolist()
@@ -302,23 +343,31 @@ class Scorer:
             if len(keys):
                 spot = np.minimum(np.searchsorted(keys, key[mine]), len(keys) - 1)
                 hit = keys[spot] == key[mine]
-                out[mine[hit]] = rows[spot[hit]].reshape(-1, width)
+                out[mine[hit]] = rows[spot[hit] if len(rows) == len(keys) else np.zeros(hit.sum(), np.int64)].reshape(-1, width)
         return out
 
+    def contexts(self, k: int, h: list[np.ndarray]) -> np.ndarray:
+        """Total and followers seen once, twice and more often, of the contexts of more than one word that h has."""
+        key, first, at = np.unique(gram_key(h), return_index=True, return_inverse=True)
+        shard = first_shard(h[0][first], self.model.shards)
+        return sum(self.look_up(kind, key, shard + j, 4) for kind in (f"once{k}", f"context{k}") for j in range(SPREAD))[at]
+
     def score_all(self, texts: list[str]) -> pd.DataFrame:
         m = self.model
-        w, u, lens = sequences(texts)
+        h, lens = sequences(texts, m.order)
+        w, u = h[:2]
         words, at = np.unique(np.concatenate([w, u]), return_inverse=True)
         table = self.look_up("word", words, shard_of(words, m.shards), 6)
         own, before = table[at[: len(w)]], table[at[len(w) :]]
-        pairs, first, at = np.unique(pair_key(u, w), return_index=True, return_inverse=True)
-        c = self.look_up("pair", pairs, pair_shard(u[first], w[first], m.shards).astype(np.uint32), 1)[at, 0]
-        follows, total = own[:, 1], before[:, 2]
-        word_d, pair_d = np.array([0, *m.word_d]), np.array([0, *m.pair_d])
-        low = np.maximum(follows - word_d[np.minimum(follows, 3)], 0) / max(1, m.pairs) + m.left / (m.types + 1)
-        spare = before[:, 3:6] @ pair_d[1:]
-        some = np.maximum(total, 1)
-        p = np.where(total > 0, np.maximum(c - pair_d[np.minimum(c, 3)], 0) / some + spare / some * low, low)
+        follows, word_d = own[:, 1], np.array([0, *m.word_d])
+        p = np.maximum(follows - word_d[np.minimum(follows, 3)], 0) / max(1, m.pairs) + m.left / (m.types + 1)
+        for k in range(2, m.order + 1):
+            grams, first, at = np.unique(gram_key(h[:k]), return_index=True, return_inverse=True)
+            c = self.look_up(f"gram{k}", grams, gram_shard(u[first], w[first], m.shards), 1)[at, 0]
+            context, d = before[:, 2:6] if k == 2 else self.contexts(k, h[1:k]), np.array([0, *m.gram_d[k]])
+            total = context[:, 0]
+            some = np.maximum(total, 1)
+            p = np.where(total > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / some + context[:, 1:] @ d[1:] / some * p, p)
         base = np.log10((own[:, 0] + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
         first = np.cumsum(lens) - lens
         total_of = lambda v: np.add.reduceat(v, first) if len(first) else v[:0]
@@ -339,10 +388,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     return docs.withColumn(out_col, scored(text_or_empty(docs[text_col])))
 
 
-def language_model_scores(docs: DataFrame) -> DataFrame:
-    """Learns from documents whose crc32 of the id as text, mod 5, is not 1; scores all."""
+def language_model_scores(docs: DataFrame, order: int = 2) -> DataFrame:
+    """Learns from documents whose crc32 of the id as text, mod 5, is not 1; scores all. The query op7 asks for ORDER."""
     held = F.coalesce(crc32_id(F.col("doc_id")) % 5 == 1, F.lit(False))
     rows = docs.select("doc_id", "text")
-    model = train(rows.filter(~held))
+    model = train(rows.filter(~held), order=order)
     x = score(rows, model)
     return x.select("doc_id", held.alias("held_out"), "lm.n_tokens", "lm.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "lm.base_score", "lm.score", "lm.perplexity")

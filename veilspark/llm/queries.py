@@ -39,7 +39,7 @@ def op6_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneser_ney.language_model_scores(_docs(spark, sf_dir))
+    return kneser_ney.language_model_scores(_docs(spark, sf_dir), kneser_ney.ORDER)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
