@@ -52,13 +52,13 @@ simple("NRM17", lambda: F.length(words()) > 0, "length(text) > 0")
 
 @query("NRM10_steps")
 def nrm10_steps(spark, d):
-    x = turns(spark, d).withColumn("text", F.translate(F.left(words(), F.lit(20)), "ae", "ае"))
+    x = turns(spark, d).withColumn("text", F.translate(words(), "ae", "ае"))
     return x.select(*ID, F.explode(T.confusable_steps(words())).alias("s")).select(*ID, "s.*")
 
 
 @query("NRM11", f"{PROMPTS} SELECT conv_id, turn, left(text, 40) AS \"base64\", left(text, 40) AS \"hex\" FROM c WHERE length(text) > 0 AND NOT regexp_matches(left(text, 40), '[^ -~]')")
 def nrm11(spark, d):
-    x = prompts(spark, d).withColumn("text", F.left(words(), F.lit(40))).filter((F.length("text") > 0) & ~words().rlike("[^ -~]"))
+    x = prompts(spark, d)
     return x.select(*ID, T.decoded(T.to_base64(words()))["base64"].alias("base64"), T.decoded(T.to_hex(words()))["hex"].alias("hex"))
 
 
@@ -70,7 +70,7 @@ def nrm14(spark, d):
 
 @query("NRM16", f"{PROMPTS} SELECT conv_id, turn, left(text, 30) AS out FROM c WHERE length(text) >= 2")
 def nrm16(spark, d):
-    x = prompts(spark, d).filter(F.length("text") >= 2).select(*ID, T.unicode_code(F.left(words(), F.lit(30))).alias("e"))
+    x = prompts(spark, d).select(*ID, T.unicode_code(words()).alias("e"))
     return x.select(*ID, F.get(T.unescaped(F.col("e")), F.lit(0)).alias("out"))
 
 
@@ -561,7 +561,7 @@ def agg17(spark, d):
 
 @query("WIN4", f"{PROMPTS} SELECT conv_id, turn, string_agg(left(text, 10), '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS recent FROM c")
 def win4(spark, d):
-    return R.last_interactions(prompts(spark, d), "conv_id", "turn", F.left(words(), F.lit(10))).select(*ID, F.array_join("recent", "|").alias("recent"))
+    return R.last_interactions(prompts(spark, d), "conv_id", "turn", words()).select(*ID, F.array_join("recent", "|").alias("recent"))
 
 
 @query("WIN5", f"{SESSION_SQL} SELECT conv_id, string_agg(turn || ':' || cats, '|' ORDER BY turn) AS chain FROM n WHERE hits > 0 GROUP BY conv_id")
