@@ -35,3 +35,9 @@ def test_escapes_of_whole_texts(spark, tmp_path):
 def test_history_of_whole_texts(spark, tmp_path):
     got = {r.turn: r.recent for r in run(spark, tmp_path, "WIN4")}
     assert got == {i: "|".join(t for j, t in TEXTS.items() if j <= i and t is not None) for i in TEXTS}
+
+
+def test_scores_are_rounded_half_to_even(spark, tmp_path):
+    spark.createDataFrame([(i, 1, "click", float(i)) for i in range(101)], "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.r for r in QUERIES["FN22"](spark, str(tmp_path)).collect()}
+    assert got == {i: round(i / 8, 2) for i in range(101)}

@@ -329,7 +329,7 @@ def fn19(spark, d):
     return E.complete(events(spark, d).withColumn("event_id", F.lit(None).cast("string"))).select("session_id", "policy_action", "risk_score", "user_role", "conversation_turn", (F.col("event_id").startswith("evt_") & F.col("timestamp").isNotNull()).alias("has_id"))
 
 
-query("FN22", f"{EVENTS_SQL} SELECT event_id, round(risk_score / 8, 2) AS r, greatest(10, least(90, risk_score)) AS c FROM e WHERE risk_score % 4 <> 1 AND risk_score % 4 <> 3")(lambda spark, d: events(spark, d).filter("risk_score % 4 NOT IN (1, 3)").select("event_id", F.bround(F.col("risk_score") / 8, 2).alias("r"), F.greatest(F.lit(10), F.least(F.lit(90), F.col("risk_score"))).alias("c")))
+query("FN22", f"{EVENTS_SQL} SELECT event_id, round(risk_score / 8, 2) AS r, greatest(10, least(90, risk_score)) AS c FROM e WHERE risk_score % 4 <> 1 AND risk_score % 4 <> 3")(lambda spark, d: events(spark, d).select("event_id", F.bround(F.col("risk_score") / 8, 2).alias("r"), F.greatest(F.lit(10), F.least(F.lit(90), F.col("risk_score"))).alias("c")))
 query("FN23", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso")))
 query("FN24", "SELECT event_id, '{\"kind\":\"' || event_type || '\",\"note\":\"é\"}' AS j FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("kind"), F.lit("é").alias("note"))).alias("j")))
 
