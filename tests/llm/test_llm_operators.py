@@ -91,21 +91,68 @@ def test_near_dedup(spark, docs, corpus):
 
 def test_chain_component(spark):
     links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)] + [(b"x", b"y")], "a binary, b binary")
-    got = {bytes(r.node): bytes(r.component) for r in minhash.components(links).collect()}
-    assert len(got) == 43 and {got[bytes([i])] for i in range(41)} == {b"\0"} and got[b"y"] == b"x"
+    for share in (3, 1000):
+        got = {bytes(r.node): bytes(r.component) for r in minhash.components(links, share).collect()}
+        assert len(got) == 43 and {got[bytes([i])] for i in range(41)} == {b"\0"} and got[b"y"] == b"x"
+    assert minhash.components(links.limit(0)).count() == 0
 
 
 def test_prefix_loses_no_pair():
     rng = np.random.default_rng(3)
-    order = rng.integers(0, 9, 1 << minhash.ORDER_BITS)
-    pool = rng.integers(0, 2**63, 60).astype(np.uint64)
+    pool = rng.integers(0, 2**63, 60)
     sets = []
     for _ in range(80):
         h = np.unique(rng.choice(pool, rng.integers(20, 50), replace=False))
-        sets.append((h, (h % np.uint64(5) + np.uint64(1)).astype(np.float32)))
+        sets.append((h, (h % 5 + 1).astype(np.float32)))
+    count = {x: sum(x in h for h, _ in sets) for x in pool.tolist()}
     for a, b in itertools.combinations(sets, 2):
-        if minhash.similarity(a, b) >= 0.8:
-            assert np.intersect1d(minhash.prefix(*a, order, 0.8), minhash.prefix(*b, order, 0.8)).size
+        if minhash.similarity((a[0].view(np.uint64), a[1]), (b[0].view(np.uint64), b[1])) >= 0.8:
+            (x, before_x), (y, before_y) = (minhash.prefix(h, w, s := h[[count[i] > 1 for i in h.tolist()]], np.array([count[i] for i in s.tolist()]), 0.8) for h, w in (a, b))
+            both, i, j = np.intersect1d(x, y, return_indices=True)
+            assert both.size
+            at, total = i.argmin(), (a[1].sum(), b[1].sum())
+            assert before_x[i[at]] + before_y[j[at]] <= sum(total) / 9 + 1e-3
+            assert min(total[0] - before_x[i[at]], total[1] - before_y[j[at]]) >= 4 / 9 * sum(total) - 1e-3
+
+
+def test_links_of_a_loose_group(spark):
+    """One text with few and many edits, so that bucket leaders show only some links: all links against all pairs."""
+    rng = random.Random(12)
+    base = prose(rng, 90).split()
+    texts = []
+    for i in range(220):
+        words = list(texts[rng.randrange(len(texts))].split() if texts and i % 3 else base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 6])):
+            words[rng.randrange(len(words))] = rng.choice(WORDS) if i % 2 else f"e{i}x{rng.randrange(99)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    idf = minhash.idf_table(df).dense()
+    feats = [minhash.shingles(w := minhash.words_of(t), minhash.word_hashes(w), idf) for t in texts]
+    want = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if want[a] != want[b] and minhash.similarity(feats[a], feats[b]) >= 0.8:
+            low, high = sorted((want[a], want[b]))
+            want = [low if x == high else x for x in want]
+    assert 1 < len(set(want)) < len(want)
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == dict(enumerate(want))
+    # each text a component of its own: the rounds alone, without leaders
+    rest = [(i, i, float(w.sum(dtype=float)), h.view(np.int64).tolist(), w.tolist()) for i, (h, w) in enumerate(feats)]
+    links = minhash.links_between(spark.createDataFrame(rest, "nid long, cid long, total double, h array<long>, w array<float>"), 0.8)
+    got = list(range(len(texts)))
+    for r in [r for x in links for r in x.collect()]:
+        low, high = sorted((got[r.a], got[r.b]))
+        got = [low if x == high else x for x in got]
+    equal = {}
+    assert len(links) > 1 and [equal.setdefault(x, y) for x, y in zip(got, want)] == want and len(set(got)) == len(set(want))
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    rng = random.Random(13)
+    one, other = prose(rng, 60), prose(rng, 60)
+    rows = [(1, one), (2, one), (2, other), (None, one), (None, prose(rng, 60)), (None, prose(rng, 60)), (7, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = minhash.without_near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted((i or 0, t or "") for i, t in rows if t != one or i == 1)
 
 
 def test_language(spark):

@@ -1,23 +1,28 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are five consecutive lower-cased words (a shorter text is one shingle). A shingle weighs its
-count times the mean inverse document frequency of its words, idf = 1 + ln(1 / max(share of documents, 1/64)). Shares come from
-a sketch of 2^18 hashed words over all documents; only words in more than 1/64 of the documents differ from
-the largest idf, and of these there are at most 64 times the mean number of distinct words per document, whatever the size of the table.
+count times the mean inverse document frequency of its words, idf = 1 + ln((1 + documents) / (1 + documents with the word)).
+Frequencies are counted over all documents in a sketch of 2^20 hashed words, so that what goes to the driver and the
+workers is at most 2^20 numbers; words that share a place share its count.
 
 1. Each text gives 30 samples, in 10 bands of 3. A sample is the smallest ln a over the text's shingles in
    improved consistent weighted sampling, with r, c ~ Gamma(2, 1) and beta ~ U(0, 1) drawn by the shingle's hash
    from pools of 65,536 values. Two texts of weighted Jaccard similarity 0.8 share a band with probability 0.9992.
 2. Texts of equal words are one node. Nodes that share a band are a bucket. A bucket's most connected node
    leads it; every other node is compared with its leaders (a star, not all pairs).
-3. A link inside a bucket that its leader can't show is still looked for. Buckets that hold several components after
-   that go through prefix filtering: in one order of all shingles, rare ones first, two texts of similarity 0.8 or more share a
-   shingle among the first ones that weigh a fifth of either text. Pairs of different components that do, and whose weights may
-   fit, are compared. No link between texts that share a bucket is lost, and texts whose differences are their own make no pairs.
+3. A link inside a bucket that its leader can't show is still looked for, among the nodes of buckets that hold several
+   components after that. Of each text the shingles that no other component has come first in one order of all shingles, then
+   rare ones before frequent ones. Two linked texts x, y of weights X, Y overlap in at least s / (1 + s) (X + Y), so that before the first
+   shingle they share, the two of them hold at most (1 - s) / (1 + s) (X + Y) together, and neither more than leaves room for the
+   overlap. Per shingle the smallest such sums of two components tell which texts can have a partner there at all; the rest
+   drops out. Rounds follow: each text left is compared with the one partner most of its shingles name, linked components
+   become one, and more shingles belong to one component only. When a round links few, all pairs still possible under these bounds
+   are compared. No link between texts that share a bucket is lost, and what is compared stays near the number of texts.
 4. Linked nodes form components (large-star and small-star rounds), and a component's class id is its smallest id.
 
 Defined results: texts without a word (null and empty ones too) are classes of their own; repeated rows share a
-class and count twice in class_size; where all ids of a class are null so is class_id; an empty table
+class, count twice in class_size and are kept or go together; of several texts of a class under its smallest id one is kept;
+ids that are null are larger than others, and where all ids of a class are null so is class_id; an empty table
 gives an empty result; other columns are not looked at.
 """
 
@@ -26,11 +31,12 @@ from __future__ import annotations
 import math
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import chunks, cut, mix, prepare, text_or_empty, word_hashes
@@ -39,8 +45,13 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 10, 3
 POOL_BITS = 16
-SKETCH_BITS = 18
-FLOOR = 1 / 64
+SKETCH_BITS = 20
+#: Rounds of single comparisons go on while they link this share of the texts that are left.
+WORTH = 0.05
+#: Links that one task joins in memory, about 100 MB.
+LINKS_A_TASK = 200_000
+#: Texts with their shingles in a partition, where there are few.
+TEXTS_A_TASK = 1000
 
 #: Every ASCII byte but letters and digits ends a word.
 FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
@@ -91,12 +102,11 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def idf_table(docs: DataFrame) -> SparseTable:
-    """idf of every bucket of the sketch. Only buckets over the floor come to the driver, of which there are few."""
-    counts = cut(docs.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
-    total = (counts.filter("bucket = -1").agg(F.sum("n").alias("n")).first().n) or 1
-    common = counts.filter((F.col("bucket") >= 0) & (F.col("n") > FLOOR * total)).toArrow()
-    n = common.column("n").to_numpy().astype(np.float64)
-    return SparseTable(1 << SKETCH_BITS, 1 + math.log(1 / FLOOR), common.column("bucket").to_numpy(), (1 + np.log(total / n)).astype(np.float32))
+    """idf of every bucket of the sketch; at most 2^20 counts come to the driver."""
+    counts = docs.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = counts.column("bucket").to_numpy(), counts.column("n").to_numpy().astype(np.float64)
+    total, seen = n[bucket < 0].sum(), bucket >= 0
+    return SparseTable(1 << SKETCH_BITS, 1 + math.log(1 + total), bucket[seen], (1 + np.log((1 + total) / (1 + n[seen]))).astype(np.float32))
 
 
 # ---- shingles and samples ---------------------------------------------------------------------------
@@ -174,7 +184,7 @@ def _signed(table: SparseTable):
                     made = sampler.bands(np.concatenate([h for h, _ in features]), np.concatenate([w for _, w in features]), first)
                     for i, x in zip(which, made.view(np.int64).tolist()):
                         rows[i] = x
-            yield pa.RecordBatch.from_arrays([ids, pa.array(digests, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, b.column("row_key"), pa.array(digests, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "row_key", "node", "bands"])
 
     return signed
 
@@ -210,98 +220,198 @@ def _compared(table: SparseTable):
     return compared
 
 
-def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the node's words (a repeated id may bring in other texts)."""
-    for b in batches:
-        yield b.filter(pa.array([digest_of(words_of(t)) == n for n, t in zip(b.column("node").to_pylist(), b.column("text").to_pylist())], pa.bool_()))
-
-
-# ---- prefixes -----------------------------------------------------------------------------------------
-
-ORDER_BITS = 22
-
-
-def _place(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+# ---- links that leaders can't show ----------------------------------------------------------------------
 
 
-def _shingle_counts(table: SparseTable):
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _featured(table: SparseTable):
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = table.dense()
-        n = np.zeros(1 << ORDER_BITS, np.int64)
         for b in batches:
+            hs, ws, totals = [], [], []
             for t in b.column("text").to_pylist():
                 words = words_of(t)
-                np.add.at(n, _place(shingles(words, word_hashes(words), idf)[0]), 1)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some].astype(np.int32))], names=["place", "n"])
+                h, w = shingles(words, word_hashes(words), idf)
+                hs.append(h.view(np.int64))
+                ws.append(w)
+                totals.append(float(w.sum(dtype=np.float64)))
+            yield pa.RecordBatch.from_arrays([b.column("component"), pa.array(totals, pa.float64()), pa.array(hs, pa.list_(pa.int64())), pa.array(ws, pa.list_(pa.float32()))], names=["component", "total", "h", "w"])
 
-    return counted
+    return featured
 
 
-def shingle_order(texts: DataFrame, idf: SparseTable) -> SparseTable:
-    """For each place of hashed shingles its count if that is over one, else 0. At most 2^22 places of 12 bytes come to the driver."""
-    counts = texts.select("text").mapInArrow(_shingle_counts(idf), "place int, n int").groupBy("place").agg(F.sum("n").alias("n")).filter("n > 1")
-    many = counts.select("place", F.least("n", F.lit(2**32 - 1)).alias("n")).toArrow()
-    return SparseTable(1 << ORDER_BITS, 0, many.column("place").to_numpy(), many.column("n").to_numpy().astype(np.uint32))
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a column of lists without copies."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(at[:-1], at[1:])]
 
 
-def prefix(h: np.ndarray, weight: np.ndarray, order: np.ndarray, similar: float) -> np.ndarray:
-    """The first shingles in the order, until the rest weighs less than the share `similar` of all."""
-    by = np.lexsort((h, order[_place(h)]))
-    at = np.cumsum(weight[by].astype(np.float64))
-    k = int(np.searchsorted(at, (1 - similar + 1e-6) * at[-1], "right")) + 1
-    return h[by[:k]]
+def prefix(h: np.ndarray, weight: np.ndarray, shared: np.ndarray, count: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the shingles h of a text those among `shared` (with their counts), rare ones first, as long as at most the share 1 - `similar`
+    of its weight comes before; and the weight before each. Shingles that aren't shared come before all others."""
+    by = np.argsort(h, kind="stable")
+    own = weight[by][np.searchsorted(h[by], shared)].astype(np.float64)
+    total = weight.sum(dtype=np.float64)
+    order = np.lexsort((shared, count))
+    before = np.concatenate([[0.0], np.cumsum(own[order])[:-1]]) + (total - own.sum())
+    k = int(np.searchsorted(before, (1 - similar + 1e-6) * total, "right"))
+    return shared[order[:k]], before[:k]
 
 
-def _prefixed(table: SparseTable, ranks: SparseTable, similar: float):
+def _prefixed(similar: float):
     def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, order = table.dense(), ranks.dense()
         for b in batches:
-            rows, total = [], []
-            for t in b.column("text").to_pylist():
-                words = words_of(t)
-                h, w = shingles(words, word_hashes(words), idf)
-                rows.append(prefix(h, w, order, similar).view(np.int64))
-                total.append(float(w.sum(dtype=np.float64)))
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(total), pa.array(rows, pa.list_(pa.int64()))], names=["node", "total", "shingles"])
+            hs, befores = [], []
+            for h, w, s, n in zip(*(_lists(b.column(c)) for c in ("h", "w", "shared", "counts"))):
+                x, y = prefix(h, w, s, n, similar)
+                hs.append(x)
+                befores.append(y)
+            yield pa.RecordBatch.from_arrays([b.column("nid"), b.column("cid"), b.column("total"), pa.array(hs, pa.list_(pa.int64())), pa.array(befores, pa.list_(pa.float64()))], names=["nid", "cid", "total", "hs", "befores"])
 
     return prefixed
 
 
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ha, wa, hb, wb = (_lists(b.column(c)) for c in ("h_a", "w_a", "h_b", "w_b"))
+        sims = [similarity((p.view(np.uint64), q), (r.view(np.uint64), s)) for p, q, r, s in zip(ha, wa, hb, wb)]
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
+
+
+def _possible(rest: DataFrame, similar: float) -> DataFrame:
+    """rest: nid, cid, total, h, w. For each text and each shingle of its prefix where a text of another component may link with it: nid, cid, total,
+    h, before, slack, and mate: the text there with most room (slack, nid, cid)."""
+    each = rest.select("nid", "cid", F.explode("h").alias("h"))
+    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("x"), F.max("cid").alias("y")).filter("x <> y").select("h", "n")
+    shared = each.select("nid", "h").join(common, "h").groupBy("nid").agg(F.collect_list(F.struct("h", "n")).alias("s")).select("nid", F.col("s.h").alias("shared"), F.col("s.n").alias("counts"))
+    held = rest.join(shared, "nid").mapInArrow(_prefixed(similar), "nid long, cid long, total double, hs array<long>, befores array<double>")
+    entry = held.select("nid", "cid", "total", F.explode(F.arrays_zip("hs", "befores")).alias("e")).select("nid", "cid", "total", F.col("e.hs").alias("h"), F.col("e.befores").alias("before"))
+    entry = cut(entry.withColumn("slack", F.col("before") - (1 - similar) / (1 + similar) * F.col("total")))
+
+    best = entry.groupBy("h", "cid").agg(F.min(F.struct("slack", "nid", "cid")).alias("low"), F.min("total").alias("least"))
+    first = best.groupBy("h").agg(F.min("low").alias("one"), F.min(F.struct("least", "cid")).alias("small"))
+    second = best.join(first, "h").groupBy("h").agg(
+        F.first("one").alias("one"), F.first("small").alias("small"),
+        F.min(F.when(F.col("cid") != F.col("one.cid"), F.col("low"))).alias("two"),
+        F.min(F.when(F.col("cid") != F.col("small.cid"), F.col("least"))).alias("next"),
+    ).filter("two IS NOT NULL")
+    x = entry.join(second, "h").withColumns({"mate": F.when(F.col("cid") != F.col("one.cid"), F.col("one")).otherwise(F.col("two")), "least": F.when(F.col("cid") != F.col("small.cid"), F.col("small.least")).otherwise(F.col("next"))})
+    room = (F.col("total") - F.col("before")) * ((1 + similar) / similar) - F.col("total")
+    return x.filter((F.col("slack") + F.col("mate.slack") <= 1e-6 * F.col("total")) & (F.col("least") <= room + 1e-6 * F.col("total"))).select("nid", "cid", "total", "h", "before", "slack", "mate")
+
+
+def _pairs_left(possible: DataFrame, similar: float) -> DataFrame:
+    """All pairs (a, b) of different components that the bounds allow."""
+    one, two = (possible.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("nid", "cid", "total", "before", "slack"))) for k in "ab")
+    total, least = F.col("total_a") + F.col("total_b"), similar / (1 + similar)
+    fits = (F.col("cid_a") != F.col("cid_b")) & (F.struct("total_a", "nid_a") < F.struct("total_b", "nid_b")) & (F.col("slack_a") + F.col("slack_b") <= 1e-6 * total)
+    fits &= F.least(F.col("total_a") - F.col("before_a"), F.col("total_b") - F.col("before_b")) >= (least - 1e-6) * total
+    return one.join(two, (one["h"] == two["h"]) & fits).select(F.col("nid_a").alias("a"), F.col("nid_b").alias("b")).distinct()
+
+
+def packed(texts: DataFrame) -> DataFrame:
+    """Few texts in few partitions, so that shuffles of them have few files."""
+    return texts.coalesce(-(-texts.count() // TEXTS_A_TASK) or 1)
+
+
+def links_between(rest: DataFrame, similar: float) -> list[DataFrame]:
+    """rest: nid, cid, total, h, w. Links (a, b) between texts (nid) of different components (cid): enough of them to join all components that have any."""
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x = pairs.join(rest.select(F.col("nid").alias("a"), F.col("h").alias("h_a"), F.col("w").alias("w_a")), "a")
+        x = x.join(rest.select(F.col("nid").alias("b"), F.col("h").alias("h_b"), F.col("w").alias("w_b")), "b")
+        return cut(x.select("a", "b", "h_a", "w_a", "h_b", "w_b").mapInArrow(_verified, "a long, b long, similarity double").filter(F.col("similarity") >= similar - 1e-9).select("a", "b"))
+
+    found = []
+    while True:
+        rest = packed(rest)
+        possible = cut(_possible(rest, similar))
+        texts = possible.agg(F.count_distinct("nid")).first()[0]
+        if not texts:
+            return found
+        vote = possible.groupBy("nid", F.col("mate.nid").alias("mate")).agg(F.count(F.lit(1)).alias("n")).groupBy("nid").agg(F.max(F.struct("n", "mate"))["mate"].alias("mate"))
+        links = verified(vote.select(F.least("nid", "mate").alias("a"), F.greatest("nid", "mate").alias("b")).distinct())
+        n = links.count()
+        found += [links] * (n > 0)
+        if n < WORTH * texts:
+            return [*found, verified(_pairs_left(possible, similar))]
+        of = rest.select("nid", "cid")
+        joined = links.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        renamed = components(joined).select(F.col("node").alias("cid"), F.col("component").alias("to"))
+        rest = cut(rest.join(possible.select("nid").distinct(), "nid").join(renamed, "cid", "left").withColumn("cid", F.coalesce("to", "cid")).drop("to"))
+
+
 # ---- components -------------------------------------------------------------------------------------
 
 
-def components(links: DataFrame) -> DataFrame:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of a partition, `LINKS_A_TASK` at a time, as links of each node to the smallest of its tree."""
+
+    def smallest(u: list, v: list, type_: pa.DataType) -> pa.RecordBatch:
+        up: dict = {}
+
+        def root(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for x, y in zip(u, v):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        low = [(x, root(x)) for x in list(up)]
+        low = [(x, y) for x, y in low if x != y]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in low], type_), pa.array([y for _, y in low], type_)], names=["u", "v"])
+
+    u, v, type_ = [], [], None
+    for b in batches:
+        type_ = b.column("u").type
+        u += b.column("u").to_pylist()
+        v += b.column("v").to_pylist()
+        if len(u) >= LINKS_A_TASK:
+            yield smallest(u, v, type_)
+            u, v = [], []
+    if u:
+        yield smallest(u, v, type_)
+
+
+def components(links: DataFrame, share: int = LINKS_A_TASK) -> DataFrame:
     """(node, component) for all nodes of links (a, b); a component is called after its smallest node.
 
-    Large-star and small-star rounds until nothing changes. A round is one job, written to the shared folder.
+    Each task first joins what its `share` of links joins. Where that is not all, large-star and small-star rounds
+    follow until nothing changes. A round is one job, written to the shared folder.
     """
     e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     mark = None
     while True:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
-        mark = tuple(now)
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        tasks = -(-now[0] // share)
+        if tasks > 1 and tuple(now) != mark:
+            mark = tuple(now)
+            e = cut(e.coalesce(tasks).mapInArrow(_forest, e.schema))
+            both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            e = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+            continue
+        if tasks == 1:
+            e = cut(e.coalesce(1).mapInArrow(_forest, e.schema))
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
 # ---- the operator -----------------------------------------------------------------------------------
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, class_size, kept."""
+    """One row per row of docs: doc_id, class_id, class_size, kept, row_key (a hash of id and text)."""
     prepare(docs.sparkSession)
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
     idf = idf_table(docs)
-    rows = cut(docs.mapInArrow(_signed(idf), "doc_id long, node binary, bands array<long>"))
-    nodes = cut(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
+    docs = docs.withColumn("row_key", _row_key("doc_id", "text"))
+    rows = cut(docs.mapInArrow(_signed(idf), "doc_id long, row_key long, node binary, bands array<long>"))
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    nodes = cut(rows.filter("node IS NOT NULL").groupBy("node").agg(smallest.alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
 
     # buckets of two or more, and their members by how connected they are
     member = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -310,8 +420,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rank = member.groupBy("node").agg(F.sum("size").alias("rank"))
     member = cut(member.join(rank, "node").select("bucket", "node", "rank"))
 
-    needed = member.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    texts = cut(docs.join(needed, docs["doc_id"].eqNullSafe(needed["rep"])).select("node", "text").mapInArrow(_own_text, "node binary, text string").dropDuplicates(["node"]))
+    needed = member.select("node").distinct().join(nodes.select("node", F.col("rep.doc_id").alias("id"), F.col("rep.row_key").alias("row_key")), "node")
+    texts = docs.join(needed, (docs["row_key"] == needed["row_key"]) & docs["doc_id"].eqNullSafe(needed["id"])).select(docs["row_key"], "node", "text")
+    texts = cut(texts.dropDuplicates(["row_key"]).select("node", "text"))  # repeated rows
 
     def compare(pairs: DataFrame) -> DataFrame:
         """Links among the pairs."""
@@ -327,33 +438,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a leader has been compared with all of its bucket; where the others are of one component, nothing is left to do
     state = member.join(lead, "bucket").filter("node <> leader").join(part, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    state = state.join(cut(mixed), "bucket")
-
-    left = cut(state.select("node", "component").distinct())
-    rest = texts.join(left.select("node"), "node")
-    order = shingle_order(rest, idf)
-    first = cut(rest.mapInArrow(_prefixed(idf, order, similar), "node binary, total double, shingles array<long>").join(left, "node").select("node", "component", "total", F.explode("shingles").alias("shingle")))
-    shared = cut(first.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("shingle"))
-    first = cut(first.join(shared, "shingle"))
-    one, two = (first.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "component", "total"))) for k in "ab")
-    fits = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("total_a", "total_b") >= (similar - 1e-6) * F.greatest("total_a", "total_b"))
-    pairs = one.join(two, (one["shingle"] == two["shingle"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    found = compare(pairs)
-    joined = cut(components(links.union(found))) if found.limit(1).count() else part
-
-    named = nodes.select("node", "rep", "copies").join(joined, "node", "left").select("node", "rep", "copies", F.coalesce("component", "node").alias("component"))
-    classes = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size")).filter("class_size > 1")
-    of_node = cut(named.join(cut(classes), "component").select("node", "class_id", "class_size", F.lit(True).alias("found")))
-    return rows.select("doc_id", "node").join(of_node, "node", "left").select(
+    left = state.join(mixed, "bucket").select("node", "component").distinct()
+    rest = cut(texts.join(left, "node").select("component", "text").mapInArrow(_featured(idf), "component binary, total double, h array<long>, w array<float>").withColumns({"nid": F.monotonically_increasing_id(), "cid": F.xxhash64("component")}))
+    named = nodes.select("node", "rep", "copies").join(part, "node", "left").select("node", "rep", "copies", F.coalesce("component", "node").alias("component"))
+    if more := links_between(rest, similar):
+        of = rest.select("nid", "component")
+        found = reduce(DataFrame.union, more).join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        merged = components(found).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        named = named.join(merged, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
+
+    classes = named.groupBy("component").agg(F.min("rep").alias("low"), F.sum("copies").alias("class_size")).filter("class_size > 1")
+    of_node = cut(named.select("node", "component").join(cut(classes), "component").select("node", "low", "class_size"))
+    found = F.col("low").isNotNull()
+    return rows.select("doc_id", "node", "row_key").join(of_node, "node", "left").select(
         "doc_id",
-        F.when(F.col("found"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(found, F.col("low.doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
-        F.when(F.col("found"), F.col("doc_id").eqNullSafe(F.col("class_id"))).otherwise(F.lit(True)).alias("kept"),
+        F.when(found, F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("row_key") == F.col("low.row_key"))).otherwise(F.lit(True)).alias("kept"),
+        "row_key",
     )
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """A row's id and text as one hash."""
+    return F.xxhash64(id_col, text_col)
+
+
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one text of each class, with their columns. Rows of an id that was dropped go; of rows that
-    share an id but not a text, those of the class's smallest id stay."""
-    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__id"]), "left_anti")
+    """The rows of docs that stay, one text of each class, with their columns. A row goes by its id and its text, so that another
+    text under the same id stays; rows that repeat the kept one stay with it."""
+    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row")).distinct()
+    own = docs[id_col].cast("long")
+    return docs.join(gone, own.eqNullSafe(gone["__id"]) & (F.xxhash64(own, text_or_empty(docs[text_col])) == gone["__row"]), "left_anti")
