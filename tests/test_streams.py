@@ -2,6 +2,8 @@ import json
 
 import pytest
 
+from veilspark import cli
+
 from veilspark.sources import documents as D
 from veilspark.sources import models as M
 from veilspark.streaming import monitor as ST
@@ -51,3 +53,24 @@ def test_loaders(spark, tmp_path):
     log = tmp_path / "log.json"
     log.write_text(json.dumps({"event_id": "1", "risk_score": 5}) + "\n\n{broken\n")
     assert [r.risk_score for r in D.read_events(spark, str(log)).collect()] == [5]
+
+
+def test_folders_of_assets(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"asset_id": "x", "value": "v"}, 3, null, "y", []]')
+    (tmp_path / "b.json").write_text('{"assets": [{"asset_id": "z", "value": "w"}, 1]}')
+    (tmp_path / "c.json").write_text("[{")
+    (tmp_path / "d.txt").write_text('[{"asset_id": "no", "value": "no"}]')
+    assert sorted(r.asset_id for r in D.load_assets(spark, str(tmp_path)).collect()) == ["x", "z"]
+    assert [r.asset_id for r in D.load_assets(spark, str(tmp_path), pattern="*.txt").collect()] == ["no"]
+
+
+def test_assets_are_matched_with_the_given_registry(spark, tmp_path, capsys):
+    (tmp_path / "own.json").write_text('[{"asset_id": "mine", "name": "n", "type": "exact", "value": "BLUE-HERON-7", "aliases": [], "risk_level": "high", "allowed_roles": [], "protection_modes": ["exact_match"], "enabled": true}]')
+    cli.main(["asset", "match", "say BLUE-HERON-7 now", "--registry", str(tmp_path / "own.json")], spark)
+    assert [json.loads(r)["asset_id"] for r in capsys.readouterr().out.splitlines()] == ["mine"]
+
+
+def test_buffers_of_long_streams(spark):
+    rows = [("a", i, [None, "", f"<{i}>"][i % 3]) for i in range(60)]
+    got = {r.seq: r.buffer for r in ST.buffers(spark.createDataFrame(rows, "stream_id string, seq long, chunk string"), "stream_id", "seq", "chunk", 10).collect()}
+    assert all(got[i] == "".join(c or "" for _, j, c in rows if j <= i)[-10:] for i in range(60))

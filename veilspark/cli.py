@@ -6,7 +6,7 @@ import argparse
 import importlib
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed_values as V
@@ -26,14 +26,22 @@ def analyze(spark: SparkSession, prompt: str) -> dict:
     return {"success": True, "blocked": not row.should_call_llm, "safe_output": row.safe_response, **row.asDict()}
 
 
-def chat(spark: SparkSession, prompt: str, client, model: str) -> dict:
+LISTS = ("aliases", "allowed_roles", "protection_modes")
+
+
+def held(table: DataFrame) -> Column:
+    """The assets of a registry as an array; a registry is small, which the literal checks."""
+    return A.literal([tuple(r[f] if r[f] is not None or f not in LISTS else [] for f in A.FIELDS if f != "enabled") for r in table.filter(F.coalesce("enabled", F.lit(True))).limit(A.MAX_LITERAL + 1).collect()])
+
+
+def chat(spark: SparkSession, prompt: str, client, model: str, assets: DataFrame | None = None) -> dict:
     """Analyze, ask the model if the policy lets it, and guard its answer."""
     seen = analyze(spark, prompt)
     if seen["blocked"]:
         return seen
     asked = spark.createDataFrame([(0, seen["final_prompt"])], "key long, prompt string")
     answer = models.generate(asked, client, model)
-    row = outputs.inspect(answer, A.literal()).select("success", "safe_output", "action", F.col("is_blocked").alias("blocked")).first()
+    row = outputs.inspect(answer, held(assets) if assets is not None else A.literal()).select("success", "safe_output", "action", F.col("is_blocked").alias("blocked")).first()
     return seen | row.asDict()
 
 
@@ -76,7 +84,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if what == "show":
             rows = table.filter(F.col("asset_id") == a.value).collect()
         elif what == "match":
-            rows = spark.createDataFrame([(a.value,)], "text string").select(F.explode(A.secret_match(F.col("text"), A.literal())).alias("m")).select("m.*").collect()
+            rows = spark.createDataFrame([(a.value,)], "text string").select(F.explode(A.secret_match(F.col("text"), held(table))).alias("m")).select("m.*").collect()
         elif what == "add":
             table, rows = A.add(table, spark.createDataFrame([json.loads(a.value)], A.SCHEMA))
             rows = rows.collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -17,6 +18,7 @@ from veilspark.operators import leakage as LK
 from veilspark.operators import outputs as O
 from veilspark.operators import tokens as TK
 from veilspark.plans.benchmarks import Evaluator, summarise
+from veilspark.plans.probes import with_probes
 from veilspark.plans.registry import ASSETS_SQL, OUTPUTS, PROMPTS, case, has, outputs, prompts, query, quoted, rows, rx, table, tags
 from veilspark.sources import documents as D
 from veilspark.sources import models as M
@@ -329,7 +331,7 @@ def fn19(spark, d):
     return E.complete(events(spark, d).withColumn("event_id", F.lit(None).cast("string"))).select("session_id", "policy_action", "risk_score", "user_role", "conversation_turn", (F.col("event_id").startswith("evt_") & F.col("timestamp").isNotNull()).alias("has_id"))
 
 
-query("FN22", f"{EVENTS_SQL} SELECT event_id, round(risk_score / 8, 2) AS r, greatest(10, least(90, risk_score)) AS c FROM e WHERE risk_score % 4 <> 1 AND risk_score % 4 <> 3")(lambda spark, d: events(spark, d).select("event_id", F.bround(F.col("risk_score") / 8, 2).alias("r"), F.greatest(F.lit(10), F.least(F.lit(90), F.col("risk_score"))).alias("c")))
+query("FN22", f"{EVENTS_SQL} SELECT event_id, round_even(risk_score / 8, 2) AS r, greatest(10, least(90, risk_score)) AS c FROM e")(lambda spark, d: events(spark, d).select("event_id", F.bround(F.col("risk_score") / 8, 2).alias("r"), F.greatest(F.lit(10), F.least(F.lit(90), F.col("risk_score"))).alias("c")))
 query("FN23", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso")))
 query("FN24", "SELECT event_id, '{\"kind\":\"' || event_type || '\",\"note\":\"é\"}' AS j FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("kind"), F.lit("é").alias("note"))).alias("j")))
 
@@ -349,8 +351,18 @@ def saved(spark):
     return path
 
 
+def mixed(spark):
+    """A folder with the assets as a bare list, rows that are no objects among them, a broken file and one of another kind."""
+    path = folder(spark, "mixed")
+    rows = [json.loads(r) for r in A.default_assets(spark).toJSON().collect()]
+    D.save_text(spark, json.dumps([3, *rows[:2], None, "x", [], *rows[2:]], ensure_ascii=False), f"{path}/list.json")
+    D.save_text(spark, '{"assets": [', f"{path}/broken.json")
+    D.save_text(spark, '{"assets": [{"asset_id": "no", "value": "no"}]}', f"{path}/other.txt")
+    return path
+
+
 for _n in ("SRC1", "SRC2", "SRC3", "SRC4", "SNK2"):
-    query(_n, f"WITH {ASSETS_SQL} SELECT asset_id, value, len(aliases) AS n, source FROM a")(lambda spark, d, n=_n: D.load_assets(spark, saved(spark), "system" if n == "SRC3" else None, "*.txt" if n == "SRC2" else None).select("asset_id", "value", F.size("aliases").alias("n"), "source"))
+    query(_n, f"WITH {ASSETS_SQL} SELECT asset_id, value, len(aliases) AS n, source FROM a")(lambda spark, d, n=_n: D.load_assets(spark, mixed(spark) if n in ("SRC1", "SRC2") else saved(spark), "system" if n == "SRC3" else None, None if n in ("SRC1", "SRC2") else "*.txt").select("asset_id", "value", F.size("aliases").alias("n"), "source"))
 
 ATTACK_ROWS = [{"category": k, "severity": v[1]} for k, v in V.ATTACKS.items()]
 
@@ -448,6 +460,17 @@ def str1(spark, d):
     return ST.inspect_chunks(chunked(spark, d), WATCHED, WORDS).select("stream_id", "seq", "interrupted", "matched_type")
 
 
+@query("STR1_stream", f"{BUFFER_SQL}, f AS (SELECT stream_id, min(seq) FILTER (matched_type IS NOT NULL) AS stop FROM m GROUP BY stream_id) SELECT stream_id::VARCHAR AS stream_id, seq, matched_type IS NOT NULL AS interrupted, matched_type FROM m JOIN f USING (stream_id) WHERE stop IS NULL OR seq <= stop")
+def str1_stream(spark, d):
+    """The stateful form over the same chunks: up to the interruption it says what the windows say."""
+    path = folder(spark, "watched")
+    live = spark.readStream.schema(table(spark, d, "conversations").schema).parquet(f"{d}/conversation[s].parquet").filter("role = 'assistant'")  # a pattern, as a plain path must be a folder
+    chunks = with_probes(live).select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), words().alias("chunk"), F.lit(False).alias("done"))
+    to = ST.monitor_stream(chunks, WATCHED, WORDS).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+    to.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("stream_id string, seq long, interrupted boolean, matched_type string").parquet(f"{path}/out")
+
+
 @query("STR2", f"{BUFFER_SQL} SELECT stream_id, arg_max(matched_type, seq) FILTER (seq = mx) AS at_end FROM (SELECT *, max(seq) OVER (PARTITION BY stream_id) AS mx FROM m) GROUP BY stream_id")
 def str2(spark, d):
     x = ST.inspect_chunks(chunked(spark, d), WATCHED, WORDS)

@@ -56,7 +56,11 @@ def nrm10_steps(spark, d):
     return x.select(*ID, F.explode(T.confusable_steps(words())).alias("s")).select(*ID, "s.*")
 
 
-@query("NRM11", f"{PROMPTS} SELECT conv_id, turn, left(text, 40) AS \"base64\", left(text, 40) AS \"hex\" FROM c WHERE length(text) > 0 AND NOT regexp_matches(left(text, 40), '[^ -~]')")
+#: Controls but tabs, line feeds and carriage returns make a decoded text unreadable.
+READABLE_SQL = "text <> '' AND NOT regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')"
+
+
+@query("NRM11", f"{PROMPTS} SELECT conv_id, turn, CASE WHEN {READABLE_SQL} THEN text END AS \"base64\", CASE WHEN {READABLE_SQL} AND strlen(text) >= 2 THEN text END AS \"hex\" FROM c")
 def nrm11(spark, d):
     x = prompts(spark, d)
     return x.select(*ID, T.decoded(T.to_base64(words()))["base64"].alias("base64"), T.decoded(T.to_hex(words()))["hex"].alias("hex"))
@@ -68,7 +72,7 @@ def nrm14(spark, d):
     return n.select(*ID, "n.normalized_text", "n.compact_text", csv(F.col("n.suspicion_flags")).alias("flags"), csv(F.col("n.matched_aliases")).alias("aliases"), F.size("n.decoded_candidates").alias("n_decoded"))
 
 
-@query("NRM16", f"{PROMPTS} SELECT conv_id, turn, left(text, 30) AS out FROM c WHERE length(text) >= 2")
+@query("NRM16", f"{PROMPTS} SELECT conv_id, turn, nullif(text, '') AS out FROM c")
 def nrm16(spark, d):
     x = prompts(spark, d).select(*ID, T.unicode_code(words()).alias("e"))
     return x.select(*ID, F.get(T.unescaped(F.col("e")), F.lit(0)).alias("out"))
@@ -559,7 +563,7 @@ def agg17(spark, d):
     return R.session_stats(x, "conv_id", F.col("hits") >= 3, F.col("hits"), F.col("is_attack")).select("conv_id", "total_interactions", "blocked_count", "accumulated_risk")
 
 
-@query("WIN4", f"{PROMPTS} SELECT conv_id, turn, string_agg(left(text, 10), '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS recent FROM c")
+@query("WIN4", f"{PROMPTS} SELECT conv_id, turn, string_agg(text, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS recent FROM c")
 def win4(spark, d):
     return R.last_interactions(prompts(spark, d), "conv_id", "turn", words()).select(*ID, F.array_join("recent", "|").alias("recent"))
 

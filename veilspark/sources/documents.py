@@ -79,14 +79,16 @@ def load_or_default(spark: SparkSession, path: str | None, default: dict) -> tup
 
 
 def load_assets(spark: SparkSession, path: str, source: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Assets of a file {assets: [..]} or [..], or of all files of a folder; missing and broken files have none.
-    Rows that are no objects are left out. source: stands where a row has none."""
-    if not exists(spark, path):
+    """Assets of a file {assets: [..]} or [..], or of all files of a folder that the pattern names (`*.json`); missing and
+    broken files have none. Rows that are no objects are left out. source: stands where a row has none."""
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
         return spark.createDataFrame([], SCHEMA)
-    texts = spark.read.option("pathGlobFilter", pattern or "*").text(path, wholetext=True)
-    row = "array<struct<" + ",".join(f.replace(" ", ":", 1) for f in SCHEMA.split(", ")) + ">>"
-    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", row)).otherwise(F.from_json("value", f"assets {row}")["assets"])
-    rows = texts.select(F.explode(listed).alias("a")).filter("a IS NOT NULL").select("a.*").filter(" OR ".join(f"{f} IS NOT NULL" for f in FIELDS))
+    reader = spark.read if not pattern and fs.getFileStatus(p).isFile() else spark.read.option("pathGlobFilter", pattern or "*.json")
+    texts = reader.text(path, wholetext=True)
+    rows = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.from_json("value", "assets array<string>")["assets"])
+    each = texts.select(F.explode(rows).alias("row")).filter(F.ltrim("row").startswith("{")).select(F.from_json("row", SCHEMA).alias("a"))
+    rows = each.select("a.*").filter(" OR ".join(f"{f} IS NOT NULL" for f in FIELDS))
     return rows.withColumn("source", F.coalesce("source", F.lit(source))) if source else rows
 
 

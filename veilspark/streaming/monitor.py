@@ -21,9 +21,13 @@ BUFFER = 2000
 
 
 def buffers(df: DataFrame, stream_col: str, order_col: str, chunk_col: str, size: int = BUFFER) -> DataFrame:
-    """Adds the rolling buffer after each chunk."""
-    w = Window.partitionBy(stream_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("buffer", F.right(F.array_join(F.collect_list(F.coalesce(chunk_col, F.lit(""))).over(w), ""), F.lit(size)))
+    """Adds the rolling buffer after each chunk. Its last `size` characters lie in the last `size` chunks that aren't empty, which bounds the
+    frame whatever the length of a stream."""
+    some = F.when(F.length(chunk_col) > 0, F.col(chunk_col))
+    so_far = Window.partitionBy(stream_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    last = Window.partitionBy(stream_col).orderBy("__some").rangeBetween(1 - size, 0)
+    x = df.withColumn("__some", F.count(some).over(so_far))
+    return x.withColumn("buffer", F.right(F.array_join(F.collect_list(some).over(last), ""), F.lit(size))).drop("__some")
 
 
 def buffer_hit(buffer: Column, assets: list[tuple[str, str]], tokens: list[str]) -> Column:
@@ -64,10 +68,11 @@ def check_output(df: DataFrame, assets: list[tuple[str, str]], tokens: list[str]
     return df.withColumns({"blocked": hit.isNotNull(), "reason": reason})
 
 
-def monitor_stream(chunks: DataFrame, assets: list[tuple[str, str]], tokens: list[str], size: int = BUFFER, idle: str = "10 minutes") -> DataFrame:
+def monitor_stream(chunks: DataFrame, assets: list[tuple[str, str]], tokens: list[str], size: int = BUFFER, idle: str | None = None) -> DataFrame:
     """chunks: a stream (stream_id string, seq long, chunk string, done boolean). Emits (stream_id, seq, interrupted, matched_type, chunk): after an interruption a
-    stream emits nothing more; `done` inspects the buffer a last time and clears the state, as does the time that it may be idle."""
-    minutes = int(idle.split()[0]) * 60_000
+    stream emits nothing more; `done` inspects the buffer a last time and clears the state. idle, such as "10 minutes", is for queries that run on:
+    state goes after that time without a chunk. A bounded run (availableNow) must not have it, as Spark then waits for timeouts without end."""
+    minutes = int(idle.split()[0]) * 60_000 if idle else 0
     values = [(v.lower(), fragments(v)) for v, _ in assets if v]
     words = [t.lower() for t in tokens]
 
@@ -94,10 +99,11 @@ def monitor_stream(chunks: DataFrame, assets: list[tuple[str, str]], tokens: lis
             if r.done:
                 buffer, stopped = "", False
         state.update((buffer, stopped))
-        state.setTimeoutDuration(minutes)
+        if minutes:
+            state.setTimeoutDuration(minutes)
         yield pd.DataFrame(rows, columns=["stream_id", "seq", "interrupted", "matched_type", "chunk"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, interrupted boolean, matched_type string, chunk string", "buffer string, stopped boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, interrupted boolean, matched_type string, chunk string", "buffer string, stopped boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if minutes else GroupStateTimeout.NoTimeout)
 
 
 def rebuilt_fragments(value: Column) -> Column:
