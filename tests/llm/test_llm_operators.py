@@ -279,6 +279,26 @@ def test_kneser_ney_of_higher_order(spark, order):
         assert math.isclose(got[i].score, sum(math.log10(p(g)) for g in grams(split(t))), rel_tol=1e-9)
 
 
+def test_missing_files_of_a_model(spark):
+    df = spark.createDataFrame([(i, prose(random.Random(i), 30)) for i in range(20)], "doc_id long, text string")
+    model = kneser_ney.train(df)
+    assert model.files and kneser_ney.Scorer(model).score_all(["alpha bravo"]).n_tokens.tolist() == [3]
+    model.folder += "-gone"
+    with pytest.raises(FileNotFoundError):
+        kneser_ney.Scorer(model).score_all(["alpha bravo"])
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 15, 16, 5000])
+def test_ranged_keys(n):
+    rng = np.random.default_rng(n)
+    key = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    low, index = kneser_ney.ranged(key)
+    other = np.sort(rng.integers(0, 2**64, 3000, dtype=np.uint64))
+    assert kneser_ney.places_of(key, low, index).tolist() == list(range(len(key)))
+    assert (kneser_ney.places_of(other, low, index) == -1).all()
+    assert (kneser_ney._keys(kneser_ney._packed_keys(key)) == key).all()
+
+
 def test_op7_tells_scrambled_texts(spark, tmp_path):
     texts = ["a b c"] * 20 + ["d b e"] * 20 + ["a b e"]  # every pair of the last one is seen as often as those of the others
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1][:40] + [next(i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1)]

@@ -1,7 +1,7 @@
 """Language-model scores from an interpolated modified Kneser-Ney model of n-grams; the order is a parameter, 3 by default.
 
 Counting: each task hashes its tokens, counts n-grams of the order and tokens in sorted runs of up to `RUN_TOKENS`
-tokens, and sends each run in pieces, one per shard, as packed arrays (each word once, and places in the list of words). A shard
+tokens, and sends each run in pieces, one per shard, as compressed arrays (each word once, and places in the list of words). A shard
 merges its pieces. An n-gram's shard follows from its last two words, so that all that lower orders count (the
 different words before each shorter n-gram) is in the same shard and needs no shuffle. The shard writes the n-grams of all orders as
 sorted hash arrays and sends sums for contexts of one word and continuations to the shards of their words, which write sorted arrays
@@ -10,8 +10,10 @@ n-grams lie in `SPREAD` shards, by their last word; sums of longer contexts are
 many as spark.sql.shuffle.partitions, rounded up to a multiple of SPREAD.
 
 Scoring: workers map the arrays into memory and look tokens up by binary search, sorted per chunk of texts.
+Of a 64-bit hash, an array holds 32 bits; those above follow from its place, as an index of the first bits tells where each range begins. An n-gram that was
+not learned is thus taken for another one in about one of 2^32 cases. Rows of ones, the most frequent ones, need no numbers.
 The store is a folder below spark.checkpoint.dir. A store that isn't a shared file system is copied
-shard by shard to unlinked local files when first touched.
+shard by shard to unlinked local files when first touched. The model names the files that were written; one that is missing is an error.
 
 p(w|h) = max(c(hw) - D(c), 0) / c(h.) + g(h) p(w|h'), h' without the first word of h; at the end
 p1(w) = max(N(.w) - D', 0) / N(..) + g' / (V + 1). c counts occurrences at the highest order, and different words before at lower
@@ -27,6 +29,7 @@ from __future__ import annotations
 import io
 import mmap
 import os
+import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,6 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,12 +108,63 @@ def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (key[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values))
 
 
-def mapped(path: str) -> np.ndarray:
-    """An array file, mapped without holding a file open: workers map many."""
+def _arrays(buffer, at: int = 0) -> dict[str, np.ndarray]:
+    """The arrays of a shard's file, as views of the buffer."""
+    size = struct.unpack_from("<I", buffer, at)[0]
+    out, at = {}, at + 4 + size
+    for line in bytes(buffer[at - size : at]).decode().split():
+        name, dtype, *shape = line.split(":")
+        shape = tuple(map(int, shape))
+        out[name] = np.ndarray(shape, dtype, buffer, at)
+        at += -(-out[name].nbytes // 8) * 8
+    return out
+
+
+def _file(arrays: dict[str, np.ndarray]) -> bytes:
+    head = " ".join(":".join([n, a.dtype.str, *map(str, a.shape)]) for n, a in arrays.items()).encode()
+    head += b" " * (-(len(head) + 4) % 8)
+    return struct.pack("<I", len(head)) + head + b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in arrays.values())
+
+
+def mapped(path: str) -> dict[str, np.ndarray]:
+    """A shard's arrays, mapped without holding a file open: workers map many."""
     with open(path, "rb") as f:
-        np.lib.format.read_magic(f)
-        shape, fortran, dtype = np.lib.format.read_array_header_1_0(f)
-        return np.ndarray(shape, dtype, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), f.tell(), order="F" if fortran else "C")
+        return _arrays(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False))
+
+
+PER_RANGE = 16
+
+
+def ranged(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes as 32 bits each, and where the range of each of their first bits begins."""
+    bits = max(0, (len(key) // PER_RANGE).bit_length())
+    top = key >> np.uint64(64 - bits) if bits else np.zeros(len(key), np.uint64)
+    return (key << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), np.searchsorted(top, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+
+
+def places_of(key: np.ndarray, low: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Where `ranged` hashes hold the keys; -1 where they don't."""
+    bits = (len(index) - 1).bit_length() - 1
+    top = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+    want, a, b = (key << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), index[top].astype(np.int64), index[top + 1].astype(np.int64)
+    end = b
+    for _ in range(int((b - a).max(initial=0)).bit_length()):
+        mid = (a + b) >> 1
+        less = (a < b) & (low[np.minimum(mid, len(low) - 1)] < want)
+        a, b = np.where(less, mid + 1, a), np.where(less, b, np.where(a < b, mid, b))
+    hit = (a < end) & (low[np.minimum(a, len(low) - 1)] == want) if len(low) else np.zeros(len(key), bool)
+    return np.where(hit, a, -1)
+
+
+def tabled(kind: str, key: np.ndarray, rows: np.ndarray, ones: list[int]) -> dict[str, np.ndarray]:
+    """Arrays of a table: keys whose row is `ones`, and the other keys with their rows."""
+    plain = (rows == ones).all(1)
+    low, index = ranged(key[plain])
+    rest, rest_index = ranged(key[~plain])
+    return {f"{kind}-ones": low, f"{kind}-ones-index": index, f"{kind}-rest": rest, f"{kind}-rest-index": rest_index, f"{kind}-rows": narrow(rows[~plain])}
+
+
+ONES = {"gram": [1], "context": [1, 1, 0, 0], "word": [1, 1, 1, 1, 0, 0]}
 
 
 class Store:
@@ -120,32 +175,31 @@ class Store:
         scheme, _, rest = folder.partition(":")
         self.local = "/" + rest.lstrip("/") if scheme == "file" else folder if "://" not in folder else None
 
-    def write(self, name: str, array: np.ndarray) -> None:
+    def write(self, name: str, arrays: dict[str, np.ndarray]) -> str:
         """Replaces the file at once, so that a retried task leaves a whole one."""
         if self.local:
             os.makedirs(self.local, exist_ok=True)
             draft = f"{self.local}/.{name}-{uuid.uuid4().hex}"
             with open(draft, "wb") as f:
-                np.save(f, array)
-            os.replace(draft, f"{self.local}/{name}.npy")
+                f.write(_file(arrays))
+            os.replace(draft, f"{self.local}/{name}")
         else:
             from pyarrow import fs
 
             system, top = fs.FileSystem.from_uri(self.folder)
             system.create_dir(top, recursive=True)
-            data = io.BytesIO()
-            np.save(data, array)
             with system.open_output_stream(draft := f"{top}/.{name}-{uuid.uuid4().hex}") as f:
-                f.write(data.getvalue())
-            system.move(draft, f"{top}/{name}.npy")
+                f.write(_file(arrays))
+            system.move(draft, f"{top}/{name}")
+        return name
 
-    def map(self, name: str) -> np.ndarray:
+    def map(self, name: str) -> dict[str, np.ndarray]:
         if self.local:
-            return mapped(f"{self.local}/{name}.npy")
+            return mapped(f"{self.local}/{name}")
         from pyarrow import fs
 
         system, top = fs.FileSystem.from_uri(self.folder)
-        with system.open_input_stream(f"{top}/{name}.npy") as f, tempfile.NamedTemporaryFile() as copy:
+        with system.open_input_stream(f"{top}/{name}") as f, tempfile.NamedTemporaryFile() as copy:
             while block := f.read(1 << 22):
                 copy.write(block)
             copy.flush()
@@ -156,43 +210,73 @@ PIECES = "kind string, shard int, key binary, more binary, n binary"
 
 
 def _packed(a: np.ndarray) -> bytes:
-    """A type's width, then the numbers."""
+    """A type's width and the numbers, compressed."""
     a = narrow(a)
-    return bytes([a.itemsize]) + a.tobytes()
+    return zstandard.compress(bytes([a.itemsize]) + a.tobytes(), 1)
+
+
+def _numbers(b: bytes) -> np.ndarray:
+    b = zstandard.decompress(b)
+    return np.frombuffer(b, f"u{b[0]}", offset=1).astype(np.int64)
 
 
 def _unpacked(column: pd.Series) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b, f"u{b[0]}", offset=1).astype(np.int64) for b in column]) if len(column) else np.zeros(0, np.int64)
+    return np.concatenate([_numbers(b) for b in column]) if len(column) else np.zeros(0, np.int64)
+
+
+def _packed_keys(key: np.ndarray) -> bytes:
+    """Ascending hashes as steps, all first bytes of these, all second ones and so on, compressed."""
+    steps = np.diff(key, prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _keys(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def _pieces(kind: str, key: np.ndarray, n: np.ndarray, shards: int) -> pd.DataFrame:
     """One row per shard of words; key is ascending, n has a number or a row of numbers for each."""
     at = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
-    rows = [(kind, s, key[a:b].tobytes(), b"", _packed(n[a:b].ravel())) for s, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b]
+    rows = [(kind, s, _packed_keys(key[a:b]), b"", _packed(n[a:b].ravel())) for s, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b]
     return pd.DataFrame(rows, columns=["kind", "shard", "key", "more", "n"])
 
 
 def _gram_pieces(h: list[np.ndarray], n: np.ndarray, shards: int) -> pd.DataFrame:
-    """One row per shard of n-grams: key has the words in them, more the places in key of all last words, of all words before and so on."""
-    shard = gram_shard(h[1], h[0], shards)
-    order = np.lexsort((h[1], shard))
-    h, n, shard = [c[order] for c in h], n[order], shard[order]
-    at = np.searchsorted(shard, np.arange(shards + 1))
-    rows = []
-    for s, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+    """One row per shard of n-grams: key has the words in them; more the places in key of all last words, of all words before (ascending, as steps) and so on."""
+    words, at = np.unique(np.concatenate(h), return_inverse=True)
+    shard, at = gram_shard(h[1], h[0], shards), at.reshape(len(h), -1)
+    order = np.lexsort((at[0], at[1], shard))
+    at, n, shard = at[:, order], n[order], shard[order]
+    begin = np.searchsorted(shard, np.arange(shards + 1)).tolist()
+    rows, place = [], np.zeros(len(words), np.int64)
+    for s, (a, b) in enumerate(zip(begin[:-1], begin[1:])):
         if a < b:
-            words, places = np.unique(np.concatenate([c[a:b] for c in h]), return_inverse=True)
-            rows.append(("gram", s, words.tobytes(), _packed(places), _packed(n[a:b])))
+            own = np.zeros(len(words), bool)
+            own[at[:, a:b]] = True
+            own = np.flatnonzero(own)
+            place[own] = np.arange(len(own))
+            spots = [place[x[a:b]] for x in at]
+            spots[1] = np.diff(spots[1], prepend=0)
+            parts = [_packed(x) for x in spots]
+            rows.append(("gram", s, _packed_keys(words[own]), b"".join(struct.pack("<I", len(x)) + x for x in parts), _packed(n[a:b])))
     return pd.DataFrame(rows, columns=["kind", "shard", "key", "more", "n"])
 
 
 def _grams(x: pd.DataFrame, order: int) -> list[np.ndarray]:
-    parts = [np.frombuffer(key, np.uint64)[np.frombuffer(more, f"u{more[0]}", offset=1)].reshape(order, -1) for key, more in zip(x.key, x.more)]
-    return list(np.concatenate(parts, axis=1))
+    columns: list[list[np.ndarray]] = [[] for _ in range(order)]
+    for key, more in zip(x.key, x.more):
+        words, at = _keys(key), 0
+        for k, column in enumerate(columns):
+            size = struct.unpack_from("<I", more, at)[0]
+            spots = _numbers(more[at + 4 : at + 4 + size])
+            column.append(words[np.cumsum(spots) if k == 1 else spots])
+            at += 4 + size
+    return [np.concatenate(c) for c in columns]
 
 
 def _joined(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64)
+    return np.concatenate([_keys(b) for b in column]) if len(column) else np.zeros(0, np.uint64)
 
 
 def _runs(shards: int, order: int):
@@ -229,20 +313,20 @@ def _merge_runs(shards: int, folder: str, order: int):
         n = _unpacked(x.n)
         if kind == "word":
             return _pieces("count", *summed(_joined(x.key), n), shards)
-        h, store, stat = _grams(x, order), Store(folder), np.zeros(3 + 4 * order)
+        h, arrays, stat = _grams(x, order), {}, np.zeros(3 + 4 * order)
         for k in range(order, 1, -1):
             key, first, at = np.unique(gram_key(h), return_index=True, return_inverse=True)
             n = np.bincount(at, n, len(key)).astype(np.int64)
             h = [c[first] for c in h]
-            store.write(f"gram{k}-key-{shard:06d}", key)
-            store.write(f"gram{k}-n-{shard:06d}", narrow(n))
+            arrays |= tabled(f"gram{k}", key, n[:, None], ONES["gram"])
             context = summed(gram_key(h[1:]), n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
             stat[_counts_at(k)] = [(n == j).sum() for j in (1, 2, 3, 4)]
             if k > 2:
-                _write_contexts(store, k, shard, context[0], np.column_stack(context[1:]))
+                arrays |= tabled(f"context{k}", context[0], np.column_stack(context[1:]), ONES["context"])
                 h, n = h[:-1], np.ones(len(key), np.int64)
         follows = summed(h[0], np.ones(len(key), np.int64))
-        top = pd.DataFrame([("stat", -1, b"", b"", stat.tobytes())], columns=["kind", "shard", "key", "more", "n"])
+        name = Store(folder).write(f"grams-{shard:06d}", arrays)
+        top = pd.DataFrame([("stat", -1, b"", name.encode(), stat.tobytes())], columns=["kind", "shard", "key", "more", "n"])
         return pd.concat([_pieces("context", context[0], np.column_stack(context[1:]), shards), _pieces("follows", *follows, shards), top], ignore_index=True)
 
     return merge
@@ -254,22 +338,13 @@ def _counts_at(k: int) -> slice:
     return slice(at, at + 4)
 
 
-def _write_contexts(store: Store, k: int, shard: int, key: np.ndarray, table: np.ndarray) -> None:
-    """Contexts of more than one word, with what follows them in this shard. Most have one follower, seen once: for those one row does."""
-    once = (table == [1, 1, 0, 0]).all(1)
-    store.write(f"once{k}-key-{shard:06d}", key[once])
-    store.write(f"once{k}-n-{shard:06d}", np.array([[1, 1, 0, 0]], np.uint8))
-    store.write(f"context{k}-key-{shard:06d}", key[~once])
-    store.write(f"context{k}-n-{shard:06d}", narrow(table[~once]))
-
-
 def _merge_words(shards: int, folder: str, order: int):
     """Writes a shard of words: count, continuations, context total, followers seen once, twice, more often."""
 
     def merge(x: pd.DataFrame) -> pd.DataFrame:
         shard = int(x.shard.iloc[0])
         if shard < 0:
-            return pd.DataFrame({"values": [np.frombuffer(b, np.float64).tolist() for b in x.n]})
+            return pd.DataFrame({"values": [np.frombuffer(b, np.float64).tolist() for b in x.n], "file": [b.decode() for b in x.more]})
         keys, rows = [], []
         for kind, at, width in (("count", 0, 1), ("follows", 1, 1), ("context", 2, 4)):
             own = x[x.kind == kind]
@@ -279,11 +354,9 @@ def _merge_words(shards: int, folder: str, order: int):
             keys.append(k), rows.append(r)
         key, *columns = summed(np.concatenate(keys), *np.concatenate(rows).T)
         table = np.column_stack(columns) if columns else np.zeros((0, 6), np.int64)
-        store = Store(folder)
-        store.write(f"word-key-{shard:06d}", key)
-        store.write(f"word-n-{shard:06d}", narrow(table))
+        name = Store(folder).write(f"words-{shard:06d}", tabled("word", key, table, ONES["word"]))
         c, follows = table[:, 0], table[:, 1]
-        return pd.DataFrame({"values": [[float(c.sum()), float((c > 0).sum()), float(follows.sum()), 0, 0, 0, 0, *(float((follows == k).sum()) for k in (1, 2, 3, 4)), *[0.0] * (4 * order - 8)]]})
+        return pd.DataFrame({"values": [[float(c.sum()), float((c > 0).sum()), float(follows.sum()), 0, 0, 0, 0, *(float((follows == k).sum()) for k in (1, 2, 3, 4)), *[0.0] * (4 * order - 8)]], "file": [name]})
 
     return merge
 
@@ -296,10 +369,10 @@ def discounts(n: list[float]) -> list[float]:
 
 
 class Model:
-    """What scoring needs: the store's folder and a few numbers."""
+    """What scoring needs: the store's folder, the names of its files (two per shard at most) and a few numbers."""
 
-    def __init__(self, folder: str, shards: int, values: list[float], order: int):
-        self.folder, self.shards, self.order = folder, shards, order
+    def __init__(self, folder: str, shards: int, values: list[float], order: int, files: list[str]):
+        self.folder, self.shards, self.order, self.files = folder, shards, order, set(files)
         self.tokens, self.types, self.pairs = (int(v) for v in values[:3])
         self.gram_d = {k: discounts(values[_counts_at(k)]) for k in range(2, order + 1)}
         self.word_d = discounts(values[_counts_at(1)])
@@ -316,41 +389,37 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     shards, folder = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // SPREAD) * SPREAD, shared_folder(spark, "kneser-ney")
     runs = docs.select(text_or_empty(docs[text_col]).alias("text")).mapInPandas(_runs(shards, order), PIECES)
     sums = runs.groupBy("kind", "shard").applyInPandas(_merge_runs(shards, folder, order), SUMS)
-    stats = sums.groupBy("shard").applyInPandas(_merge_words(shards, folder, order), "values array<double>")
-    row = stats.agg(*(F.sum(F.col("values")[i]).alias(f"v{i}") for i in range(3 + 4 * order))).first()
-    return Model(folder, shards, [row[f"v{i}"] or 0.0 for i in range(3 + 4 * order)], order)
+    stats = sums.groupBy("shard").applyInPandas(_merge_words(shards, folder, order), "values array<double>, file string")
+    row = stats.agg(F.collect_set("file").alias("files"), *(F.sum(F.col("values")[i]).alias(f"v{i}") for i in range(3 + 4 * order))).first()
+    return Model(folder, shards, [row[f"v{i}"] or 0.0 for i in range(3 + 4 * order)], order, row.files)
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.store = model, Store(model.folder)
-        self._open = lru_cache(maxsize=None)(self._map)
-
-    def _map(self, kind: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        try:
-            return self.store.map(f"{kind}-key-{shard:06d}"), self.store.map(f"{kind}-n-{shard:06d}")
-        except FileNotFoundError:  # a shard that no key fell into
-            return np.zeros(0, np.uint64), np.zeros((0, 6), np.int64)
+        self._open = lru_cache(maxsize=None)(self.store.map)
 
     def look_up(self, kind: str, key: np.ndarray, shard: np.ndarray, width: int) -> np.ndarray:
-        """Rows of ascending distinct keys in their shards; zeros where there is none. A single row holds for all keys."""
+        """Rows of ascending distinct keys in their shards; zeros where there is none."""
         out = np.zeros((len(key), width), np.int64)
         order = np.argsort(shard, kind="stable")
         at = np.searchsorted(shard[order], np.arange(self.model.shards + 1)).tolist()
         for s in range(self.model.shards):
             mine = order[at[s] : at[s + 1]]
-            keys, rows = self._open(kind, s) if len(mine) else ((), ())
-            if len(keys):
-                spot = np.minimum(np.searchsorted(keys, key[mine]), len(keys) - 1)
-                hit = keys[spot] == key[mine]
-                out[mine[hit]] = rows[spot[hit] if len(rows) == len(keys) else np.zeros(hit.sum(), np.int64)].reshape(-1, width)
+            name = f"{'words' if kind == 'word' else 'grams'}-{s:06d}"
+            if len(mine) and name in self.model.files:  # other shards got no key
+                table = self._open(name)
+                spot = places_of(key[mine], table[f"{kind}-ones"], table[f"{kind}-ones-index"])
+                out[mine[spot >= 0]] = ONES[kind.rstrip("0123456789")]
+                spot = places_of(key[mine], table[f"{kind}-rest"], table[f"{kind}-rest-index"])
+                out[mine[spot >= 0]] = table[f"{kind}-rows"][spot[spot >= 0]]
         return out
 
     def contexts(self, k: int, h: list[np.ndarray]) -> np.ndarray:
         """Total and followers seen once, twice and more often, of the contexts of more than one word that h has."""
         key, first, at = np.unique(gram_key(h), return_index=True, return_inverse=True)
         shard = first_shard(h[0][first], self.model.shards)
-        return sum(self.look_up(kind, key, shard + j, 4) for kind in (f"once{k}", f"context{k}") for j in range(SPREAD))[at]
+        return sum(self.look_up(f"context{k}", key, shard + j, 4) for j in range(SPREAD))[at]
 
     def score_all(self, texts: list[str]) -> pd.DataFrame:
         m = self.model
