@@ -5,9 +5,10 @@ tokens, and sends each run in pieces, one per shard, as compressed arrays (each
 merges its pieces. An n-gram's shard follows from its last two words, so that all that lower orders count (the
 different words before each shorter n-gram) is in the same shard and needs no shuffle. The shard writes the n-grams of all orders as
 sorted hash arrays and sends sums for contexts of one word and continuations to the shards of their words, which write sorted arrays
-of words. So frequent words and n-grams reach a shard once per run, and rows of Spark stay few and of similar size. A context's
-n-grams lie in `SPREAD` shards, by their last word; sums of longer contexts are added up when they are looked up. Shards are as
-many as spark.sql.shuffle.partitions, rounded up to a multiple of SPREAD.
+of words. So frequent words and n-grams reach a shard once per run, and rows of Spark stay few and of similar size. Shards are as many as
+spark.sql.shuffle.partitions. The n-grams of a hot word before the last are split over several shards by their last word, so many that none
+gets more than about half of a shard's mean; sums of longer contexts are added up when they are looked up. Which words are hot is told by a
+sample of about `SAMPLED` texts; it decides where n-grams are counted and not how, so that results don't depend on it.
 
 Scoring: workers map the arrays into memory and look tokens up by binary search, sorted per chunk of texts.
 Of a 64-bit hash, an array holds 32 bits; those above follow from its place, as an index of the first bits tells where each range begins. An n-gram that was
@@ -26,7 +27,7 @@ from; without a training row the model is uniform over one unknown token; repeat
 
 from __future__ import annotations
 
-import io
+import math
 import mmap
 import os
 import struct
@@ -41,16 +42,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import chunks, crc32_id, mix, prepare, shared_folder, text_or_empty, word_hash, word_hashes
+from veilspark.llm.common import chunks, crc32_id, cut, mix, prepare, shared_folder, text_or_empty, word_hash, word_hashes
 
 ORDER = 3
-RUN_TOKENS = 2_000_000
-SPREAD = 4
+RUN_TOKENS = 4_000_000
+SAMPLED = 2000
+SCORED_CHARS = 4_000_000
 END, START = np.uint64(word_hash(b"\0end")), np.uint64(word_hash(b"\0start"))
 
 
-def sequences(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashes of all tokens, of the tokens before them, of those two before and so on; and the number of tokens of each text."""
+def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, and the number of tokens of each text."""
     words, lens = [], []
     for t in texts:
         w = t.encode("utf-8", "surrogatepass").lower().split()
@@ -62,13 +64,18 @@ def sequences(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarra
     inner = np.ones(len(w), bool)
     inner[ends] = False
     w[inner], w[ends] = word_hashes(words), END
-    h = [w]
+    return w, n
+
+
+def histories(w: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray]:
+    """The tokens, those before them, those two before and so on."""
+    h, begin = [w], np.cumsum(n) - n
     for _ in range(order - 1):
         u = np.empty_like(w)
         u[1:] = h[-1][:-1]
-        u[ends - n + 1] = START
+        u[begin] = START
         h.append(u)
-    return h, n
+    return h
 
 
 def gram_key(h: list[np.ndarray]) -> np.ndarray:
@@ -84,14 +91,27 @@ def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def gram_shard(u: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
-    """Of n-grams that end in u, w."""
-    return first_shard(u, shards) + (w % np.uint64(SPREAD)).astype(np.int64)
+class Layout:
+    """Which shard n-grams belong to: hot words before the last have several, one after the other."""
+
+    def __init__(self, shards: int, hot: dict[int, int]):
+        self.shards = shards
+        self.hot = np.array(sorted(hot), np.uint64)
+        self.parts = np.array([hot[k] for k in sorted(hot)], np.int64)
+
+    def spread(self, u: np.ndarray) -> np.ndarray:
+        """In how many shards n-grams are that have u before the last word."""
+        if not len(self.hot):
+            return np.ones(len(u), np.int64)
+        at = np.minimum(np.searchsorted(self.hot, u), len(self.hot) - 1)
+        return np.where(self.hot[at] == u, self.parts[at], 1)
 
+    def shard(self, u: np.ndarray, part: np.ndarray | int) -> np.ndarray:
+        return (shard_of(mix(u), self.shards) + part) % self.shards
 
-def first_shard(u: np.ndarray, shards: int) -> np.ndarray:
-    """The first of the SPREAD shards of contexts that end in u."""
-    return shard_of(mix(u), shards // SPREAD) * SPREAD
+    def gram(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Of n-grams that end in u, w."""
+        return self.shard(u, (w % self.spread(u).astype(np.uint64)).astype(np.int64))
 
 
 def narrow(a: np.ndarray) -> np.ndarray:
@@ -242,13 +262,13 @@ def _pieces(kind: str, key: np.ndarray, n: np.ndarray, shards: int) -> pd.DataFr
     return pd.DataFrame(rows, columns=["kind", "shard", "key", "more", "n"])
 
 
-def _gram_pieces(h: list[np.ndarray], n: np.ndarray, shards: int) -> pd.DataFrame:
-    """One row per shard of n-grams: key has the words in them; more the places in key of all last words, of all words before (ascending, as steps) and so on."""
-    words, at = np.unique(np.concatenate(h), return_inverse=True)
-    shard, at = gram_shard(h[1], h[0], shards), at.reshape(len(h), -1)
+def _gram_pieces(h: list[np.ndarray], n: np.ndarray, words: np.ndarray, layout: Layout) -> pd.DataFrame:
+    """One row per shard of n-grams: key has the words in them; more the places in key of all last words, of all words before (ascending, as steps) and so on. words has all of them, ascending."""
+    shard = layout.gram(h[1], h[0])
+    at = np.array([np.searchsorted(words, x) for x in h], np.int32)
     order = np.lexsort((at[0], at[1], shard))
     at, n, shard = at[:, order], n[order], shard[order]
-    begin = np.searchsorted(shard, np.arange(shards + 1)).tolist()
+    begin = np.searchsorted(shard, np.arange(layout.shards + 1)).tolist()
     rows, place = [], np.zeros(len(words), np.int64)
     for s, (a, b) in enumerate(zip(begin[:-1], begin[1:])):
         if a < b:
@@ -279,22 +299,24 @@ def _joined(column: pd.Series) -> np.ndarray:
     return np.concatenate([_keys(b) for b in column]) if len(column) else np.zeros(0, np.uint64)
 
 
-def _runs(shards: int, order: int):
+def _runs(layout: Layout, order: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pd.DataFrame]:
-            h = [np.concatenate(c) for c in zip(*held)]
+            w, n = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            word, n = np.unique(h[0], return_counts=True)
-            yield _pieces("word", word, n, shards)
-            _, first, n = np.unique(gram_key(h), return_index=True, return_counts=True)
-            yield _gram_pieces([c[first] for c in h], n, shards)
+            word, count = np.unique(w, return_counts=True)
+            yield _pieces("word", word, count, layout.shards)
+            h = histories(w, n, order)
+            _, first, count = np.unique(gram_key(h), return_index=True, return_counts=True)
+            h = [c[first] for c in h]
+            yield _gram_pieces(h, count, np.union1d(word, START), layout)
 
         for x in batches:
             for _, part in chunks(x.text.tolist()):
-                held.append(sequences(part, order)[0])
-                if sum(len(h[0]) for h in held) >= RUN_TOKENS:
+                held.append(tokens_of(part))
+                if sum(len(w) for w, _ in held) >= RUN_TOKENS:
                     yield from flush()
         if held:
             yield from flush()
@@ -302,6 +324,20 @@ def _runs(shards: int, order: int):
     return run
 
 
+def hot_words(texts: DataFrame, shards: int) -> dict[int, int]:
+    """Words that hold over half of a shard's mean of a sample, and over how many shards to split what ends in them and another; at most 2 * shards."""
+    n = texts.count()
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            word, count = np.unique(tokens_of(x.text.tolist())[0], return_counts=True)
+            yield pd.DataFrame({"word": word.view(np.int64), "n": count})
+
+    words = cut(texts.sample(min(1.0, SAMPLED / max(n, 1)), 5).mapInPandas(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    mean = (words.agg(F.sum("n")).first()[0] or 0) / (2 * shards)
+    return {r.word % 2**64: min(shards, math.ceil(r.n / mean)) for r in words.filter(F.col("n") > mean).collect()}
+
+
 SUMS = "kind string, shard int, key binary, more binary, n binary"
 
 
@@ -371,8 +407,8 @@ def discounts(n: list[float]) -> list[float]:
 class Model:
     """What scoring needs: the store's folder, the names of its files (two per shard at most) and a few numbers."""
 
-    def __init__(self, folder: str, shards: int, values: list[float], order: int, files: list[str]):
-        self.folder, self.shards, self.order, self.files = folder, shards, order, set(files)
+    def __init__(self, folder: str, layout: Layout, values: list[float], order: int, files: list[str]):
+        self.folder, self.layout, self.shards, self.order, self.files = folder, layout, layout.shards, order, set(files)
         self.tokens, self.types, self.pairs = (int(v) for v in values[:3])
         self.gram_d = {k: discounts(values[_counts_at(k)]) for k in range(2, order + 1)}
         self.word_d = discounts(values[_counts_at(1)])
@@ -386,12 +422,14 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
         raise ValueError("the order is 2 at least")
     spark: SparkSession = docs.sparkSession
     prepare(spark)
-    shards, folder = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // SPREAD) * SPREAD, shared_folder(spark, "kneser-ney")
-    runs = docs.select(text_or_empty(docs[text_col]).alias("text")).mapInPandas(_runs(shards, order), PIECES)
+    shards, folder = int(spark.conf.get("spark.sql.shuffle.partitions")), shared_folder(spark, "kneser-ney")
+    texts = docs.select(text_or_empty(docs[text_col]).alias("text"))
+    layout = Layout(shards, hot_words(texts, shards))
+    runs = texts.mapInPandas(_runs(layout, order), PIECES)
     sums = runs.groupBy("kind", "shard").applyInPandas(_merge_runs(shards, folder, order), SUMS)
     stats = sums.groupBy("shard").applyInPandas(_merge_words(shards, folder, order), "values array<double>, file string")
     row = stats.agg(F.collect_set("file").alias("files"), *(F.sum(F.col("values")[i]).alias(f"v{i}") for i in range(3 + 4 * order))).first()
-    return Model(folder, shards, [row[f"v{i}"] or 0.0 for i in range(3 + 4 * order)], order, row.files)
+    return Model(folder, layout, [row[f"v{i}"] or 0.0 for i in range(3 + 4 * order)], order, row.files)
 
 
 class Scorer:
@@ -409,21 +447,27 @@ class Scorer:
             name = f"{'words' if kind == 'word' else 'grams'}-{s:06d}"
             if len(mine) and name in self.model.files:  # other shards got no key
                 table = self._open(name)
-                spot = places_of(key[mine], table[f"{kind}-ones"], table[f"{kind}-ones-index"])
-                out[mine[spot >= 0]] = ONES[kind.rstrip("0123456789")]
                 spot = places_of(key[mine], table[f"{kind}-rest"], table[f"{kind}-rest-index"])
                 out[mine[spot >= 0]] = table[f"{kind}-rows"][spot[spot >= 0]]
+                mine = mine[spot < 0]
+                spot = places_of(key[mine], table[f"{kind}-ones"], table[f"{kind}-ones-index"])
+                out[mine[spot >= 0]] = ONES[kind.rstrip("0123456789")]
         return out
 
     def contexts(self, k: int, h: list[np.ndarray]) -> np.ndarray:
         """Total and followers seen once, twice and more often, of the contexts of more than one word that h has."""
         key, first, at = np.unique(gram_key(h), return_index=True, return_inverse=True)
-        shard = first_shard(h[0][first], self.model.shards)
-        return sum(self.look_up(f"context{k}", key, shard + j, 4) for j in range(SPREAD))[at]
+        last, layout = h[0][first], self.model.layout
+        spread, out = layout.spread(last), np.zeros((len(key), 4), np.int64)
+        for part in range(int(spread.max(initial=0))):
+            some = np.flatnonzero(spread > part)
+            out[some] += self.look_up(f"context{k}", key[some], layout.shard(last[some], part), 4)
+        return out[at]
 
     def score_all(self, texts: list[str]) -> pd.DataFrame:
         m = self.model
-        h, lens = sequences(texts, m.order)
+        w, lens = tokens_of(texts)
+        h = histories(w, lens, m.order)
         w, u = h[:2]
         words, at = np.unique(np.concatenate([w, u]), return_inverse=True)
         table = self.look_up("word", words, shard_of(words, m.shards), 6)
@@ -432,7 +476,7 @@ class Scorer:
         p = np.maximum(follows - word_d[np.minimum(follows, 3)], 0) / max(1, m.pairs) + m.left / (m.types + 1)
         for k in range(2, m.order + 1):
             grams, first, at = np.unique(gram_key(h[:k]), return_index=True, return_inverse=True)
-            c = self.look_up(f"gram{k}", grams, gram_shard(u[first], w[first], m.shards), 1)[at, 0]
+            c = self.look_up(f"gram{k}", grams, m.layout.gram(u[first], w[first]), 1)[at, 0]
             context, d = before[:, 2:6] if k == 2 else self.contexts(k, h[1:k]), np.array([0, *m.gram_d[k]])
             total = context[:, 0]
             some = np.maximum(total, 1)
@@ -451,7 +495,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for batch in batches:
-            x = pd.concat([scorer.score_all(part) for _, part in chunks(batch.tolist())], ignore_index=True) if len(batch) else scorer.score_all([])
+            x = pd.concat([scorer.score_all(part) for _, part in chunks(batch.tolist(), SCORED_CHARS)], ignore_index=True) if len(batch) else scorer.score_all([])
             yield x.assign(perplexity=10 ** np.minimum(-x.score / np.maximum(x.n_tokens, 1), 300))
 
     return docs.withColumn(out_col, scored(text_or_empty(docs[text_col])))
