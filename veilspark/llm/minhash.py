@@ -28,7 +28,6 @@ gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
-import math
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import reduce
@@ -50,6 +49,8 @@ SKETCH_BITS = 20
 WORTH = 0.05
 #: Links that one task joins in memory, about 100 MB.
 LINKS_A_TASK = 200_000
+#: Counts in an Arrow batch.
+FEW = 1 << 14
 #: Texts with their shingles in a partition, where there are few.
 TEXTS_A_TASK = 1000
 
@@ -69,16 +70,14 @@ def bucket_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-class SparseTable:
-    """An array of mostly one value, small to send; `dense` gives the array."""
+class IdfTable:
+    """idf by bucket of the sketch, 2 MB to send; `dense` gives the array to work with."""
 
-    def __init__(self, size: int, rest: float, index: np.ndarray, values: np.ndarray):
-        self.size, self.rest, self.index, self.values = size, rest, index, values
+    def __init__(self, idf: np.ndarray):
+        self.idf = idf.astype(np.float16)
 
     def dense(self) -> np.ndarray:
-        out = np.full(self.size, self.rest, self.values.dtype)
-        out[self.index] = self.values
-        return out
+        return self.idf.astype(np.float32)
 
 
 # ---- document frequencies ---------------------------------------------------------------------------
@@ -98,15 +97,18 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n += np.bincount(seen & ((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS)
             docs += sum(x > 0 for x in lens)
     some = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[some], docs))], names=["bucket", "n"])
+    bucket, n = np.append(some, -1).astype(np.int32), np.append(n[some], docs)
+    for i in range(0, len(bucket), FEW):
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[i : i + FEW]), pa.array(n[i : i + FEW])], names=["bucket", "n"])
 
 
-def idf_table(docs: DataFrame) -> SparseTable:
+def idf_table(docs: DataFrame) -> IdfTable:
     """idf of every bucket of the sketch; at most 2^20 counts come to the driver."""
-    counts = docs.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = docs.select("text").mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = counts.column("bucket").to_numpy(), counts.column("n").to_numpy().astype(np.float64)
-    total, seen = n[bucket < 0].sum(), bucket >= 0
-    return SparseTable(1 << SKETCH_BITS, 1 + math.log(1 + total), bucket[seen], (1 + np.log((1 + total) / (1 + n[seen]))).astype(np.float32))
+    total, seen, df = n[bucket < 0].sum(), bucket >= 0, np.zeros(1 << SKETCH_BITS)
+    df[bucket[seen]] = n[seen]
+    return IdfTable(1 + np.log((1 + total) / (1 + df)))
 
 
 # ---- shingles and samples ---------------------------------------------------------------------------
@@ -164,7 +166,7 @@ class Sampler:
         return mix(out)
 
 
-def _signed(table: SparseTable):
+def _signed(table: IdfTable):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, idf = Sampler(), table.dense()
         for b in batches:
@@ -197,7 +199,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (float(a[1].sum(dtype=np.float64)) + float(b[1].sum(dtype=np.float64)) - both)
 
 
-def _compared(table: SparseTable):
+def _compared(table: IdfTable):
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = table.dense()
         recent: OrderedDict[bytes, tuple[np.ndarray, np.ndarray]] = OrderedDict()
@@ -223,7 +225,7 @@ def _compared(table: SparseTable):
 # ---- links that leaders can't show ----------------------------------------------------------------------
 
 
-def _featured(table: SparseTable):
+def _featured(table: IdfTable):
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = table.dense()
         for b in batches:
