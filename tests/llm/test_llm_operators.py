@@ -332,6 +332,25 @@ def test_licenses(spark):
     assert ok("one two a end") == 4 and ok("one maybe two a b end") == 6 and ok("one two end") == -1 and ok("one two a b c end") == -1
 
 
+def test_licenses_of_whole_wording():
+    scanner, templates = licenses.LicenseScanner(), dict(licenses.TEMPLATES)
+    labels = lambda t: {h[0] for h in scanner.scan(t)[1]}
+    fill = lambda t: re.sub(r"\{\{.*?\}\}", "Some Holder", re.sub(r"\[\[.*?\]\]", "", t))
+    for name in [n for n in templates if n.startswith("text:")]:
+        text = fill(templates[name])
+        assert {n for n in labels("Before. " + text + ". After.") if n.startswith("text:")} == {name}
+        words = text.split()
+        for k in (len(words) // 3, len(words) // 2, len(words) - 2):
+            assert name not in labels(" ".join(words[:k] + ["altered"] + words[k:]))
+    two = "Copyright 2020 Ann. All rights reserved. Copyright 2021 Bob. All rights reserved."
+    assert [h[1:3] for h in scanner.scan(two)[1] if h[0] == "notice:reserved"] == [(0, 5 + 1), (6, 12)]
+
+
+def test_license_positions_of_many_hits():
+    words, hits = licenses.LicenseScanner().scan("cc by x " * 50_000)
+    assert words == 150_000 and [h[1] for h in hits if h[3]] == list(range(0, 150_000, 3))
+
+
 def test_rollup(spark, docs):
     roll = token_rollup.TokenRollup(spark)
     words = token_rollup.word_counts(docs)

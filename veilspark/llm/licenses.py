@@ -5,7 +5,8 @@ A template is the wording of a notice in which `[[...]]` marks an optional regio
 places between words, arrows carry one word, any word, or nothing. A text is accepted at a place if its
 words follow a path from the first to the last state; mandatory wording must match exactly, word by
 word. Acceptance is anchored at the template's first mandatory word and its rarest mandatory run
-(which must occur in the text as a whole) spares most texts the automaton.
+(which must occur in the text as a whole) spares most texts the automaton. A replaceable region doesn't take the
+word that a template begins with, so that of two notices in a row neither swallows the other.
 
 Words are runs of anything but ASCII non-alphanumerics, with A-Z lower-cased. Defined results: null and
 empty texts have no words and no hits; `first`/`last` of no hits are null; repeated rows repeat their result;
@@ -31,7 +32,13 @@ BASE_PHRASES = [
     ("all rights reserved", "reserved"),
 ]
 
-# Wording of public licence notices, as templates. (label, template)
+# Wording that several public licences share.
+MIT_DISCLAIMER = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the {{holders|12}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+BSD_CONDITIONS = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+BSD_DISCLAIMER = "this software is provided by {{holders|12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{holders|12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+
+# Wording of public licence notices, as templates. (label, template) notice: says which licence holds;
+# clause: is one passage of a licence, whose rest isn't looked at; text: is a licence's whole wording.
 TEMPLATES = [
     ("notice:apache-2.0", "licensed under the apache license[[ ,]] version 2.0"),
     ("notice:cc-by", "licensed under [[a]] [[the]] [[creative commons]] cc by {{version|2}}"),
@@ -44,12 +51,20 @@ TEMPLATES = [
     ("notice:bsd", "[[this work is]] licensed under the {{clauses|3}} bsd license"),
     ("notice:mpl-2.0", "subject to the terms of the mozilla public license v 2.0"),
     ("notice:reserved", "copyright [[(c)]] {{years and holder|12}} all rights reserved"),
-    ("text:mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("text:isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("text:bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("text:bsd-endorsement", "neither the name of {{holder|12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("text:apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("text:zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("notice:apache-2.0-disclaimer", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("notice:cc0", "to the extent possible under law {{holder|12}} has waived all copyright and related or neighboring rights to"),
+    ("clause:mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("clause:isc-grant", "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("clause:bsd-grant", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("clause:bsd-endorsement", "neither the name of {{holder|12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("clause:zlib-disclaimer", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("text:mit", f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software {MIT_DISCLAIMER}"),
+    ("text:mit-0", f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so {MIT_DISCLAIMER}"),
+    ("text:unlicense", f"this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law {MIT_DISCLAIMER}"),
+    ("text:isc", "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {{holder|12}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{holder|12}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("text:bsd-2", f"{BSD_CONDITIONS} {BSD_DISCLAIMER}"),
+    ("text:bsd-3", f"{BSD_CONDITIONS} [[3]] neither the name of {{{{holder|12}}}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission {BSD_DISCLAIMER}"),
+    ("text:zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution"),
 ]
 
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -73,6 +88,11 @@ class Automaton:
     anchor: bytes
     bounded: int
 
+    def __post_init__(self):
+        first = self._closed({0})
+        #: Words that can begin a match; None if any word can.
+        self.starts = None if any(self.wild[s] for s in first) else {w for s in first for w in self.arrows[s]}
+
     def _closed(self, states: set[int]) -> set[int]:
         todo = list(states)
         while todo:
@@ -89,7 +109,8 @@ class Automaton:
             w, step = words[i], set()
             for s in states:
                 step.update(self.arrows[s].get(w, ()))
-                step.update(self.wild[s])
+                if self.starts is None or w not in self.starts:
+                    step.update(self.wild[s])
             if not step:
                 break
             states = self._closed(step)
@@ -145,15 +166,21 @@ def compile_template(label: str, markup: str) -> Automaton:
     return Automaton(label, arrows, wild, free, at, anchor, bounded)
 
 
+def places(flat: bytes, run: bytes) -> Iterator[int]:
+    """Numbers of the words at which a run of words begins; one pass over the text."""
+    at = last = 0
+    i = flat.find(run)
+    while i >= 0:
+        at += flat.count(b" ", last, i)
+        last = i
+        yield at
+        i = flat.find(run, i + 1)
+
+
 class LicenseScanner:
     def __init__(self, phrases=BASE_PHRASES, templates=TEMPLATES):
         self.phrases = [(b" " + b" ".join(words_of(p)) + b" ", len(words_of(p)), label) for p, label in phrases]
         self.automata = [compile_template(*t) for t in templates]
-        self.starts = []
-        for a in self.automata:
-            first = {0}
-            a._closed(first)
-            self.starts.append(None if any(a.wild[s] for s in first) else {w for s in first for w in a.arrows[s]})
 
     def scan(self, text: str) -> tuple[int, list[tuple[str, int, int, bool]]]:
         """Words of the text, and hits (label, first word, end word, base?)."""
@@ -161,22 +188,15 @@ class LicenseScanner:
         flat = b" " + b" ".join(words) + b" "
         hits = []
         for phrase, n, label in self.phrases:
-            i = flat.find(phrase)
-            while i >= 0:
-                at = flat.count(b" ", 0, i)
-                hits.append((label, at, at + n, True))
-                i = flat.find(phrase, i + 1)
-        for a, starts in zip(self.automata, self.starts):
-            i = flat.find(a.anchor)
+            hits += [(label, at, at + n, True) for at in places(flat, phrase)]
+        for a in self.automata:
             tried = done = -1
-            while i >= 0:
-                at = flat.count(b" ", 0, i)
+            for at in places(flat, a.anchor):
                 for k in range(max(tried + 1, at - a.bounded, 0), at + 1):
                     tried = k
-                    if k >= done and (starts is None or words[k] in starts) and (end := a.longest(words, k)) > 0:
+                    if k >= done and (a.starts is None or words[k] in a.starts) and (end := a.longest(words, k)) > 0:
                         hits.append((a.label, k, end, False))
                         done = end
-                i = flat.find(a.anchor, i + 1)
         return len(words), hits
 
 
