@@ -167,6 +167,25 @@ def test_language(spark):
     assert got[900].lang_pred == got[901].lang_pred == "und" and got[902].lang_pred in langs
 
 
+def test_bundles_against_brute_force():
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 6000)] + list("abcdeÄäßЖжİ")
+    texts = ["", "12 3", "a", "Ab-ab", "жЖ ä"] + ["".join(rng.choice(letters + [" ", "."]) for _ in range(rng.randint(1, 400))) for _ in range(120)]
+    space = langid.Hypervectors(64)
+    got, has = space.bundle(texts)
+    for t, row, ok in zip(texts, got, has):
+        low = [ord(c.lower()[0]) if c.isalpha() else 0 for c in t]
+        want, some = np.zeros(64), False
+        for i, c in enumerate(low):
+            if c:
+                some = True
+                u, v = low[i - 1] if i else 0, low[i + 1] if i + 1 < len(low) else 0
+                want += np.roll(space.letter(u), 2) * np.roll(space.letter(c), 1) * space.letter(v)
+        assert ok == some and (row == want).all()
+    low = {c.lower()[0] for c in letters}
+    assert len({space.letter(ord(c)).tobytes() for c in low}) == len(low)
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
@@ -340,7 +359,8 @@ def test_licenses_of_whole_wording():
         text = fill(templates[name])
         assert {n for n in labels("Before. " + text + ". After.") if n.startswith("text:")} == {name}
         words = text.split()
-        for k in (len(words) // 3, len(words) // 2, len(words) - 2):
+        fixed = [k for k in range(1, len(words)) if not {"Some", "Holder"} & set(words[k - 1 : k + 1])]
+        for k in fixed[:: len(fixed) // 9]:
             assert name not in labels(" ".join(words[:k] + ["altered"] + words[k:]))
     two = "Copyright 2020 Ann. All rights reserved. Copyright 2021 Bob. All rights reserved."
     assert [h[1:3] for h in scanner.scan(two)[1] if h[0] == "notice:reserved"] == [(0, 5 + 1), (6, 12)]

@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter class has a random vector of +1 and -1. A trigram's vector binds (multiplies) its letters'
+Every letter has a random vector of +1 and -1. A trigram's vector binds (multiplies) its letters'
 vectors, the first rolled by two places and the second by one. A document's vector bundles (adds) those of its trigrams;
 a language's prototype bundles the unit vectors of its training documents. Documents go to the language
 whose prototype has the largest cosine with their own vector.
@@ -25,52 +25,80 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import bounded_sample, chunks, crc32_id, prepare, text_or_empty
 
 DIMS = 1024
-SYMBOLS = 64
 MAX_TRAIN = 8000
+#: Trigrams whose vectors are held at once.
+BLOCK = 8192
+LETTER = np.uint64((1 << 21) - 1)
 
 
 class Hypervectors:
-    """Vectors of letters and trigrams; symbol 0 stands for all that is between words."""
+    """Vectors of letters and trigrams. A letter (lower-cased) has a vector of its own, drawn from the seed and its code
+    point; number 0 stands for all that is between words."""
 
     def __init__(self, dims: int = DIMS, seed: int = 20260101):
-        base = np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dims), dtype=np.int8) * 2 - 1
-        self.dims = dims
-        self.first, self.second, self.third = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
-        self.classes = np.zeros(0x110000, np.uint8)
+        self.dims, self.seed = dims, seed
+        self.letters = np.zeros(0x110000, np.uint64)
         for c in range(0x110000):
             if (x := chr(c)).isalpha():
-                low = ord(x.lower()[0])
-                self.classes[c] = low - 96 if 97 <= low <= 122 else 27 + low % (SYMBOLS - 27)
+                self.letters[c] = ord(x.lower()[0])
+        self.known: dict[int, np.ndarray] = {}
+
+    def letter(self, code: int) -> np.ndarray:
+        """The vector of a letter; those drawn are kept, at most one for each letter there is."""
+        if code not in self.known:
+            self.known[code] = np.random.default_rng([self.seed, code]).integers(0, 2, self.dims, dtype=np.int8) * 2 - 1
+        return self.known[code]
+
+    def trigrams(self, grams: np.ndarray) -> np.ndarray:
+        """A row for each trigram: its letters' vectors, the first rolled by two and the second by one, multiplied."""
+        parts = np.stack([grams >> np.uint64(42), grams >> np.uint64(21) & LETTER, grams & LETTER])
+        codes, at = np.unique(parts, return_inverse=True)
+        base = np.stack([self.letter(c) for c in codes.tolist()])
+        a, b, c = at.reshape(parts.shape)
+        return (np.roll(base, 2, axis=1)[a] * np.roll(base, 1, axis=1)[b] * base[c]).astype(np.float32)
 
     def bundle(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A row for each text, and whether it has a letter."""
         lens = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-        sym = self.classes[codes].astype(np.int32)
+        sym = self.letters[codes]
         doc = np.repeat(np.arange(len(texts), dtype=np.int32), lens)
         keep = np.ones(len(sym), bool)  # runs of what is between words count as one symbol
         keep[1:] = (sym[1:] != 0) | (sym[:-1] != 0) | (doc[1:] != doc[:-1])
         sym, doc = sym[keep], doc[keep]
         has = np.bincount(doc, sym > 0, len(texts)) > 0
-        before = np.concatenate([[0], sym[:-1]])
+        none = np.zeros(1, np.uint64)
+        before = np.concatenate([none, sym[:-1]])
         before[np.concatenate([[True], doc[1:] != doc[:-1]])] = 0
-        after = np.concatenate([sym[1:], [0]])
+        after = np.concatenate([sym[1:], none])
         after[np.concatenate([doc[1:] != doc[:-1], [True]])] = 0
         mid = sym > 0
-        gram = (before[mid] * SYMBOLS + sym[mid]) * SYMBOLS + after[mid]
-        doc = doc[mid]
+        gram = before[mid] << np.uint64(42) | sym[mid] << np.uint64(21) | after[mid]
         kinds, gram = np.unique(gram, return_inverse=True)
         out = np.zeros((len(texts), self.dims), np.float32)
         if len(kinds):
-            a, b, c = kinds // SYMBOLS**2, kinds // SYMBOLS % SYMBOLS, kinds % SYMBOLS
-            vectors = (self.first[a] * self.second[b] * self.third[c]).astype(np.float32)
-            for at in range(0, len(texts), 256):
-                n = min(256, len(texts) - at)
-                lo, hi = np.searchsorted(doc, [at, at + n])
-                counts = np.bincount((doc[lo:hi] - at) * len(kinds) + gram[lo:hi], minlength=n * len(kinds))
-                out[at : at + n] = counts.reshape(n, -1).astype(np.float32) @ vectors
+            # how often each text has each trigram, by trigram; then sums of whole numbers in blocks, so any order gives the same
+            cell, n = np.unique(gram * len(texts) + doc[mid], return_counts=True)
+            gram, doc = cell // len(texts), cell % len(texts)
+            for first in range(0, len(kinds), BLOCK):
+                self._add(out, kinds[first : first + BLOCK], *(x[slice(*np.searchsorted(gram, [first, first + BLOCK]))] for x in (gram - first, doc, n)))
         return out, has
 
+    def _add(self, out: np.ndarray, kinds: np.ndarray, gram: np.ndarray, doc: np.ndarray, n: np.ndarray) -> None:
+        vectors = self.trigrams(kinds)
+        if 32 * len(gram) >= len(kinds) * len(out):  # many texts share these trigrams
+            for at in range(0, len(out), 256):
+                mine = (doc >= at) & (doc < at + 256)
+                counts = np.zeros((min(256, len(out) - at), len(kinds)), np.float32)
+                counts[doc[mine] - at, gram[mine]] = n[mine]
+                out[at : at + 256] += counts @ vectors
+            return
+        order = np.argsort(doc, kind="stable")
+        for at in range(0, len(order), BLOCK):
+            rows = order[at : at + BLOCK]
+            docs, starts = np.unique(doc[rows], return_index=True)
+            out[docs] += np.add.reduceat(vectors[gram[rows]] * n[rows, None].astype(np.float32), starts, axis=0)
+
 
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
