@@ -224,6 +224,47 @@ def test_decontamination(spark):
     assert not none.first().contaminated
 
 
+def contaminates(item, text):
+    return [i for i, _ in decontam.Matcher(decontam.TemplateIndex([(1, item)])).match_all([text])[0]] == [1]
+
+
+def test_items_that_templates_leave_out():
+    around = "They walked quietly along some river. {} Then they slept there."
+    short, numbers, titled = "Define prime number please.", "12 34 56 78 90 11 22 33 44", "The Great Gatsby Was Written By Francis Scott Fitzgerald"
+    for item in (short, numbers, titled, "小明有三个苹果和五个橘子请问他一共有多少个水果", "Yes."):
+        assert contaminates(item, around.format(item + "\n")) and contaminates(item, item) and not contaminates(item, around.format(""))
+    assert not contaminates(short, "Now define prime number please, he said.") and not contaminates(numbers, "12 34 56 78 0 90 11 22 33")
+    assert not contaminates("小明有三个苹果和五个橘子请问他一共有多少个水果", "你好小明再见")
+    assert contaminates(titled, "Read: the great Gatsby was written by Francis Scott Fitzgerald and more")
+
+
+def test_slots_of_several_words():
+    item = "If Tom has 25 apples and Mary gives Tom 14 more apples how many apples does Tom have in the end"
+    assert contaminates(item, item.replace("Tom", "Mary Ann").replace("25", "twenty-five").replace("Mary gives", "Bob gives"))
+    assert not contaminates(item, item.replace("Tom has", "Ann Lee has").replace("Tom have", "Bob Ray have").replace("gives Tom", "gives Jack"))
+
+
+def test_one_edit_hides_no_item():
+    rng = random.Random(8)
+    words = [a + b for a in WORDS for b in WORDS[:6]]
+    for n in (18, 19, 21, 25, 32):
+        item = rng.sample(words, n)
+        for k in range(n):
+            for edit in (["added", item[k]], ["changed"], []):
+                assert contaminates(" ".join(item), prose(rng, 9) + " " + " ".join(item[:k] + edit + item[k + 1 :]) + " " + prose(rng, 9)), (n, k, edit)
+        assert not contaminates(" ".join(item), " ".join(rng.sample(item, n))) and not contaminates(" ".join(item), " ".join(item[-8:] + prose(rng, 9).split() + item[:8]))  # two windows in the wrong order
+
+
+def test_longest_rising_row():
+    rng = random.Random(6)
+    for _ in range(60):
+        spots = list({(rng.randint(0, 6), rng.randint(0, 6)) for _ in range(rng.randint(1, 9))})
+        got = decontam.rising(spots)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:])) and set(got) <= set(spots)
+        rows = (r for k in range(1, len(spots) + 1) for r in itertools.combinations(sorted(spots), k))
+        assert len(got) == max(len(r) for r in rows if all(a < c and b < d for (a, b), (c, d) in zip(r, r[1:])))
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     bad = ["grim", "vile", "nasty"]

@@ -1,28 +1,36 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become sequences of template words: numbers, units and names are replaced by typed placeholders,
-other words are lower-cased. Windows of `WINDOW` template words (a shorter item is one window of its own
-length, from `LEAST` words on) are hashed and joined with the windows of the benchmark. Windows in which
-fewer than half of the words are literal don't count. Hits of one item at one alignment form a run; its slots
-must be consistent: a value of the item stands for one value of the text, and the other way round; windows
-with another one don't count. Items whose numbers or names were changed are thus still found, chance mixtures are not.
-
-A document is contaminated by an item if consistent windows at one alignment cover at least `COVERAGE` of the item's windows,
-or a stretch of at least `STRETCH` template words.
+Texts become sequences of template words: a run of numbers, of units or of names within a sentence is replaced by one typed
+placeholder (so that "25" and "twenty-five", "Tom" and "Mary Ann" are alike), other words are lower-cased, ideographs and kana
+are words of one character. Windows of `WINDOW` template words (a shorter item is one window of its own length, from `LEAST`
+words on) are hashed and looked up among those of the benchmark. Windows in which fewer than half of the words are literal don't
+count. Hits of one item at alignments that lie at most `SLACK` words apart belong together; their slots must be consistent:
+a value of the item stands for one value of the text, and the other way round; windows with another one don't count. What is
+left is cut down to the longest row of windows that go on in both, item and text. Items whose numbers or names were changed, or
+with a word put in or left out, are thus found, chance mixtures are not.
+
+Items that this leaves out in part or as a whole (fewer than `LEAST` template words, or windows that are mostly placeholders)
+are looked for word by word as well: windows of `WINDOW` plain words, without placeholders, joined up in the same way. An item of
+fewer than `LEAST` plain words is found where it is a whole sentence or line.
+
+A document is contaminated by an item if consistent windows cover at least `COVERAGE` of the item's windows, or a stretch of at
+least `STRETCH` words, or of `SHORT_STRETCH` if that is half of the item; between two windows of a stretch at most `GAP`
+words of the item may fail. So one changed, added or missing literal word can't hide an item of 18 or more template words.
 
 The benchmark's windows are looked up in blocks of at most `BLOCK` windows (24 bytes each, so the block sent
 to executors is of bounded size); a larger benchmark takes more passes over the documents.
 
-Defined results: null texts count as empty and are clean; items with null text or id, or fewer than LEAST
-template words, match nothing; repeated items count once; repeated rows repeat their result; columns called
-as the output are replaced, others stay.
+Defined results: null texts count as empty and are clean; items with null text or id, or without a word, match
+nothing; repeated items count once; repeated rows repeat their result; columns called as the output are replaced, others stay.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,6 +43,9 @@ WINDOW = 8
 LEAST = 5
 COVERAGE = 0.5
 STRETCH = 13
+SHORT_STRETCH = 10
+SLACK = 3
+GAP = 2
 BLOCK = 1_000_000
 
 # Number words, units and given names that take a placeholder.
@@ -42,10 +53,25 @@ NUMBERS = "one two three four five six seven eight nine ten eleven twelve thirte
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds ton tons ml cl l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters degree degrees percent mph kmh kw kwh watt watts volt volts".split()
 NAMES = "alice anna bob carlos charlie daniel david emily emma fatima george hannah ivan jack jane jessica john julia karen laura lisa lucas maria mark mary michael natalia nina olivia omar paul peter priya rachel robert sam sara sarah sofia susan thomas tom weng wei yuki".split()
 
-TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]")
+#: Ideographs, kana and Thai are words of one character, as their words aren't set apart.
+SINGLE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"[^\W\d_{SINGLE}]+|\d+(?:[.,]\d+)*|[{SINGLE}]|[.!?\n\u3002\uff01\uff1f]")
+ENDS = frozenset(".!?\n\u3002\uff01\uff1f")
 NUM, UNIT, NAME = 1, 2, 3
 
 
+class Words(NamedTuple):
+    """Words of some texts, one after another. begins: does a template word begin here? opens: does a sentence?"""
+
+    plain: np.ndarray  # hash of each word
+    opens: np.ndarray
+    begins: np.ndarray
+    lens: np.ndarray  # words of each text
+    code: np.ndarray  # of each template word
+    kind: np.ndarray
+    template_lens: np.ndarray
+
+
 class Canonicaliser:
     """Tokens to template codes; a code says the placeholder's type, or is the literal word's hash."""
 
@@ -59,19 +85,19 @@ class Canonicaliser:
     def _add(self, token: str) -> int:
         """Number of a token; for it: is it a sentence's end, its type within a sentence, and its type at the beginning of one."""
         low = token.lower()
-        if token in ".!?\n":
+        value = word_hash(low.encode("utf-8", "surrogatepass"))
+        if token in ENDS:
             entry = (0, -1, -1)
-        elif token[0].isdigit():
-            entry = (0, NUM, NUM)
+        elif token[0].isdecimal():
+            entry = (value, NUM, NUM)
         else:
             kind = self.typed.get(low, 0)
-            entry = (word_hash(low.encode("utf-8", "surrogatepass")), kind or (NAME if token[0].isupper() else 0), kind)
+            entry = (value, kind or (NAME if token[0].isupper() else 0), kind)
         self.known[token] = k = len(self.words)
         self.words.append(entry)
         return k
 
-    def templates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes and types (0 literal) of all template words of all texts, and how many each text has."""
+    def words_of(self, texts: list[str]) -> Words:
         if len(self.known) > self.limit:
             self.known, self.words = {}, []
         known, numbers, lens = self.known, [], []
@@ -93,10 +119,23 @@ class Canonicaliser:
         start = np.ones(len(k), bool)
         start[1:] = (inside[:-1] < 0) | (text[1:] != text[:-1])
         kind = np.where(start, opening, inside)
+        more = np.zeros(len(k), bool)  # goes on with the placeholder of the word before
+        more[1:] = (kind[1:] > 0) & (kind[1:] == kind[:-1]) & ~start[1:]
         word = inside >= 0
-        kind, k, text = kind[word], k[word], text[word]
-        code = np.where(kind == 0, values[k], self.codes[np.maximum(kind, 0)])
-        return code, kind, np.bincount(text, minlength=len(texts))
+        kind, plain, text, start, begins = kind[word], values[k[word]], text[word], start[word], ~more[word]
+        code = np.where(kind == 0, plain, self.codes[np.maximum(kind, 0)])[begins]
+        count = lambda t: np.bincount(t, minlength=len(texts))
+        return Words(plain, start, begins, count(text), code, kind[begins], count(text[begins]))
+
+
+def plain_words(text: str) -> list[str]:
+    return [w.lower() for w in TOKEN.findall(text) if w not in ENDS]
+
+
+def slots(words: list[str], begins: np.ndarray) -> list[str]:
+    """What stands at each template word: a literal word, or the words that its placeholder replaces."""
+    at = [*np.flatnonzero(begins).tolist(), len(words)]
+    return [" ".join(words[i:j]) for i, j in zip(at, at[1:])]
 
 
 def window_hashes(code: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,95 +150,169 @@ def window_hashes(code: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.nda
     return mix(h ^ np.uint64(size)), 2 * (literal[size:] - literal[:-size]) >= size
 
 
-class TemplateIndex:
-    """Windows of a block of items, sorted by hash."""
+class Item(NamedTuple):
+    id: int
+    size: int  # of its windows
+    windows: int  # that count
+    kind: np.ndarray
+    words: list[str]
+    whole: bool  # must be a whole sentence
 
-    def __init__(self, items: list[tuple[int, str]]):
-        canon = Canonicaliser()
-        code, kind, lens = canon.templates([t for _, t in items])
-        self.items, rows = [], defaultdict(list)
-        at = 0
-        for (item, text), n in zip(items, lens.tolist()):
-            size = min(WINDOW, n)
-            if n >= LEAST:
-                tokens = [w for w in TOKEN.findall(text) if w not in ".!?\n"]
-                h, ok = window_hashes(code[at : at + n], kind[at : at + n], size)
-                me = len(self.items)
-                self.items.append((item, size, int(ok.sum()), kind[at : at + n], [w.lower() for w in tokens]))
-                for p in np.flatnonzero(ok).tolist():
-                    rows[size].append((int(h[p]), me, p))
-            at += n
+
+class WindowIndex:
+    """Windows of items, sorted by hash, for each size of a window."""
+
+    def __init__(self):
+        self.items: list[Item] = []
+        self.rows = defaultdict(list)
+
+    def add(self, item: Item, hashes: np.ndarray, ok: np.ndarray) -> None:
+        for p in np.flatnonzero(ok).tolist():
+            self.rows[item.size].append((int(hashes[p]), len(self.items), p))
+        self.items.append(item)
+
+    def done(self) -> WindowIndex:
         self.by_size = {}
-        for size, r in rows.items():
+        for size, r in self.rows.items():
             r.sort()
             hashes = np.array([x[0] for x in r], np.uint64)
             bits = np.zeros(1 << 22, bool)
             bits[(hashes >> np.uint64(42)).astype(np.int64)] = True
             self.by_size[size] = (hashes, bits, [x[1:] for x in r])
+        del self.rows
+        return self
 
+    def hits(self, code: np.ndarray, kind: np.ndarray, lens: np.ndarray, opens: np.ndarray) -> dict[int, dict[int, list[tuple[int, int]]]]:
+        """By text and item: where windows of the item are (place in the item, place in the text)."""
+        begin = np.concatenate([[0], np.cumsum(lens)])
+        out: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for size, (hashes, bits, places) in self.by_size.items():
+            h, ok = window_hashes(code, kind, size)
+            maybe = np.flatnonzero(bits[(h >> np.uint64(42)).astype(np.int64)] & ok)
+            lo, hi = np.searchsorted(hashes, h[maybe], "left"), np.searchsorted(hashes, h[maybe], "right")
+            there = lo < hi
+            maybe, lo, hi = maybe[there], lo[there], hi[there]
+            owner = np.searchsorted(begin, maybe, "right") - 1
+            for g, a, b, d in zip(maybe.tolist(), lo.tolist(), hi.tolist(), owner.tolist()):
+                if g + size <= begin[d + 1]:
+                    alone = opens[g] and (g + size == begin[d + 1] or opens[g + size])
+                    for i, p in places[a:b]:
+                        if alone or not self.items[i].whole:
+                            out[d][i].append((p, g - int(begin[d])))
+        return out
 
-def runs_of(size: int, spots: list[int], kind: np.ndarray, ours: list[str], theirs: list[str], shift: int) -> tuple[int, int]:
-    """How many windows are consistent, and the longest consistent stretch of template words. spots: the item's windows that
-    hit at this alignment. Each place of a slot votes for what its value stands for, both ways (of equal votes the first
-    place's holds); windows with a slot that is against the outcome don't count."""
-    places = sorted({i for p in spots for i in range(p, p + size) if kind[i]})
+
+class TemplateIndex:
+    """Template windows of a block of items, and plain windows of those items that templates leave out in part."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        x = Canonicaliser().words_of([t for _, t in items])
+        self.templates, self.plain = WindowIndex(), WindowIndex()
+        at = template_at = 0
+        for (item, text), n, m in zip(items, x.lens.tolist(), x.template_lens.tolist()):
+            words, left_out = plain_words(text), m < LEAST
+            if m >= LEAST:
+                size, kind = min(WINDOW, m), x.kind[template_at : template_at + m]
+                h, ok = window_hashes(x.code[template_at : template_at + m], kind, size)
+                self.templates.add(Item(item, size, int(ok.sum()), kind, slots(words, x.begins[at : at + n]), False), h, ok)
+                left_out = not ok.all()
+            if left_out and n:
+                size, kind = min(WINDOW, n), np.zeros(n, np.int64)
+                h, ok = window_hashes(x.plain[at : at + n], kind, size)
+                self.plain.add(Item(item, size, len(h), kind, words, n < LEAST), h, ok)
+            at, template_at = at + n, template_at + m
+        self.templates.done(), self.plain.done()
+
+
+def consistent(item: Item, spots: list[tuple[int, int]], theirs: list[str]) -> tuple[list[tuple[int, int]], set[int]]:
+    """The spots without a slot that is against the votes, and the item's places of such slots. Each place of a slot votes for what its value stands for, both
+    ways (of equal votes the first place's holds)."""
+    pairs = sorted({(p + j, g + j) for p, g in spots for j in range(item.size) if item.kind[p + j]})
     votes: tuple[dict, dict] = ({}, {})
-    for i in places:
-        k, a, b = int(kind[i]), ours[i], theirs[i + shift]
-        for table, x, y in ((votes[0], a, b), (votes[1], b, a)):
-            count = table.setdefault((k, x), {})
+    for i, t in pairs:
+        for table, x, y in ((votes[0], item.words[i], theirs[t]), (votes[1], theirs[t], item.words[i])):
+            count = table.setdefault((int(item.kind[i]), x), {})
             count[y] = count.get(y, 0) + 1
     there, back = ({x: max(c, key=c.get) for x, c in v.items()} for v in votes)
-    bad = {i for i in places if there[int(kind[i]), ours[i]] != theirs[i + shift] or back[int(kind[i]), theirs[i + shift]] != ours[i]}
-    taken = [p for p in spots if not any(i in bad for i in range(p, p + size))]
-    return len(taken), _stretch(taken, size)
-
-
-def _stretch(spots: list[int], size: int) -> int:
-    best = i = 0
-    while i < len(spots):
-        j = i
-        while j + 1 < len(spots) and spots[j + 1] == spots[j] + 1:
-            j += 1
-        best, i = max(best, spots[j] - spots[i] + size), j + 1
+    bad = {(i, t) for i, t in pairs if there[int(item.kind[i]), item.words[i]] != theirs[t] or back[int(item.kind[i]), theirs[t]] != item.words[i]}
+    return [(p, g) for p, g in spots if not any((p + j, g + j) in bad for j in range(item.size))], {i for i, _ in bad}
+
+
+def rising(spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest row of spots that goes on in both places."""
+    spots = sorted(spots, key=lambda s: (s[0], -s[1]))
+    ends: list[int] = []  # smallest last place in the text of a row of each length
+    last: list[int] = []
+    before = [-1] * len(spots)
+    for i, (_, g) in enumerate(spots):
+        k = bisect_left(ends, g)
+        before[i] = last[k - 1] if k else -1
+        ends[k : k + 1], last[k : k + 1] = [g], [i]
+    row, i = [], last[-1] if last else -1
+    while i >= 0:
+        row.append(spots[i])
+        i = before[i]
+    return row[::-1]
+
+
+def stretch_of(row: list[tuple[int, int]], size: int, bad: set[int]) -> int:
+    """Most words of the item that windows cover one after another, with gaps of at most GAP of its words, none a slot in
+    `bad`, and SLACK of the text's."""
+    best = now = 0
+    end = text_end = None
+    for p, g in row:
+        if end is not None and p - end <= GAP and g - text_end <= SLACK and not any(i in bad for i in range(end, p)):
+            now += p + size - max(end, p)
+        else:
+            now = size
+        best, end, text_end = max(best, now), p + size, g + size
     return best
 
 
+def alignments(spots: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Spots whose alignments lie at most SLACK words apart, one to the next."""
+    spots = sorted(spots, key=lambda s: (s[1] - s[0], s))
+    start = 0
+    for i in range(1, len(spots) + 1):
+        if i == len(spots) or (spots[i][1] - spots[i][0]) - (spots[i - 1][1] - spots[i - 1][0]) > SLACK:
+            yield spots[start:i]
+            start = i
+
+
 class Matcher:
     def __init__(self, index: TemplateIndex):
         self.index, self.canon = index, Canonicaliser()
 
     def match_all(self, texts: list[str]) -> list[list[tuple[int, float]]]:
         """For each text the items that contaminate it, with their coverage."""
-        code, kind, lens = self.canon.templates(texts)
-        begin = np.concatenate([[0], np.cumsum(lens)])
-        hits: dict[int, dict[tuple[int, int], set[int]]] = defaultdict(lambda: defaultdict(set))
-        for size, (hashes, bits, places) in self.index.by_size.items():
-            h, ok = window_hashes(code, kind, size)
-            maybe = np.flatnonzero(bits[(h >> np.uint64(42)).astype(np.int64)] & ok)
-            lo, hi = np.searchsorted(hashes, h[maybe], "left"), np.searchsorted(hashes, h[maybe], "right")
-            owner = np.searchsorted(begin, maybe, "right") - 1
-            for g, a, b, d in zip(maybe.tolist(), lo.tolist(), hi.tolist(), owner.tolist()):
-                if a < b and g + size <= begin[d + 1]:
-                    for item, p in places[a:b]:
-                        hits[d][item, g - int(begin[d]) - p].add(p)
-        out: list[list[tuple[int, float]]] = [[] for _ in texts]
-        for d, by_run in hits.items():
-            theirs = [w.lower() for w in TOKEN.findall(texts[d]) if w not in ".!?\n"]
-            best: dict[int, float] = {}
-            for (i, shift), spots in by_run.items():
-                item, size, n, kinds, ours = self.index.items[i]
-                most, stretch = runs_of(size, sorted(spots), kinds, ours, theirs, shift)
-                if n and (most >= COVERAGE * n or stretch >= STRETCH):
-                    best[item] = max(best.get(item, 0.0), most / n)
-            out[d] = sorted(best.items())
-        return out
+        x = self.canon.words_of(texts)
+        begin = np.concatenate([[0], np.cumsum(x.lens)])
+        best: list[dict[int, float]] = [{} for _ in texts]
+        hits = self.index.templates.hits(x.code, x.kind, x.template_lens, x.opens[x.begins])
+        for d, by_item in hits.items():
+            theirs = slots(plain_words(texts[d]), x.begins[begin[d] : begin[d + 1]])
+            for i, spots in by_item.items():
+                self._judge(self.index.templates.items[i], spots, theirs, best[d])
+        if self.index.plain.items:
+            for d, by_item in self.index.plain.hits(x.plain, np.zeros(len(x.plain), np.int64), x.lens, x.opens).items():
+                for i, spots in by_item.items():
+                    self._judge(self.index.plain.items[i], spots, [], best[d])
+        return [sorted(b.items()) for b in best]
+
+    @staticmethod
+    def _judge(item: Item, spots: list[tuple[int, int]], theirs: list[str], best: dict[int, float]) -> None:
+        for group in alignments(spots):
+            good, bad = consistent(item, group, theirs)
+            row = rising(good)
+            share, stretch = len(row) / item.windows if item.windows else 0.0, stretch_of(row, item.size, bad)
+            if share >= COVERAGE and row or stretch >= STRETCH or stretch >= max(SHORT_STRETCH, len(item.kind) / 2):
+                best[item.id] = max(best.get(item.id, 0.0), share)
 
 
 def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks that together have at most about `block` words each (an item has fewer windows than words)."""
+    """Items in blocks that together have at most about `block` windows each (of each kind an item has fewer than words)."""
     items = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[text_col].alias("text")).dropna().distinct()
-    words = items.agg(F.sum(F.length("text") / 2 + 1).alias("n")).first().n or 0
+    words = items.agg(F.sum(F.length("text") + 1).alias("n")).first().n or 0
     n = int(words // block) + 1
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
     for b in range(n):
