@@ -238,6 +238,21 @@ def test_items_that_templates_leave_out():
     assert contaminates(titled, "Read: the great Gatsby was written by Francis Scott Fitzgerald and more")
 
 
+def test_words_against_the_pattern():
+    rng = random.Random(21)
+    everything = "".join(map(chr, range(0x110000)))
+    pool = [*"aZé_1٣५๓ก漢かİßǅ½²。！.,!?\n -", "1.5", "1,000.7", "3..4", "Tom", "twenty", "\ud800"]
+    texts = ["", ".", "1.", ",1,2.", "a" * 9000] + ["".join(rng.choice(pool) for _ in range(rng.randint(1, 90))) for _ in range(400)] + [everything, " ".join(everything)]
+    x = decontam.Canonicaliser().words_of(texts)
+    want = [decontam.plain_words(t) for t in texts]
+    assert x.lens.tolist() == [len(w) for w in want] and x.template_lens.sum() == x.begins.sum() == len(x.code)
+    first = [w[:1] + "".join(c.lower()[0] for c in w[1:]) for ws in want for w in ws]
+    by_word = {}
+    for w, h in zip(first, x.plain.tolist()):
+        by_word.setdefault(h, set()).add("".join(c for c in w if c != "\u0307"))
+    assert all(len(v) == 1 for v in by_word.values()) and len(by_word) > 100_000
+
+
 def test_slots_of_several_words():
     item = "If Tom has 25 apples and Mary gives Tom 14 more apples how many apples does Tom have in the end"
     assert contaminates(item, item.replace("Tom", "Mary Ann").replace("25", "twenty-five").replace("Mary gives", "Bob gives"))

@@ -30,6 +30,7 @@ import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -58,6 +59,8 @@ SINGLE = "\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U000
 TOKEN = re.compile(rf"[^\W\d_{SINGLE}]+|\d+(?:[.,]\d+)*|[{SINGLE}]|[.!?\n\u3002\uff01\uff1f]")
 ENDS = frozenset(".!?\n\u3002\uff01\uff1f")
 NUM, UNIT, NAME = 1, 2, 3
+#: Groups of characters; those of the last two are tokens by themselves.
+LETTERS, DIGITS, CHARACTER, END = 1, 2, 3, 4
 
 
 class Words(NamedTuple):
@@ -72,58 +75,66 @@ class Words(NamedTuple):
     template_lens: np.ndarray
 
 
+@cache
+def characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every code point: hash of the lower-cased one, whether it is upper case, and its group (0: between words)."""
+    chars = [chr(c) for c in range(0x110000)]
+    group = np.fromiter(map(str.isalnum, chars), bool, len(chars)).astype(np.uint8) * LETTERS
+    group[[ord(x) for x in re.findall(f"[{SINGLE}]", "".join(chars))]] = CHARACTER
+    group[np.fromiter(map(str.isdecimal, chars), bool, len(chars))] = DIGITS
+    group[[ord(x) for x in ENDS]] = END
+    lower = np.fromiter((ord(x.lower()[0]) for x in chars), np.uint64, len(chars))
+    return mix(lower), np.fromiter(map(str.isupper, chars), bool, len(chars)), group
+
+
 class Canonicaliser:
-    """Tokens to template codes; a code says the placeholder's type, or is the literal word's hash."""
+    """Words and template words of many texts at a time, over arrays of code points; what it takes for a word is what TOKEN
+    matches. The code of a placeholder says its type, that of a literal word is its hash."""
 
-    def __init__(self, limit: int = 400_000):
-        self.limit = limit
+    def __init__(self):
+        self.lower, self.upper, self.group = characters()
         self.codes = np.array([word_hash(b"\0%d" % k) for k in range(4)], np.uint64)
-        self.typed = dict.fromkeys(NUMBERS, NUM) | dict.fromkeys(UNITS, UNIT) | dict.fromkeys(NAMES, NAME)
-        self.known: dict[str, int] = {}
-        self.words: list[tuple[int, int, int]] = []
-
-    def _add(self, token: str) -> int:
-        """Number of a token; for it: is it a sentence's end, its type within a sentence, and its type at the beginning of one."""
-        low = token.lower()
-        value = word_hash(low.encode("utf-8", "surrogatepass"))
-        if token in ENDS:
-            entry = (0, -1, -1)
-        elif token[0].isdecimal():
-            entry = (value, NUM, NUM)
-        else:
-            kind = self.typed.get(low, 0)
-            entry = (value, kind or (NAME if token[0].isupper() else 0), kind)
-        self.known[token] = k = len(self.words)
-        self.words.append(entry)
-        return k
+        typed = dict.fromkeys(NUMBERS, NUM) | dict.fromkeys(UNITS, UNIT) | dict.fromkeys(NAMES, NAME)
+        self.typed = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        hashes = self.words_of([" ".join(typed)]).plain
+        order = np.argsort(hashes)
+        self.typed = hashes[order], np.fromiter(typed.values(), np.int64, len(typed))[order]
+
+    def _tokens(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where tokens begin, their groups, and their hashes."""
+        group = self.group[codes]
+        point = np.flatnonzero((codes == ord(".")) | (codes == ord(",")))
+        point = point[(point > 0) & (point < len(codes) - 1)]
+        group[point[(group[point - 1] == DIGITS) & (group[point + 1] == DIGITS)]] = DIGITS
+        begins = group > 0
+        inside = begins.copy()
+        begins[1:] &= (group[1:] != group[:-1]) | (group[1:] >= CHARACTER)
+        at, starts = np.flatnonzero(begins), np.flatnonzero(begins[inside])
+        size = np.diff(np.append(starts, np.count_nonzero(inside)))
+        powers = np.full(size.max(initial=1), np.uint64(0x9E3779B97F4A7C15))
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        place = np.arange(size.sum()) - np.repeat(starts, size)
+        hashes = np.add.reduceat(self.lower[codes[inside]] * powers[place], starts) if len(starts) else np.zeros(0, np.uint64)
+        return at, group[at], mix(hashes ^ size.astype(np.uint64))
 
     def words_of(self, texts: list[str]) -> Words:
-        if len(self.known) > self.limit:
-            self.known, self.words = {}, []
-        known, numbers, lens = self.known, [], []
-        for t in texts:
-            tokens = TOKEN.findall(t)
-            try:
-                numbers.append(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)))
-            except KeyError:
-                for w in tokens:
-                    if w not in known:
-                        self._add(w)
-                numbers.append(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)))
-            lens.append(len(tokens))
-        k = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        table = np.array([e[1:] for e in self.words], np.int64).reshape(-1, 2)
-        values = np.array([e[0] for e in self.words], np.uint64)
-        inside, opening = table[k, 0], table[k, 1]
-        text = np.repeat(np.arange(len(texts)), lens)
-        start = np.ones(len(k), bool)
-        start[1:] = (inside[:-1] < 0) | (text[1:] != text[:-1])
-        kind = np.where(start, opening, inside)
-        more = np.zeros(len(k), bool)  # goes on with the placeholder of the word before
+        codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        at, group, value = self._tokens(codes)
+        text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), at, "right")
+        known, types = self.typed
+        kind = np.where(group == DIGITS, NUM, 0)
+        if len(known):
+            near = np.minimum(np.searchsorted(known, value), len(known) - 1)
+            kind += np.where(known[near] == value, types[near], 0)
+        word = group != END
+        start = np.ones(len(at), bool)
+        start[1:] = ~word[:-1] | (text[1:] != text[:-1])
+        kind[(kind == 0) & ~start & self.upper[codes[at]] & (group == LETTERS)] = NAME
+        more = np.zeros(len(at), bool)  # goes on with the placeholder of the word before
         more[1:] = (kind[1:] > 0) & (kind[1:] == kind[:-1]) & ~start[1:]
-        word = inside >= 0
-        kind, plain, text, start, begins = kind[word], values[k[word]], text[word], start[word], ~more[word]
-        code = np.where(kind == 0, plain, self.codes[np.maximum(kind, 0)])[begins]
+        kind, plain, text, start, begins = kind[word], value[word], text[word], start[word], ~more[word]
+        code = np.where(kind == 0, plain, self.codes[kind])[begins]
         count = lambda t: np.bincount(t, minlength=len(texts))
         return Words(plain, start, begins, count(text), code, kind[begins], count(text[begins]))
 
