@@ -4,8 +4,9 @@ P(grade > k) = sigmoid(w.x - t_k) with one weight vector w for all ordered thres
 x holds sparse word features: 1 + ln(count) for each word of a fitted vocabulary, and one for the share
 of the text's words that are in it. The expected severity is the sum of P(grade > k) over k = 0, 1, 2.
 
-The model is fitted on at most `max_labelled` labelled rows (those with the smallest hashed ids). Near copies among these
-count once: a row goes if one of its four shingle signatures was seen before. A word enters the vocabulary if its rows are toxic so much more often than all are
+The model is fitted on at most `max_labelled` labelled rows (those with the smallest hashed ids). Copies among these
+count once: a row goes if all four of its shingle signatures were seen in a row before. A word enters the vocabulary if
+its rows are toxic so much more often than all are
 that chance would give less than half a word of that kind among all words (Chernoff bound). Grades are
 0 for not toxic, and for toxic rows 1, 2 or 3 by thirds of their share of vocabulary words (1 without any).
 
@@ -93,7 +94,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, l2: float
 
 
 def signatures(words: list[str]) -> list[int]:
-    """Four minima over hashed word trigrams; near copies share some."""
+    """Four minima over hashed word trigrams; equal in copies, and seldom all equal in texts that only share a passage."""
     grams = {word_hash(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))} if words else {0}
     a = np.fromiter(grams, np.uint64, len(grams))
     return [int((a * np.uint64(k)).min() >> np.uint64(1)) for k in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -119,14 +120,13 @@ def fit_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     table = rows.mapInPandas(counted, "id long, toxic int, marks array<long>, total long, words array<string>, counts array<long>")
     table = cut(table.withColumn("row", F.monotonically_increasing_id()))  # fixed by the checkpoint
-    seen: set[tuple[int, int]] = set()
+    seen: set[tuple[int, ...]] = set()
     kept, n_toxic = [], 0
     for r in sorted(table.select("row", "id", "toxic", "marks").collect(), key=lambda r: (r.id, -r.toxic, r.marks)):
-        marks = set(enumerate(r.marks))
-        if not marks & seen:
+        if tuple(r.marks) not in seen:
             kept.append(r.row)
             n_toxic += r.toxic > 0
-        seen |= marks
+            seen.add(tuple(r.marks))
     if not n_toxic or n_toxic == len(kept):
         return SeverityModel()
     keep = table.sparkSession.createDataFrame([(i,) for i in kept], "row long")
