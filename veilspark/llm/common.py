@@ -70,7 +70,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def chunks(texts: list[str], chars: int = 1_500_000):
+def chunks(texts: list[str], chars: int = 400_000):
     """Lists of whole texts of about so many characters together, with the index of their first text."""
     at, size = 0, 0
     for i, t in enumerate(texts):
