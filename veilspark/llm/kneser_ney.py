@@ -48,6 +48,8 @@ ORDER = 3
 RUN_TOKENS = 4_000_000
 SAMPLED = 2000
 SCORED_CHARS = 4_000_000
+#: Characters whose words are numbered at once while counting; as checked, apart from the lots of other operators.
+COUNTED_CHARS = 1_500_000
 END, START = np.uint64(word_hash(b"\0end")), np.uint64(word_hash(b"\0start"))
 
 
@@ -314,7 +316,7 @@ def _runs(layout: Layout, order: int):
             yield _gram_pieces(h, count, np.union1d(word, START), layout)
 
         for x in batches:
-            for _, part in chunks(x.text.tolist()):
+            for _, part in chunks(x.text.tolist(), COUNTED_CHARS):
                 held.append(tokens_of(part))
                 if sum(len(w) for w, _ in held) >= RUN_TOKENS:
                     yield from flush()
