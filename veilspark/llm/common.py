@@ -6,6 +6,7 @@ Nothing outside this subpackage imports it, and it imports nothing from the rest
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from pathlib import Path
 
@@ -16,19 +17,25 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
-#: Rows in an Arrow batch. A batch holds whole texts, so that fewer rows bound a Python worker's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch. A batch holds whole texts; whichever comes first ends it, so that a batch is at most a few
+#: megabytes and one text.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package, bounds Arrow batches, and makes sure there is a checkpoint folder."""
+    """Lets Python workers import this package, bounds Arrow batches, and makes sure there is a checkpoint folder: that of
+    `spark.checkpoint.dir`, or one of its own in local mode. On a cluster without that setting it raises an error."""
     sc = spark.sparkContext
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/veilspark-{uuid.uuid4().hex}")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or f"file:///tmp/veilspark-{uuid.uuid4().hex}")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
