@@ -85,12 +85,14 @@ class CuckooIndex:
         self.live += 1
         return True
 
-    def delete(self, key: bytes, count: int = 1) -> bool:
-        """Takes from a live digest; at no copies left its slot is free again. False if it isn't live."""
+    def delete(self, key: bytes, count: int = 1, smallest: int | None = None) -> bool:
+        """Takes from a live digest; at no copies left its slot is free again. `smallest` is the smallest id of the copies that
+        stay, as the rows of its bucket have it; the index itself holds no other ids. False if the digest isn't live."""
         s = self._slot(key)
         if s < 0:
             return False
         self.loads[s][0] -= count
+        self.loads[s][1] = smallest
         if self.loads[s][0] <= 0:
             self.prints[s], self.keys[s], self.loads[s] = 0, None, None
             self.live -= 1
@@ -131,11 +133,15 @@ GROUPS = "digest binary, keep_id long, group_size long"
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (digest, keep_id, group_size) of one shard into the index; its live digests out."""
+    """Rows (digest, keep_id, group_size) of one shard into the index; its live digests out. Rows of negative size are
+    deletions, and their keep_id is the smallest id that stays; they come after the insertions."""
     index = CuckooIndex()
     for b in batches:
         for key, smallest, n in zip(*(b.column(c).to_pylist() for c in ("digest", "keep_id", "group_size"))):
-            index.insert(key, n, smallest)
+            if n < 0:
+                index.delete(key, -n, smallest)
+            else:
+                index.insert(key, n, smallest)
     types = [("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())]
     rows = []
     for key, (n, smallest) in index.items():
@@ -160,6 +166,17 @@ def live_groups(digest_rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(_indexed, GROUPS).repartition("digest").mapInArrow(_indexed, GROUPS)
 
 
+def groups_after(groups: DataFrame, stay: DataFrame, gone: DataFrame) -> DataFrame:
+    """The live groups once rows are deleted: digests without a row left are gone, and a group whose smallest id went is called
+    after the next one. groups: as `live_groups` returns them; stay and gone: rows (doc_id, digest) that remain and that go. A digest
+    in gone that isn't live is passed over. Rows that stay are summed per task before they meet the deletions."""
+    counted = gone.groupBy("digest").agg((-F.count(F.lit(1))).alias("group_size"))
+    least = stay.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
+    changes = counted.join(least, "digest", "left").select("digest", "keep_id", "group_size")
+    rows = groups.select("digest", "keep_id", "group_size").unionByName(changes).repartition("digest")
+    return rows.sortWithinPartitions(F.desc("group_size")).mapInArrow(_indexed, GROUPS)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
