@@ -3,9 +3,10 @@
 The state is a folder of parts and numbered manifests. A batch is a table of signed changes (+1 insert,
 -1 delete; a revision is a delete of the old count and an insert of the new one), summed by source,
 language and tokenizer version before it is written as a part. Totals are the sums over the parts that the
-latest manifest lists. A batch counts from the moment its manifest is renamed into place: what failed
+latest manifest lists, each with the name of its batch. A batch counts from the moment its manifest is renamed into place: what failed
 before leaves an unlisted part, and a name that the manifest has is not counted again. `compact` folds
-the parts into one and keeps the names, so that a late retry is still recognised.
+the parts into one and leaves a marker file for each name, so that a late retry is still recognised and manifests
+don't grow with the number of batches.
 
 Counting runs in Arrow batches with a public byte-level BPE vocabulary (a parameter) or by words in the JVM.
 
@@ -17,6 +18,7 @@ not looked at.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import uuid
 from collections.abc import Iterator
@@ -89,7 +91,7 @@ class TokenRollup:
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{below}" if below else self.folder)
 
     def manifest(self) -> dict:
-        """The latest one: its number, the folders to read, and the names of all committed batches."""
+        """The latest one: its number, the folders to read, and the names of the batches since the last compaction."""
         top = self._path("manifests")
         names = [s.getPath().getName() for s in self._fs.listStatus(top)] if self._fs.exists(top) else []
         numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
@@ -113,13 +115,16 @@ class TokenRollup:
 
     def _write(self, sums: DataFrame, name: str) -> str:
         part = f"parts/{name}-{uuid.uuid4().hex}"
-        sums.coalesce(1).write.parquet(f"{self.folder}/{part}")
+        sums.write.parquet(f"{self.folder}/{part}")
         return part
 
+    def _marker(self, batch: str):
+        return self._path(f"names/{hashlib.sha256(batch.encode()).hexdigest()}")
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch of signed changes. False, and nothing done, if a batch of that name is in already."""
         now = self.manifest()
-        if batch in now["names"]:
+        if batch in now["names"] or self._fs.exists(self._marker(batch)):
             return False
         part = self._write(changes.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)), "batch")
         self._publish(now, [*now["parts"], part], [*now["names"], batch])
@@ -132,10 +137,12 @@ class TokenRollup:
         return rows.groupBy(*KEYS).agg(*(F.sum(c).cast("long").alias(c) for c in SUMS)).filter(" OR ".join(f"{c} <> 0" for c in SUMS))
 
     def compact(self) -> None:
-        """Folds all parts into one; the names of their batches stay known."""
+        """Folds all parts into one; the names of their batches stay known by markers, which are there before the names leave the manifest."""
         now = self.manifest()
         if len(now["parts"]) > 1:
-            self._publish(now, [self._write(self.totals(), "base")], now["names"])
+            for batch in now["names"]:
+                self._fs.create(self._marker(batch), True).close()
+            self._publish(now, [self._write(self.totals(), "base")], [])
             for p in now["parts"]:
                 self._fs.delete(self._path(p), True)
 
