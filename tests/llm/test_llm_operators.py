@@ -59,6 +59,30 @@ def test_cuckoo_index():
     assert sorted(k for k, _ in index.items()) == sorted(keys[1000:])
 
 
+def test_deletion_keeps_the_next_smallest():
+    index, key = cuckoo_dedup.CuckooIndex(2), hashlib.sha256(b"k").digest()
+    index.insert(key, 1, 5), index.insert(key, 1, 9)
+    assert index.delete(key, 1, smallest=9) and index.get(key) == [1, 9]
+    assert index.delete(key) and key not in index and not index.delete(key)
+
+
+def test_groups_after_deletions(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("aaaaabcdefgh")) for i in range(400)] + [(None, "a"), (None, "n"), (7, "a"), (7, "a")]
+    rows = [(i, t, i is not None and i % 3 == 0 or t in "gn") for i, t in rows]
+    table = spark.createDataFrame(rows, "doc_id long, text string, dead boolean").repartition(4)
+    hashed = table.select("doc_id", "dead", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    gone, stay = hashed.filter("dead"), hashed.filter("NOT dead")
+    other = spark.createDataFrame([(1, b"never seen")], "doc_id long, digest binary")
+    out = cuckoo_dedup.groups_after(cuckoo_dedup.live_groups(hashed), stay, gone.select("doc_id", "digest").unionByName(other)).collect()
+    want = {}
+    for i, t, dead in rows:
+        if not dead:
+            n, least = want.get(t, (0, None))
+            want[t] = (n + 1, i if least is None else least if i is None else min(i, least))
+    assert {bytes(r.digest): (r.group_size, r.keep_id) for r in out} == {hashlib.sha256(t.encode()).digest(): x for t, x in want.items()}
+
+
 def test_exact_dedup(docs, corpus):
     groups = {}
     for i, t, *_ in corpus:
@@ -442,6 +466,37 @@ def test_rollup(spark, docs):
     assert roll.totals().count() == 0
 
 
+def test_rollup_of_corpus(spark):
+    import public_tokenizers
+    import tiktoken
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rng = random.Random(8)
+    rows = [(i % 40, rng.choice([*ODD, prose(rng, 30)]), rng.choice(["en", None]), rng.choice(["hot", "hot", "s", None])) for i in range(120)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("tokens", F.lit("clash"))
+    bpe, want = tiktoken.Encoding("test", pat_str=pattern, mergeable_ranks=token_rollup.load_ranks(path), special_tokens={}), Counter()
+    for _, t, lang, source in rows:
+        t = t or ""
+        for name, n in (("byte_bpe_50k", len(bpe.encode_ordinary(t))), ("words_v1", len(re.findall(r"[^\x20\x09-\x0D]+", t)))):
+            for column, x in (("docs", 1), ("tokens", n), ("chars", len(t))):
+                want[source, lang, name, column] += x
+    out = token_rollup.rollup_of_corpus(table, path, pattern).collect()
+    got = {(r.source, r.lang, r.tokenizer, c): r[c] for r in out for c in ("docs", "tokens", "chars")}
+    assert got == dict(want)
+    assert token_rollup.rollup_of_corpus(table.limit(0), path, pattern).count() == 0
+
+
+def test_batch_names_survive_compaction(spark, docs):
+    roll, words = token_rollup.TokenRollup(spark), token_rollup.word_counts(docs)
+    for name in ("a", "b", "c"):
+        assert roll.commit(name, token_rollup.inserts(words, "w"))
+    before = sorted(roll.totals().collect(), key=str)
+    roll.compact()
+    assert roll.manifest()["names"] == [] and sorted(roll.totals().collect(), key=str) == before
+    assert not any(roll.commit(name, token_rollup.inserts(words, "w")) for name in ("a", "b", "c"))
+    assert roll.commit("d", token_rollup.deletes(words, "w")) and sorted(roll.totals().collect(), key=str) != before
+
+
 def test_odd_tables(spark):
     odd = odd_table(spark)
     bench, labels = spark.createDataFrame([(1, "x")], "item_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
@@ -454,6 +509,37 @@ def test_odd_tables(spark):
         assert cuckoo_dedup.deduplicated(t).count() <= n and minhash.without_near_duplicates(t).columns == t.columns
 
 
+def tables(top, spark, rows, labels, items):
+    """Documents (with a column called as one of the operators' own), labels and benchmark as Parquet."""
+    spark.createDataFrame(rows, DOCS).withColumn("node", F.lit("mine")).write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+    return str(top)
+
+
+def test_pipeline_against_what_was_planted(spark, tmp_path):
+    """Of the documents that are planted it is known which go at which stage."""
+    rng = random.Random(21)
+    foul = lambda: " ".join(rng.choice(["vile", "scum", "filth"]) if rng.random() < 0.3 else rng.choice(WORDS) for _ in range(60))
+    clean = [(i, prose(rng, 60)) for i in range(120)]
+    toxic = [(i, foul()) for i in range(200, 260)]
+    item = prose(rng, 40)
+    near = clean[0][1].split()
+    near[30] = "edited"
+    more = [(500, clean[1][1]), (501, " ".join(near)), (502, prose(rng, 20) + " " + item + " " + prose(rng, 5)), (503, None), (504, ""), (505, "   "), (506, clean[2][1]), (506, clean[2][1]), (None, prose(rng, 50))]
+    rows = [(i, t, rng.choice(["en", None]), None if i is None or i % 5 else "s", 0) for i, t in clean + toxic + more]
+    labels = [(i, 1, 0) for i in range(60)] + [(i, 0, 1) for i in range(200, 230)] + [(None, 0, 1), (40, None, None)]
+    folder = tables(tmp_path, spark, rows, labels, [(1, item), (2, None), (None, "")])
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in out) == sorted([(False, i) for i, _ in clean] + [(False, 503), (False, 505), (True, None)])
+    encoded = {r.doc_id: (r.n_tokens, r.text) for r in out}
+    assert encoded[503] == (0, "") and encoded[3][1] == clean[3][1] and all(r.n_tokens == len(r.ids) for r in out)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables(tmp_path, spark, [], [], [])).count() == 0
+
+
 def test_pipeline(spark, tmp_path, docs):
     rng = random.Random(9)
     item = prose(rng, 40)
