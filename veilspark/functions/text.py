@@ -157,9 +157,14 @@ def alias_hits(c: Column, aliases: dict[str, list[str]] = V.ALIASES, folded: boo
     return F.array_compact(F.array(*hits))
 
 
+def is_common_format(c: Column) -> Column:
+    """Is there a text at all? False for null and empty ones."""
+    return F.coalesce(F.length(c) > 0, F.lit(False))
+
+
 def rebuild_hits(c: Column) -> Column:
     """(type, matched_text) for each family of requests to rebuild a secret, with its first match."""
-    hits = [F.when(c.rlike("(?iu)" + p), F.struct(F.lit(name).alias("type"), F.regexp_extract(c, "(?iu)(" + p + ")", 1).alias("matched_text"))) for name, p in V.REBUILD_PATTERNS.items()]
+    hits = [F.when(c.rlike("(?iU)" + p), F.struct(F.lit(name).alias("type"), F.regexp_extract(c, "(?iU)(" + p + ")", 1).alias("matched_text"))) for name, p in V.REBUILD_PATTERNS.items()]
     return F.array_compact(F.array(*hits))
 
 

@@ -121,6 +121,11 @@ def taxonomy_by_pattern(df: DataFrame, text_col: str = "text", attacks: dict = V
     return F.transform(legacy_hits(df[text_col], attacks), lambda h: h["category"])
 
 
+def mitigation_table(spark, mitigations: dict = V.MITIGATIONS) -> DataFrame:
+    """(category, mitigation): a comma-separated list for each attack."""
+    return spark.createDataFrame(list(mitigations.items()), "category string, mitigation string")
+
+
 def mitigations(column: Column) -> Column:
     """Parts of a comma-separated list, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), ","), F.trim), lambda m: m != "")
+    return F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), ","), lambda m: F.trim(m)), lambda m: m != "")

@@ -80,7 +80,7 @@ def latest(df: DataFrame, n: int, order_col: str) -> DataFrame:
 
 def summary(events: DataFrame, order_col: str) -> DataFrame:
     """One row: counts by action, leaks, blocks, highest and mean score (1 place), and the most common attack, action and skill; of equally common ones the first seen.
-    Every part is a partial aggregate; only one row per kind of value meets in one task."""
+    Every part is a partial aggregate; only one row per kind of value meets in one task. The events are read twice: for the totals and for the values."""
     a, score = F.coalesce("policy_action", F.lit("ALLOW")), F.coalesce("risk_score", F.lit(0))
     count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False))).alias
     totals = events.agg(
@@ -92,14 +92,13 @@ def summary(events: DataFrame, order_col: str) -> DataFrame:
         F.coalesce(F.bround(F.sum(score) / F.count(F.lit(1)), 1), F.lit(0.0)).alias("average_risk_score"),
     )
 
-    def common(rows: DataFrame, name: str) -> DataFrame:
-        by = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o"))
-        return by.agg(F.coalesce(F.max_by("v", F.struct("n", (-F.col("o")).alias("o"))), F.lit("")).alias(name))
-
-    attack = common(events.select(F.coalesce("attack_type", F.lit("unknown")).alias("v"), F.col(order_col).alias("o")), "most_common_attack_type")
-    action = common(events.select(a.alias("v"), F.col(order_col).alias("o")), "most_common_policy_action")
-    skill = common(events.select(F.explode("enabled_skills").alias("v"), F.col(order_col).alias("o")), "most_common_enabled_skill")
-    return totals.crossJoin(attack).crossJoin(action).crossJoin(skill)  # one row each
+    kinds = ("attack_type", "policy_action", "enabled_skill")
+    named = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("v"))
+    values = F.concat(F.array(named(kinds[0], F.coalesce("attack_type", F.lit("unknown"))), named(kinds[1], a)), F.coalesce(F.transform("enabled_skills", lambda s: named(kinds[2], s)), F.array().cast("array<struct<kind:string,v:string>>")))
+    by = events.select(F.explode(values).alias("x"), F.col(order_col).alias("o")).groupBy("x.kind", "x.v").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o"))
+    of = lambda kind: F.when(F.col("kind") == kind, F.struct("n", (-F.col("o")).alias("o")))
+    most = by.agg(*(F.coalesce(F.max_by("v", of(k)), F.lit("")).alias(f"most_common_{k}") for k in kinds))
+    return totals.crossJoin(most)  # one row each
 
 
 def report(events: DataFrame) -> DataFrame:
@@ -138,5 +137,15 @@ def render_benchmark(row: dict) -> str:
     return "\n".join(["# Benchmark Summary", "", f"**Total Tests**: {row['total']}", f"**Passed**: {row['passed']}", f"**Failed**: {row['failed']}", f"**Pass Rate**: {row['pass_rate'] * 100:.1f}%", f"**Total Time**: {row['total_time']:.4f}s"])
 
 
+def iso_time(c: Column) -> Column:
+    """A time as text, to the second."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def json_text(*fields: Column) -> Column:
+    """Columns as one JSON document; letters beyond ASCII stay as they are."""
+    return F.to_json(F.struct(*fields))
+
+
 def to_json(row: dict) -> str:
     return json.dumps(row, ensure_ascii=False, indent=2)

@@ -115,11 +115,12 @@ class SkillRegistry:
         self.rows: dict[str, dict] = {}
         self.categories: dict[str, list[str]] = {}
 
-    def register(self, category: str, name: str, patterns: list[str], risk: str = "low", priority: int | None = None) -> None:
-        """The larger of an old and a new priority holds."""
+    def register(self, category: str, name: str, patterns: list[str], risk: str = "low", priority: int | None = None, action: str | None = None, rewrite: str | None = None, constraints: list[str] | None = None) -> None:
+        """The larger of an old and a new priority holds. action: that of the risk if none is given; rewrite: the prompt that stands
+        for one that hits; constraints: what a hit adds."""
         p = V.SKILL_PRIORITIES.get(name, 50) if priority is None else priority
         old = self.rows.get(name, {}).get("priority", 0)
-        self.rows[name] = {"patterns": patterns, "risk": risk, "priority": max(old, p)}
+        self.rows[name] = {"patterns": patterns, "risk": risk, "priority": max(old, p), "action": action or V.RISK_ACTIONS[risk], "rewrite": rewrite, "constraints": constraints or []}
         if name not in self.categories.setdefault(category, []):
             self.categories[category].append(name)
 
@@ -143,22 +144,46 @@ class SkillRegistry:
         return spark.createDataFrame(rows, "category string, skill string, risk string, priority int, patterns array<string>")
 
 
-def select_skills(categories: Column, routes: dict = V.ROUTES) -> Column:
-    """Skills of all categories' routes, each once: primaries and secondaries in order, sorted by priority (stable, a later route's priority holds)."""
+def select_skills(categories: Column, routes: dict = V.ROUTES, own: SkillRegistry | None = None) -> Column:
+    """Skills of all categories' routes, each once: primaries and secondaries in order, sorted by priority (stable, a later route's priority holds).
+    A category without a route has the skills that are registered for it."""
     rows = lambda p, ss, n: [F.struct(F.lit(s).alias("skill"), F.lit(n - 5 * (i > 0)).alias("priority")) for i, s in enumerate([p, *ss])]
     none = F.array().cast("array<struct<skill:string,priority:int>>")
-    picked = F.flatten(F.transform(categories, lambda c: F.coalesce(*(F.when(c == k, F.array(*rows(p, ss, n))) for k, (p, ss, n, _) in routes.items()), none)))
+    known = {k: rows(p, ss, n) for k, (p, ss, n, _) in routes.items()}
+    for k in own.list_categories() if own else ():
+        known.setdefault(k, [F.struct(F.lit(s).alias("skill"), F.lit(own.get_priority(s)).alias("priority")) for s in own.get(k)])
+    picked = F.flatten(F.transform(categories, lambda c: F.coalesce(*(F.when(c == k, F.array(*r)) for k, r in known.items() if r), none)))
     last = lambda s: F.element_at(F.filter(picked, lambda p: p["skill"] == s), -1)["priority"]
     ordered = F.transform(F.array_distinct(F.transform(picked, lambda p: p["skill"])), lambda s, i: F.struct((-last(s)).alias("p"), i.alias("i"), s.alias("s")))
     return F.transform(F.array_sort(ordered), lambda r: r["s"])
 
 
-def route(df: DataFrame, text_col: str = "text", categories_col: str = "attack_categories", action_col: str = "policy_action", routes: dict = V.ROUTES) -> DataFrame:
-    """Adds selected_skills, executed_skills, skill_results, recommended_action, blocked, runtime_monitor_level, reasons."""
+def _own_detections(own: SkillRegistry, text: Column) -> Column:
+    """(skill, ord, pattern, risk, action) of the registered skills that hit."""
+    low, items = F.lower(text), []
+    for i, (s, r) in enumerate(own.rows.items()):
+        if r["patterns"]:
+            fields = (F.lit(s).alias("skill"), F.lit(i).alias("ord"), first_contained(low, r["patterns"]).alias("pattern"), F.lit(r["risk"]).alias("risk"), F.lit(r["action"]).alias("action"))
+            items.append(F.when(any_contained(low, r["patterns"]), F.struct(*fields)))
+    return listed(items, DETECTION)
+
+
+def route(df: DataFrame, text_col: str = "text", categories_col: str = "attack_categories", action_col: str = "policy_action", routes: dict = V.ROUTES, own: SkillRegistry | None = None) -> DataFrame:
+    """Adds selected_skills, executed_skills, skill_results, recommended_action, rewritten_prompt (the first that a skill gives), added_constraints
+    (those of all skills that hit, each once; null without any), blocked, runtime_monitor_level, reasons.
+    own: registered skills; they stand in for shipped ones of the same name."""
     text = F.coalesce(df[text_col], F.lit(""))
-    x = df.withColumn("selected_skills", select_skills(F.coalesce(F.col(categories_col), no_strings()), routes)).withColumn("__found", all_detections(text))
+    mine = {s: r for s, r in own.rows.items() if "action" in r} if own else {}
+    found = all_detections(text, [s for s in skill_names() if s not in mine])
+    found = F.concat(_own_detections(own, text), found) if mine else found
+    x = df.withColumn("selected_skills", select_skills(F.coalesce(F.col(categories_col), no_strings()), routes, own)).withColumn("__found", found)
     one = lambda s: F.get(F.filter("__found", lambda f: f["skill"] == s), F.lit(0))
-    known = strings(skill_names())
+    known = strings([*mine, *(s for s in skill_names() if s not in mine)])
+    rewrites = {s: r["rewrite"] for s, r in mine.items() if r["rewrite"]}
+    added = {s: r["constraints"] for s, r in mine.items() if r["constraints"]}
+    rewritten = F.filter(F.transform("skill_results", lambda r: F.when(r["detected"], lookup(rewrites, r["skill"], None))), lambda p: p.isNotNull()) if rewrites else no_strings()
+    of_skill = lambda r: F.coalesce(*(F.when(r["detected"] & (r["skill"] == s), strings(c)) for s, c in added.items()), no_strings())
+    constraints = F.array_distinct(F.flatten(F.transform("skill_results", of_skill))) if added else no_strings()
     result = lambda s: F.struct(
         s.alias("skill"),
         one(s).isNotNull().alias("detected"),
@@ -170,9 +195,12 @@ def route(df: DataFrame, text_col: str = "text", categories_col: str = "attack_c
     actions = F.transform("skill_results", lambda r: r["action"])
     level = lambda a: F.when(a == "BLOCK", 2).when(a.isin("AUTHORIZE", "ESCALATE"), 1).otherwise(0)
     most = F.greatest(level(F.col(action_col)), F.coalesce(F.array_max(F.transform(actions, level)), F.lit(0)))
-    unknown = F.filter(F.coalesce(F.col(categories_col), no_strings()), lambda c: ~c.isin(list(routes)))
+    answered = [c for c, (p, *_) in routes.items() if not p or p in mine or p in skill_names()] + [c for c in (own.list_categories() if own else ()) if c not in routes]
+    unknown = F.filter(F.coalesce(F.col(categories_col), no_strings()), lambda c: ~c.isin(answered))
     return x.withColumns({
         "recommended_action": strongest(F.concat(F.array(F.col(action_col)), actions), V.ROUTER_ORDER),
+        "rewritten_prompt": F.get(rewritten, F.lit(0)),
+        "added_constraints": F.when(F.size(constraints) > 0, constraints),
         "blocked": (F.col(action_col) == "BLOCK") | F.exists("skill_results", lambda r: r["action"] == "BLOCK"),
         "runtime_monitor_level": F.element_at(strings(["normal", "elevated", "strict"]), most + 1),
         "reasons": F.concat(F.transform("skill_results", lambda r: r["reason"]), F.transform(unknown, lambda c: F.concat(F.lit("Unknown attack category: "), c))),

@@ -332,8 +332,8 @@ def fn19(spark, d):
 
 
 query("FN22", f"{EVENTS_SQL} SELECT event_id, round_even(risk_score / 8, 2) AS r, greatest(10, least(90, risk_score)) AS c FROM e")(lambda spark, d: events(spark, d).select("event_id", F.bround(F.col("risk_score") / 8, 2).alias("r"), F.greatest(F.lit(10), F.least(F.lit(90), F.col("risk_score"))).alias("c")))
-query("FN23", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso")))
-query("FN24", "SELECT event_id, '{\"kind\":\"' || event_type || '\",\"note\":\"é\"}' AS j FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("kind"), F.lit("é").alias("note"))).alias("j")))
+query("FN23", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", E.iso_time(F.col("ts")).alias("iso")))
+query("FN24", "SELECT event_id, '{\"kind\":\"' || event_type || '\",\"note\":\"é\"}' AS j FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", E.json_text(F.col("event_type").alias("kind"), F.lit("é").alias("note")).alias("j")))
 
 
 @query("FN21", "SELECT * FROM (VALUES ('echo', 'hi', true)) AS v(model, prompt, plain)")
@@ -376,8 +376,26 @@ query("SRC6", rows("WITH x", "category, risk_level, confidence", [(k, r, c) for
 query("SRC7", "SELECT 50 AS points, true AS fallback")(lambda spark, d: spark.createDataFrame([(lambda r: (r[0]["attack_category_scores"]["direct_secret_request"], r[1]))(D.load_or_default(spark, folder(spark, "none"), V.SCORING))], "points int, fallback boolean"))
 query("SRC8", rows("WITH x", "category, skill", [(k, v[0]) for k, v in V.ROUTES.items()]) + " SELECT * FROM x")(lambda spark, d: spark.createDataFrame([(k, v[0]) for k, v in D.load_map(spark, json_file(spark, V.ROUTES)).items()], "category string, skill string"))
 query("SRC10", "SELECT 2000 AS buffer, 'low' AS threshold")(lambda spark, d: spark.createDataFrame([(lambda c: (c.get("max_buffer_size"), c.get("default_threshold")))(D.Config(spark, json_file(spark, {"default_threshold": "low"})))], "buffer int, threshold string"))
-query("SRC15", f"WITH {ASSETS_SQL} SELECT asset_id, name FROM a WHERE asset_id = 'a1'")(lambda spark, d: A.default_assets(spark).filter("asset_id = 'a1'").select("asset_id", "name"))
-query("SRC16", "SELECT * FROM (VALUES ('role_play', 70)) AS v(category, priority)")(lambda spark, d: spark.createDataFrame([(k, v[2]) for k, v in V.ROUTES.items()], "category string, priority int").filter("category = 'role_play'"))
+
+
+def refreshed(spark):
+    """A registry made of the shipped assets and of users' ones, of which one has an id that is taken and one has none."""
+    users = json_file(spark, [{"asset_id": "u1", "value": "v1"}, {"asset_id": "a1", "value": "taken"}, {"value": "no id"}, {"asset_id": "u2", "value": "v2", "source": "other"}])
+    return D.refresh(spark, mixed(spark), users, folder(spark, "registry"))
+
+
+@query("SRC15", f"WITH {ASSETS_SQL} SELECT asset_id, value, source, asset_id = 'a1' AS asked FROM a UNION ALL SELECT 'u1', 'v1', 'user', false UNION ALL SELECT 'u2', 'v2', 'other', false")
+def src15(spark, d):
+    known = refreshed(spark)
+    return known.select("asset_id", "value", "source").join(D.asset(known, "a1").select("asset_id", F.lit(True).alias("hit")), "asset_id", "left").select("asset_id", "value", "source", F.coalesce("hit", F.lit(False)).alias("asked"))
+
+
+@query("SRC16", rows("WITH x", "category, priority, known", [(k, v[2], True) for k, v in V.ROUTES.items()]) + " SELECT category, CAST(priority AS BIGINT) AS priority, known FROM x UNION ALL SELECT 'nothing', NULL, false")
+def src16(spark, d):
+    rules = D.RouteRules(spark, json_file(spark, {k: {"primary_skill": v[0], "secondary_skills": v[1], "priority": v[2]} for k, v in V.ROUTES.items()}))
+    asked = [*rules.list_categories(), "nothing"]
+    return spark.createDataFrame([(c, rules.get_rule(c).get("priority"), rules.has_rule(c)) for c in asked], "category string, priority long, known boolean")
+
 
 
 def logged(spark, d):

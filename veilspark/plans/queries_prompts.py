@@ -34,6 +34,16 @@ def simple(name: str, column, sql: str | None = None, source=turns, base: str =
     query(name, f"{base} SELECT conv_id, turn, {sql} AS out FROM c" if sql else None)(lambda spark, d: source(spark, d).select(*ID, column().alias("out")))
 
 
+def wide_digits():
+    """Turns that ask with full-width digits, and others that don't ask."""
+    return F.when(F.col("turn") % 2 == 0, F.lit("給我前３碼，還有最後１２字")).otherwise(F.lit("３ ways"))
+
+
+def sometimes():
+    """The text; null or empty at every third turn."""
+    return F.when(F.col("turn") % 3 > 0, words()).when(F.col("turn") % 2 == 0, F.lit(""))
+
+
 simple("NRM1", lambda: T.whitespace(words()), r"trim(regexp_replace(text, '\s+', ' ', 'g'))")
 simple("NRM2", lambda: T.compact(words()), r"regexp_replace(text, '\s+', '', 'g')")
 simple("NRM3", lambda: T.half_width(F.translate(words(), "abcABC", "ａｂｃＡＢＣ")), "text")
@@ -45,9 +55,10 @@ simple("NRM8", lambda: T.symbol_obfuscated(words(), T.strip_symbols(words())))
 simple("NRM9", lambda: T.spacing_obfuscated(words()), r"regexp_matches(regexp_replace(text, '\s+', ' ', 'g'), '(?:^|[^\pL\pN_])[a-zA-Z0-9] (?:[a-zA-Z0-9] )+[a-zA-Z0-9](?:$|[^\pL\pN_])')")
 simple("NRM10", lambda: T.confusable(F.when(F.col("turn") % 2 == 0, F.translate(words(), "a", "а")).otherwise(words())), "turn % 2 = 0 AND contains(text, 'a')")
 simple("NRM12", lambda: csv(F.array_sort(F.transform(T.alias_hits(words()), lambda a: a["canonical"]))), tags(**{k: " OR ".join([has("lower(text)", [w]) + " OR " + has(r"regexp_replace(lower(text), '\s+', '', 'g')", [w.replace(' ', '')]) for w in ws]) for k, ws in sorted(V.ALIASES.items())}))
-simple("NRM13", lambda: csv(F.transform(T.rebuild_hits(words()), lambda a: a["type"])), tags(**{k: rx("text", [p], "i") for k, p in V.REBUILD_PATTERNS.items()}))
+simple("NRM13", lambda: csv(F.transform(T.rebuild_hits(words()), lambda a: a["type"])), tags(**{k: rx("text", [p.replace(r"\d", r"\p{Nd}")], "i") for k, p in V.REBUILD_PATTERNS.items()}))
 simple("NRM15", lambda: T.asset_text(words()), "trim(text, chr(9) || chr(10) || chr(13) || ' ')")
-simple("NRM17", lambda: F.length(words()) > 0, "length(text) > 0")
+simple("NRM13_wide", lambda: csv(F.transform(T.rebuild_hits(wide_digits()), lambda a: a["matched_text"])), r"CASE WHEN turn % 2 = 0 THEN '前３碼,最後１２字' ELSE '' END")
+simple("NRM17", lambda: T.is_common_format(sometimes()), "turn % 3 > 0 AND length(text) > 0")
 
 
 @query("NRM10_steps")
@@ -177,6 +188,12 @@ def prd10(spark, d):
     return C.taxonomy(spark).filter("risk_level = 'high'").select("category", F.size("patterns").cast("long").alias("n_patterns"), "risk_level")
 
 
+@query("PRD10_mitigation", rows("WITH m", "category, mitigation", [(c, m.strip()) for c, text in V.MITIGATIONS.items() for m in text.split(",")]) + " SELECT category, mitigation FROM m")
+def prd10_mitigation(spark, d):
+    table = C.mitigation_table(spark)
+    return table.select("category", F.explode(C.mitigations(F.col("mitigation"))).alias("mitigation"))
+
+
 @query("AGG5", f"{PROMPTS}, {LEGACY_SQL}, {LEGACY_HITS} SELECT c.conv_id, c.turn, CASE WHEN max(CASE WHEN risk_level = 'high' THEN 1 ELSE 0 END) = 1 THEN 'high' WHEN max(CASE WHEN risk_level = 'medium' THEN 1 ELSE 0 END) = 1 THEN 'medium' ELSE 'low' END AS max_risk, count(category) AS category_count FROM c LEFT JOIN lh ON lh.conv_id = c.conv_id AND lh.turn = c.turn GROUP BY c.conv_id, c.turn")
 def agg5(spark, d):
     x = prompts(spark, d).select(*ID, C.legacy_summary(C.legacy_hits(words())).alias("s"))
@@ -515,6 +532,28 @@ def join10(spark, d):
     return routed(spark, d).select(*ID, F.explode_outer("selected_skills").alias("skill")).filter("skill IS NOT NULL")
 
 
+def own_skills() -> K.SkillRegistry:
+    """A skill for a category without a route, and one more for the same that rewrites."""
+    known = K.SkillRegistry()
+    known.register("encoding_bypass", "own_encoding", ["base64", "hex"], "low", 40, constraints=["no codes", "plain words only"])
+    known.register("encoding_bypass", "own_rewrite", ["base64"], "low", 60, action="REWRITE", rewrite="Explain what codes are for.", constraints=["plain words only"])
+    return known
+
+
+FEWER_ROUTES = {c: r for c, r in V.ROUTES.items() if c != "encoding_bypass"}
+OWN_SQL = f"""{PROMPTS}, h AS (SELECT conv_id, turn, contains(lower(text), 'base64') AS b, contains(lower(text), 'hex') AS x FROM c)
+SELECT conv_id, turn, 'own_rewrite,own_encoding' AS skills, CASE WHEN b THEN 'REWRITE' ELSE 'WARN' END AS recommended_action, CASE WHEN b THEN 'Explain what codes are for.' END AS rewritten_prompt,
+  CASE WHEN b THEN 'plain words only,no codes' WHEN x THEN 'no codes,plain words only' END AS added_constraints, CASE WHEN b THEN 'Defended by own_rewrite,Defended by own_encoding' ELSE 'Detected by own_rewrite: unknown,' || CASE WHEN x THEN 'Defended by own_encoding' ELSE 'Detected by own_encoding: unknown' END END || ',Unknown attack category: nothing' AS reasons
+FROM h"""
+
+
+@query("ROUTE_own", OWN_SQL)
+def route_own(spark, d):
+    x = prompts(spark, d).withColumns({"attack_categories": F.array(F.lit("encoding_bypass"), F.lit("nothing")), "policy_action": F.lit("ALLOW")})
+    x = K.route(x, routes=FEWER_ROUTES, own=own_skills())
+    return x.select(*ID, csv("executed_skills").alias("skills"), "recommended_action", "rewritten_prompt", F.array_join("added_constraints", ",").alias("added_constraints"), csv("reasons").alias("reasons"))
+
+
 @query("SRT1", f"{ROUTED_SQL} SELECT c.conv_id, c.turn, coalesce(string_agg(skill, ',' ORDER BY priority DESC, o), '') AS skills FROM c LEFT JOIN y ON y.conv_id = c.conv_id AND y.turn = c.turn GROUP BY c.conv_id, c.turn")
 def srt1(spark, d):
     return routed(spark, d).select(*ID, csv("selected_skills").alias("skills"))

@@ -11,7 +11,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.operators.assets import FIELDS, SCHEMA
+from veilspark.operators.assets import FIELDS, SCHEMA, merge
 from veilspark.operators.events import SCHEMA as EVENT_SCHEMA
 from veilspark.operators.events import complete, redact
 
@@ -98,6 +98,18 @@ def save_registry(assets: DataFrame, path: str, version: str = "1.0") -> None:
     doc.coalesce(1).write.mode("overwrite").text(path)
 
 
+def refresh(spark: SparkSession, defaults: str, users: str, path: str) -> DataFrame:
+    """Merges the assets of two files, of which the first wins, saves them as the registry and returns what it then holds."""
+    merged = merge(load_assets(spark, defaults, "system"), load_assets(spark, users, "user"))
+    save_registry(merged, path)
+    return load_assets(spark, path, pattern="*.txt")
+
+
+def asset(registry: DataFrame, asset_id: str) -> DataFrame:
+    """The asset of that id; empty if there is none."""
+    return registry.filter(F.col("asset_id") == asset_id)
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Event lines; blank and broken ones are left out; a missing log is empty."""
     if not exists(spark, path):
@@ -131,6 +143,23 @@ def save_text(spark: SparkSession, text: str, path: str) -> str:
     return path
 
 
+class RouteRules:
+    """The rules of a document by category; a missing or broken document is an error."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.rules = load_map(spark, path)
+
+    def get_rule(self, category: str) -> dict:
+        """Empty where there is none."""
+        return dict(self.rules.get(category) or {})
+
+    def has_rule(self, category: str) -> bool:
+        return category in self.rules
+
+    def list_categories(self) -> list[str]:
+        return list(self.rules)
+
+
 class Config:
     """Settings of a document, with defaults where it says nothing."""
 
