@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import centroids, cuckoo_dedup, decontam, infill, kneser_ney, langid, licenses, minhash, pieces, pii, token_rollup, toxicity as severity
+from veilspark.llm import centroids, cuckoo_dedup, decontam, infill, kneser_ney, langid, licenses, metric_join, minhash, pieces, pii, token_rollup, toxicity as severity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +66,14 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.fill_in_middle(_docs(spark, sf_dir), with_output=False)
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.jaccard_components(_docs(spark, sf_dir))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_cuckoo_dedup, op3_hyperdimensional_langid, op4_pii_spans, op5_template_decontamination, op6_toxicity_severity, op7_kneser_ney, op8_sentencepiece, op9_license_scan, op10_token_rollup, op11_fill_in_middle, op13_centroid_clusters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_cuckoo_dedup, op3_hyperdimensional_langid, op4_pii_spans, op5_template_decontamination, op6_toxicity_severity, op7_kneser_ney, op8_sentencepiece, op9_license_scan, op10_token_rollup, op11_fill_in_middle, op12_jaccard_join, op13_centroid_clusters)}
 
 ORACLES: dict[str, str] = {"op2_cuckoo_dedup": cuckoo_dedup.ORACLE, "op11_fill_in_middle": infill.ORACLE, "op13_centroid_clusters": centroids.ORACLE}
