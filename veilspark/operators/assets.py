@@ -1,7 +1,7 @@
 """Protected assets: the registry as a table, its changes, and matchers over arrays of assets.
 
 Matchers take the assets as an array of structs: a literal one for a small registry, or a column where every
-row has its own. A registry goes into a literal only up to `MAX_LITERAL` assets; beyond that `match_pairs` joins.
+row has its own. A registry goes into a literal only up to `MAX_LITERAL` assets; beyond that `asset_index` joins.
 """
 
 from __future__ import annotations
@@ -26,16 +26,10 @@ def literal(rows=V.ASSETS) -> Column:
     """Shipped or collected assets as an array literal."""
     rows = list(rows)
     if len(rows) > MAX_LITERAL:
-        raise ValueError("too many assets for a literal; use match_pairs")
+        raise ValueError("too many assets for a literal; use asset_index")
     return F.array(*(F.struct(F.lit(i).alias("asset_id"), F.lit(n).alias("name"), F.lit(t).alias("type"), F.lit(v).alias("value"), strings(a).alias("aliases"), F.lit(r).alias("risk_level"), strings(roles).alias("allowed_roles"), strings(m).alias("protection_modes"), F.lit(d).alias("description")) for i, n, t, v, a, r, roles, m, d, _ in rows))
 
 
-def match_pairs(df: DataFrame, assets: DataFrame, condition: Column) -> DataFrame:
-    """Rows with the assets that match. The assets are broadcast if they are at most MAX_LITERAL, else both sides stay spread out."""
-    few = assets.limit(MAX_LITERAL + 1).count() <= MAX_LITERAL
-    return df.join(F.broadcast(assets) if few else assets, condition)
-
-
 # ---- changes ------------------------------------------------------------------------------------------------
 
 

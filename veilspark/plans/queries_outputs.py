@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from veilspark import cli
 from veilspark.functions import fixed_values as V
 from veilspark.functions import text as T
+from veilspark.operators import asset_index as IX
 from veilspark.operators import assets as A
 from veilspark.operators import events as E
 from veilspark.operators import leakage as LK
@@ -19,7 +20,7 @@ from veilspark.operators import outputs as O
 from veilspark.operators import tokens as TK
 from veilspark.plans.benchmarks import Evaluator, summarise
 from veilspark.plans.probes import with_probes
-from veilspark.plans.registry import ASSETS_SQL, OUTPUTS, PROMPTS, case, has, outputs, prompts, query, quoted, rows, rx, table, tags
+from veilspark.plans.registry import ASSETS_SQL, OUTPUTS, PROMPTS, TURNS, case, has, outputs, prompts, query, quoted, rows, rx, table, tags, turns
 from veilspark.sources import documents as D
 from veilspark.sources import models as M
 from veilspark.streaming import monitor as ST
@@ -505,3 +506,63 @@ def str4(spark, d):
     return ST.check_output(outputs(spark, d), WATCHED, WORDS).select(*ID, "blocked")
 
 
+# ---- registries of any size -------------------------------------------------------------------------------------
+
+
+def large_registry(spark, d):
+    """Assets of the tables: every part's name with its key, every customer's name, and what lies inside each turn that a user wrote; names of parts
+    and their brands besides, of which pieces count too."""
+    modes = lambda *m: F.array(*map(F.lit, m))
+    none = F.array().cast("array<string>")
+    one = lambda x, key, value, aliases, protection: x.select(F.concat(F.lit(key), F.lit(":"), *value[0]).alias("asset_id"), F.lit(key).alias("name"), F.lit("exact").alias("type"), value[1].alias("value"), aliases.alias("aliases"), F.lit("high").alias("risk_level"), modes("owner").alias("allowed_roles"), protection.alias("protection_modes"), F.lit(True).alias("enabled"), F.lit("").alias("description"), F.lit("user").alias("source"))
+    parts = table(spark, d, "part")
+    return (
+        one(parts, "part", ([F.col("p_partkey")], F.concat_ws("-", "p_name", F.col("p_partkey").cast("string"))), F.array("p_brand"), modes("exact_match"))
+        .unionByName(one(parts.select("p_name").distinct(), "name", ([F.col("p_name")], F.col("p_name")), none, modes("exact_match", "partial_match")))
+        .unionByName(one(table(spark, d, "customer"), "customer", ([F.col("c_custkey")], F.col("c_name")), none, modes("exact_match")))
+        .unionByName(one(table(spark, d, "conversations").filter("role = 'user'"), "turn", ([F.col("conv_id"), F.lit("-"), F.col("turn")], F.expr("substring(text, 6, 12 + turn)")), none, modes("exact_match")))
+    )
+
+
+REGISTRY_SQL = """ra AS (SELECT 'part:' || p_partkey AS asset_id, p_name || '-' || p_partkey AS value, [p_brand] AS aliases, false AS part FROM part
+  UNION ALL SELECT 'name:' || p_name, p_name, []::VARCHAR[], true FROM (SELECT DISTINCT p_name FROM part) UNION ALL SELECT 'customer:' || c_custkey, c_name, []::VARCHAR[], false FROM customer
+  UNION ALL SELECT 'turn:' || conv_id || '-' || turn, substr(text, 6, 12 + turn), []::VARCHAR[], false FROM conversations WHERE role = 'user')"""
+#: Every text gets the names of a part and of a customer that its place in the table points to, so that there are hits.
+NAMED_SQL = """tx AS (SELECT conv_id, turn, text || CASE conv_id % 4 WHEN 0 THEN ' ' || p_name || '-' || p_partkey WHEN 1 THEN ' ' || upper(c_name) WHEN 2 THEN ' ' || p_brand ELSE '' END AS text
+  FROM c JOIN part ON p_partkey = (conv_id * 31 + turn) % (SELECT count(*) FROM part) JOIN customer ON c_custkey = (conv_id * 17 + turn) % (SELECT count(*) FROM customer))"""
+
+
+def named_texts(spark, d):
+    parts, customers = table(spark, d, "part"), table(spark, d, "customer")
+    n, m = parts.count(), customers.count()
+    x = turns(spark, d).withColumns({"p_partkey": (F.col("conv_id") * 31 + F.col("turn")) % n, "c_custkey": (F.col("conv_id") * 17 + F.col("turn")) % m})
+    x = x.join(parts.select("p_partkey", "p_name", "p_brand"), "p_partkey").join(customers.select("c_custkey", "c_name"), "c_custkey")
+    four = F.col("conv_id") % 4
+    more = F.when(four == 0, F.concat(F.lit(" "), "p_name", F.lit("-"), F.col("p_partkey"))).when(four == 1, F.concat(F.lit(" "), F.upper("c_name"))).when(four == 2, F.concat(F.lit(" "), "p_brand")).otherwise("")
+    return x.select(*ID, F.concat("text", more).alias("text"))
+
+
+LARGE_HITS = f"""{TURNS}, {REGISTRY_SQL}, {NAMED_SQL}, rh AS (SELECT conv_id, turn, asset_id, CASE WHEN value <> '' AND contains({L}, lower(value)) THEN 'exact' WHEN len(aliases) > 0 AND contains({L}, lower(aliases[1])) THEN 'alias'
+  WHEN part AND len(list_filter(range(1, length(value) - 2), lambda i: contains({L}, substr(lower(value), i, 4)))) > 0 THEN 'partial' END AS kind FROM tx, ra)"""
+
+
+@query("JOIN5_large", f"{LARGE_HITS} SELECT conv_id, turn, asset_id, kind FROM rh WHERE kind IS NOT NULL")
+def join5_large(spark, d):
+    return IX.hits(named_texts(spark, d), large_registry(spark, d), list(ID)).select(*ID, "asset_id", "kind")
+
+
+@query("AGG13_large", f"""{LARGE_HITS}, w AS (SELECT conv_id, turn, bool_or(kind IN ('exact', 'alias')) AS whole, bool_or(kind = 'partial') AS part, count(kind) AS n FROM rh GROUP BY ALL),
+z AS (SELECT tx.*, whole, part, n, {rx('text', [p[0] for p in V.SECRET_PATTERNS.values() if p[3] == 'BLOCK'])} AS grave, {rx('text', [p[0] for p in V.SECRET_PATTERNS.values() if p[3] == 'REDACT'])} AS plain FROM tx JOIN w ON w.conv_id = tx.conv_id AND w.turn = tx.turn)
+SELECT conv_id, turn, n AS assets, CASE WHEN whole OR grave THEN 'BLOCK' WHEN part OR plain THEN 'REDACT' ELSE 'ALLOW' END AS action, CASE WHEN whole OR grave THEN 'CRITICAL_LEAK' WHEN plain THEN 'FULL_LEAK' WHEN part THEN 'PARTIAL_LEAK' ELSE 'NO_LEAK' END AS risk_level FROM z""")
+def agg13_large(spark, d):
+    return IX.guarded(named_texts(spark, d), large_registry(spark, d), list(ID), redact=False).select(*ID, F.size("matched_assets").cast("long").alias("assets"), "action", "risk_level")
+
+
+@query("AGG12_large", f"""{TURNS}, {REGISTRY_SQL}, {NAMED_SQL}, rv AS (SELECT asset_id, value FROM ra WHERE asset_id LIKE 'customer:%'), e AS (SELECT conv_id, turn, count(*) AS n FROM tx, rv WHERE contains({L}, lower(value)) GROUP BY ALL)
+SELECT conv_id, turn, true AS is_leak, 'critical' AS highest_severity, 'block' AS recommended_action FROM e""")
+def agg12_large(spark, d):
+    """Whole leaks of customers' names; under exact_match and encoding_match alone, as pieces of them are in every one."""
+    registry = large_registry(spark, d).filter("asset_id LIKE 'customer:%'").withColumn("protection_modes", F.array(F.lit("exact_match"), F.lit("encoding_match")))
+    whole = lambda r: IX.leak_needles(r).filter("kind IN ('exact', 'code')")
+    x = LK.verify(IX.with_assets(named_texts(spark, d), registry, list(ID), needles=whole), F.col("assets"))
+    return x.filter("is_leak").select(*ID, "is_leak", "highest_severity", "recommended_action")
