@@ -117,6 +117,20 @@ def taxonomy(spark, attacks: dict = V.LEGACY_ATTACKS) -> DataFrame:
     return spark.createDataFrame([(k, p, c, r) for k, (p, c, r) in attacks.items()], "category string, patterns array<string>, confidence double, risk_level string")
 
 
+def by_risk_level(table: DataFrame, level: str) -> DataFrame:
+    return table.filter(F.col("risk_level") == level)
+
+
+def get(df: DataFrame, table: DataFrame, category_col: str = "category") -> DataFrame:
+    """df with what the taxonomy says about each row's category; rows of categories that it doesn't have drop out. The taxonomy is as small
+    as it ships."""
+    return df.join(F.broadcast(table.withColumnRenamed("category", category_col)), category_col)
+
+
+def categories(table: DataFrame) -> DataFrame:
+    return table.select("category")
+
+
 def taxonomy_by_pattern(df: DataFrame, text_col: str = "text", attacks: dict = V.LEGACY_ATTACKS) -> Column:
     return F.transform(legacy_hits(df[text_col], attacks), lambda h: h["category"])
 

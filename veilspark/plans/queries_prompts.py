@@ -183,17 +183,6 @@ def prd9(spark, d):
     return prompts(spark, d).select(*ID, F.explode(C.legacy_hits(words())).alias("h")).select(*ID, "h.*")
 
 
-@query("PRD10", f"WITH {LEGACY_SQL} SELECT category, count(*) AS n_patterns, min(risk_level) AS risk_level FROM g WHERE risk_level = 'high' GROUP BY category")
-def prd10(spark, d):
-    return C.taxonomy(spark).filter("risk_level = 'high'").select("category", F.size("patterns").cast("long").alias("n_patterns"), "risk_level")
-
-
-@query("PRD10_mitigation", rows("WITH m", "category, mitigation", [(c, m.strip()) for c, text in V.MITIGATIONS.items() for m in text.split(",")]) + " SELECT category, mitigation FROM m")
-def prd10_mitigation(spark, d):
-    table = C.mitigation_table(spark)
-    return table.select("category", F.explode(C.mitigations(F.col("mitigation"))).alias("mitigation"))
-
-
 @query("AGG5", f"{PROMPTS}, {LEGACY_SQL}, {LEGACY_HITS} SELECT c.conv_id, c.turn, CASE WHEN max(CASE WHEN risk_level = 'high' THEN 1 ELSE 0 END) = 1 THEN 'high' WHEN max(CASE WHEN risk_level = 'medium' THEN 1 ELSE 0 END) = 1 THEN 'medium' ELSE 'low' END AS max_risk, count(category) AS category_count FROM c LEFT JOIN lh ON lh.conv_id = c.conv_id AND lh.turn = c.turn GROUP BY c.conv_id, c.turn")
 def agg5(spark, d):
     x = prompts(spark, d).select(*ID, C.legacy_summary(C.legacy_hits(words())).alias("s"))

@@ -126,9 +126,25 @@ def append_events(events: DataFrame, path: str) -> None:
     redact(complete(events)).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def append_event_stream(events: DataFrame, path: str, checkpoint: str):
-    """The same for a stream, exactly once."""
-    return redact(complete(events)).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+def append_event_stream(events: DataFrame, path: str, checkpoint: str, bounded: bool = False, after=None):
+    """The same for a stream, exactly once: a batch is a folder below path, named after its number, and a batch that is run again after a failure writes its folder
+    anew. Read it with `read_event_batches`. after(number), if given, runs when a batch's folder is there, before Spark takes the batch as done."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        redact(complete(batch)).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/batch={number}")
+        if after:
+            after(number)
+
+    to = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
+    return (to.trigger(availableNow=True) if bounded else to).start()
+
+
+def read_event_batches(spark: SparkSession, path: str) -> DataFrame:
+    """Events of all batches, with the number of their batch."""
+    schema = EVENT_SCHEMA if isinstance(EVENT_SCHEMA, str) else EVENT_SCHEMA.simpleString()
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"{schema}, batch long")
+    return spark.read.schema(f"{schema}, batch long").option("mode", "DROPMALFORMED").json(path)
 
 
 def save_text(spark: SparkSession, text: str, path: str) -> str:
@@ -143,6 +159,42 @@ def save_text(spark: SparkSession, text: str, path: str) -> str:
     return path
 
 
+def load_alias_rules(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The variants of each canonical word; a missing or broken document is an error."""
+    data = read_document(spark, path)
+    return dict(data.get("aliases") or {}) if isinstance(data, dict) else {}
+
+
+def load_policy_file(spark: SparkSession, path: str) -> dict:
+    """A policy document; {} where there is none, an error where it is broken."""
+    return load_map(spark, path)
+
+
+class RolePolicies:
+    """What a role is allowed, from {roles: {role: {allowed_roles, permissions}}}; no document and unknown roles allow nothing."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.reload()
+
+    def reload(self) -> None:
+        self.roles = load_map(self.spark, self.path).get("roles") or {}
+
+    def policy(self, role: str, asset_names: list[str], decision: dict) -> dict:
+        own, action = self.roles.get(role) or {}, decision.get("action", "allow")
+        watched = action in ("warn", "restrict", "block", "escalate")
+        return {
+            "action": action,
+            "risk_threshold": decision.get("threshold", "medium"),
+            "role": role,
+            "restricted_assets": list(asset_names),
+            "allowed_roles": own.get("allowed_roles", []),
+            "required_permissions": own.get("permissions", []),
+            "enable_monitoring": watched,
+            "enable_leakage_check": action != "allow",
+        }
+
+
 class RouteRules:
     """The rules of a document by category; a missing or broken document is an error."""
 
