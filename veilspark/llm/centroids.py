@@ -79,7 +79,7 @@ def first_centroids(rows: DataFrame, clusters: int, scale: int, seed: int) -> np
     """The vectors whose sha256 of `seed:id` come first."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary"), 256)
     chosen = rows.orderBy(order.asc_nulls_last(), F.col("vector")).limit(clusters).collect()
-    return whole(np.array([r.vector for r in chosen], np.float64).reshape(len(chosen), -1), scale)
+    return whole(np.array([r.vector for r in chosen], np.float64), scale) if chosen else np.zeros((0, 0), np.int64)
 
 
 def lloyd_round(rows: DataFrame, centroids: np.ndarray, scale: int) -> np.ndarray:
