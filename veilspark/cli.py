@@ -53,6 +53,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     c.add_argument("prompt")
     c.add_argument("--client", default="veilspark.sources.models:EchoClient")
     c.add_argument("--model", default="echo")
+    c.add_argument("--registry")
     modes.add_parser("list-attacks")
     modes.add_parser("benchmark")
     for name in ("list-assets", "asset"):
@@ -68,7 +69,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         show(analyze(spark, a.prompt))
     elif a.mode == "chat":
         module, _, name = a.client.partition(":")
-        show(chat(spark, a.prompt, getattr(importlib.import_module(module), name)(), a.model))
+        show(chat(spark, a.prompt, getattr(importlib.import_module(module), name)(), a.model, registry(spark, a.registry) if a.registry else None))
     elif a.mode == "list-attacks":
         for k, (confidence, severity, skill) in V.ATTACKS.items():
             show({"category": k, "base_confidence": confidence, "severity_hint": severity, "recommended_skill": skill})
@@ -88,13 +89,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif what == "add":
             table, rows = A.add(table, spark.createDataFrame([json.loads(a.value)], A.SCHEMA))
             rows = rows.collect()
+        elif what == "refresh":
+            # the registry's shipped assets win; `value` is a file of users' ones
+            if not (a.registry and a.value):
+                parser.error("asset refresh needs --registry and a file of assets")
+            table = documents.refresh(spark, a.registry, a.value, f"{a.registry}.merged")
+            rows = table.select("asset_id", "source").collect()
         elif what == "remove":
             rows = table.filter(F.col("asset_id") == a.value).select("asset_id").collect()
             table = A.remove(table, a.value)
         else:
             rows = table.select("asset_id", "name", "type", "risk_level", "enabled").collect()
         if what in ("add", "remove", "refresh") and a.registry:
-            documents.save_registry(spark.createDataFrame(table.collect(), A.SCHEMA), a.registry)
+            held_rows = [r.asDict() for r in table.collect()]  # as small as a registry on the command line is
+            documents.save_text(spark, json.dumps({"version": "1.0", "asset_count": len(held_rows), "assets": held_rows}, ensure_ascii=False), a.registry)
         for r in rows:
             show(r.asDict(True))
     return 0

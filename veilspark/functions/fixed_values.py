@@ -13,7 +13,8 @@ ASSET_ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 
 # Look-alike characters of prompts, and of assets (another set).
 ASSET_HOMOGLYPHS = ("аАеЕоОсСрРхХіІѕјвнкмту", "aAeEoOcCpPxXiIsjbhkmty")
-HOMOGLYPHS = ("аеорсхмАЕОРСХМіІЈΑΒΟΙο", "aeopcxmAEOPCXMiIJABOIo")
+HOMOGLYPH_MAP = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "Α": "A", "Β": "B", "Ο": "O", "Ι": "I", "Ј": "J", "А": "A", "Е": "E", "О": "O", "Р": "P", "С": "C", "Х": "X", "і": "i", "І": "I", "ο": "o", "м": "m", "М": "M"}
+HOMOGLYPHS = ("".join(HOMOGLYPH_MAP), "".join(HOMOGLYPH_MAP.values()))
 
 # Aliases of protected notions.
 ALIASES = {

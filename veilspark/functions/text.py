@@ -11,7 +11,6 @@ import codecs
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,36 +51,25 @@ def homoglyphs(c: Column, table: tuple[str, str] = V.HOMOGLYPHS) -> Column:
     return F.translate(c, *table)
 
 
-def _ascii_or(c: Column, plain: Column, udf) -> Column:
-    ascii_ = c.rlike(ASCII_ONLY)
-    return F.when(ascii_, plain).otherwise(udf(F.when(~ascii_, c)))
-
-
-def _vectorised(f):
-    @F.pandas_udf("string")
-    def udf(s: pd.Series) -> pd.Series:
-        return s.map(f, na_action="ignore")
-
-    return udf
+def _unicode(kind: str, method: str, c: Column) -> Column:
+    """A static function (text, true) of the Unicode library that ships with Spark, inside the JVM; null stays null."""
+    return F.when(c.isNotNull(), F.call_function("reflect", F.lit(f"com.ibm.icu.{kind}"), F.lit(method), F.coalesce(c, F.lit("")), F.lit(True)))
 
 
 def casefold(c: Column) -> Column:
-    return _ascii_or(c, F.lower(c), _vectorised(str.casefold))
+    """Full case folding."""
+    return F.when(c.rlike(ASCII_ONLY), F.lower(c)).otherwise(_unicode("lang.UCharacter", "foldCase", c))
 
 
 def nfkc(c: Column) -> Column:
-    return _ascii_or(c, c, _vectorised(lambda t: unicodedata.normalize("NFKC", t)))
-
-
-def _chain(t: str) -> str:
-    """The whole chain for a text that isn't ASCII."""
-    t = unicodedata.normalize("NFKC", t).translate({0x3000: " "} | {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)})
-    return t.translate(dict.fromkeys(map(ord, V.ZERO_WIDTH))).translate(str.maketrans(*V.HOMOGLYPHS)).casefold()
+    """Compatibility decomposition, then composition."""
+    return F.when(c.rlike(ASCII_ONLY), c).otherwise(_unicode("text.Normalizer", "compose", c))
 
 
 def unicode_chain(c: Column) -> Column:
     """NFKC, half width, no zero width, look-alikes replaced, case folded. Of ASCII texts only the letter case changes."""
-    return _ascii_or(c, F.lower(c), _vectorised(_chain))
+    whole = homoglyphs(drop_zero_width(half_width(_unicode("text.Normalizer", "compose", c))))
+    return F.when(c.rlike(ASCII_ONLY), F.lower(c)).otherwise(_unicode("lang.UCharacter", "foldCase", whole))
 
 
 def strip_symbols(c: Column) -> Column:

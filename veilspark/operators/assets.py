@@ -49,11 +49,6 @@ def validation(df: DataFrame) -> Column:
     )
 
 
-def _alias_text(a: Column) -> Column:
-    """As asset_text without compatibility composition, which can't run inside an array."""
-    return T.strip(T.homoglyphs(T.half_width(F.translate(a, V.ASSET_ZERO_WIDTH, "")), V.ASSET_HOMOGLYPHS))
-
-
 def with_defaults(df: DataFrame) -> DataFrame:
     """Normal texts and the defaults of a new asset."""
     return df.select(
@@ -61,7 +56,7 @@ def with_defaults(df: DataFrame) -> DataFrame:
         F.coalesce(T.asset_text(F.col("name")), F.lit("")).alias("name"),
         F.coalesce("type", F.lit("exact")).alias("type"),
         T.asset_text(F.col("value")).alias("value"),
-        F.coalesce(F.transform("aliases", _alias_text), strings([])).alias("aliases"),
+        F.coalesce(F.transform("aliases", T.asset_text), strings([])).alias("aliases"),
         F.coalesce("risk_level", F.lit("medium")).alias("risk_level"),
         F.coalesce("allowed_roles", strings(["owner"])).alias("allowed_roles"),
         F.coalesce("protection_modes", strings(["exact_match"])).alias("protection_modes"),

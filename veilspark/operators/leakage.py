@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed_values as V
@@ -112,7 +112,16 @@ def verify(df: DataFrame, assets: Column, text_col: str = "text", before_col: st
 
 
 def session_pieces(df: DataFrame, session_col: str, order_col: str, value: str, text_col: str = "text") -> DataFrame:
-    """Adds accumulated_fragments: pieces of the value that the session's outputs before each row gave away."""
-    hits = F.filter(T.grams(F.lower(F.lit(value))), lambda g: F.lower(F.coalesce(df[text_col], F.lit(""))).contains(g))
-    w = Window.partitionBy(session_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("accumulated_fragments", F.array_sort(F.array_distinct(F.flatten(F.collect_list(hits).over(w)))))
+    """Adds accumulated_fragments: pieces of the value that the session's outputs before each row gave away.
+
+    Of each session and piece only the first row counts, which a partial aggregation finds; a session's pieces with their first rows, at most as many as
+    the value has, are joined to its rows. The work grows with the rows, and a long session needs no task of its own. Rows of one
+    order don't see each other; a row without an order is before all others."""
+    hits = F.filter(T.grams(F.lower(F.lit(value))), lambda g: F.lower(F.coalesce(F.col(text_col), F.lit(""))).contains(g))
+    each = df.select(F.col(session_col).alias("__session"), F.struct(F.col(order_col).alias("at")).alias("at"), F.explode(hits).alias("piece"))
+    first = each.groupBy("__session", "piece").agg(F.min("at").alias("at"))
+    of = first.groupBy("__session").agg(F.sort_array(F.collect_list(F.struct("piece", "at"))).alias("__pieces"))
+    joined = df.join(of, F.col(session_col).eqNullSafe(F.col("__session")), "left")
+    mine = F.struct(F.col(order_col).alias("at"))
+    seen = F.transform(F.filter("__pieces", lambda p: p["at"] < mine), lambda p: p["piece"])
+    return joined.withColumn("accumulated_fragments", F.coalesce(seen, F.array().cast("array<string>"))).drop("__session", "__pieces")

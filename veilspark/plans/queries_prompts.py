@@ -50,6 +50,11 @@ simple("NRM3", lambda: T.half_width(F.translate(words(), "abcABC", "ａｂｃＡ
 simple("NRM4", lambda: T.homoglyphs(F.translate(words(), "aeopcx", "аеорсх")), "text")
 simple("NRM5", lambda: T.unicode_chain(words()), "replace(lower(text), 'ß', 'ss')")
 simple("NRM6", lambda: T.casefold(words()), "replace(lower(text), 'ß', 'ss')")
+#: Letters of other widths, composed and decomposed ones, ligatures, squares, Hangul and kana, and what they become.
+SCRIPTS, SCRIPTS_PLAIN = "ﬁ①㍿ｱﾞ e\u0301 각 Ω ẞ ſ Σ İ ㎏ ǅ ½", "fi1株式会社ア\u3099 é 각 ω ss s σ i\u0307 kg dž 1⁄2"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+WIDE = "".join(chr(ord(c) + 0xFEE0) for c in LETTERS)
+simple("NRM5_scripts", lambda: T.unicode_chain(F.concat(F.translate(words(), LETTERS, WIDE), F.lit(SCRIPTS))), f"replace(lower(text), 'ß', 'ss') || {quoted(SCRIPTS_PLAIN.replace(chr(0x30A2) + chr(0x3099), chr(0x30A2) + chr(0x3099)))}")
 simple("NRM7", lambda: T.strip_symbols(words()))
 simple("NRM8", lambda: T.symbol_obfuscated(words(), T.strip_symbols(words())))
 simple("NRM9", lambda: T.spacing_obfuscated(words()), r"regexp_matches(regexp_replace(text, '\s+', ' ', 'g'), '(?:^|[^\pL\pN_])[a-zA-Z0-9] (?:[a-zA-Z0-9] )+[a-zA-Z0-9](?:$|[^\pL\pN_])')")

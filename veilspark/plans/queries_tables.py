@@ -12,6 +12,7 @@ from veilspark.functions import fixed_values as V
 from veilspark.functions import text as T
 from veilspark.operators import assets as A
 from veilspark.operators import classification as C
+from veilspark.operators import detectors as DT
 from veilspark.operators import events as E
 from veilspark.operators import tokens as TK
 from veilspark.plans.benchmarks import Evaluator, summarise
@@ -409,3 +410,30 @@ def str6(spark, d):
             if len(failed) != 1:
                 raise
     return D.read_event_batches(spark, f"{path}/log").select("event_id", "attack_type", "input_summary")
+
+
+# ---- detectors of users -------------------------------------------------------------------------------------------------
+
+
+def _digits(texts):
+    import pandas as pd
+
+    if texts.str.contains("pirate").any():
+        raise ValueError("no pirates")
+    n = texts.str.count("[0-9]")
+    return pd.DataFrame({"matched": n >= 4, "confidence": (n / 10).clip(upper=1.0), "rule": "digits"}, index=texts.index)
+
+
+def _answer(texts, found):
+    import pandas as pd
+
+    return pd.DataFrame({"action": ["BLOCK" if c >= 1 else "WARN" for c in found.confidence], "safe_prompt": texts.str.replace("[0-9]", "#", regex=True)}, index=texts.index)
+
+
+@query("EXT_detector", f"""{PROMPTS}, n AS (SELECT conv_id, turn, text, length(regexp_replace(text, '[^0-9]', '', 'g')) AS k, contains(text, 'pirate') AS bad FROM c)
+SELECT conv_id, turn, 'digits' AS skill, CASE WHEN NOT bad THEN k >= 4 END AS matched, CASE WHEN NOT bad THEN least(1.0, k / 10)::DOUBLE END AS confidence, CASE WHEN NOT bad AND k >= 4 THEN CASE WHEN k >= 10 THEN 'BLOCK' ELSE 'WARN' END END AS action,
+CASE WHEN NOT bad AND k >= 4 THEN regexp_replace(text, '[0-9]', '#', 'g') END AS safe_prompt, CASE WHEN bad THEN 'ValueError: no pirates' END AS error FROM n""")
+def ext_detector(spark, d):
+    """A user's detector in Python, with a defence, that fails on some texts."""
+    x = DT.detections(prompts(spark, d), ["conv_id", "turn"], [DT.Detector("digits", _digits, _answer)])
+    return x.select("conv_id", "turn", "skill", "matched", "confidence", "action", "safe_prompt", "error")

@@ -20,14 +20,34 @@ from veilspark.functions.rules import any_contained
 BUFFER = 2000
 
 
+def rolling(df: DataFrame, keys: list[str], order: list[str], text: Column, size: int, name: str) -> DataFrame:
+    """Adds the last `size` characters of the texts of a key up to each row; null texts are none.
+
+    Texts, each cut to its last `size` characters, are joined once per block of `size` characters, by where they begin. What a row needs lies in its block and
+    the two before it, of which it takes a slice. So a row costs the same wherever in a stream it stands and however short its chunks are; windows hold numbers, and
+    a block's texts are at most two times `size` characters."""
+    own = Window.partitionBy(*keys).orderBy(*order)
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    x = df.withColumn("__t", F.right(F.coalesce(text, F.lit("")), F.lit(size)))
+    x = x.withColumn("__end", F.sum(F.length("__t")).over(so_far)).withColumn("__n", F.row_number().over(own))
+    start = F.col("__end") - F.length("__t")
+    x = x.withColumn("__block", F.max(F.when(F.length("__t") > 0, F.floor(start / size))).over(so_far))
+    some = x.filter(F.length("__t") > 0).groupBy(*keys, "__block").agg(F.min(start).alias("start"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__t"))), lambda r: r["__t"]), "").alias("body"))
+    blocks = Window.partitionBy(*keys).orderBy("__block")
+    one, two = F.lag("body", 1).over(blocks), F.lag("body", 2).over(blocks)
+    some = some.withColumn("__from", F.coalesce(F.lag("start", 2).over(blocks), F.lag("start", 1).over(blocks), "start")).withColumn("__body", F.concat(F.coalesce(two, F.lit("")), F.coalesce(one, F.lit("")), "body"))
+    some = some.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__block").alias("__at"), "__from", "__body")
+    same = F.col("__block") == F.col("__at")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    x = x.join(some, same, "left")
+    buffer = F.right(F.left("__body", (F.col("__end") - F.col("__from")).cast("int")), F.lit(size))
+    return x.withColumn(name, F.coalesce(buffer, F.lit(""))).drop("__t", "__end", "__n", "__block", "__at", "__from", "__body", *(f"__{k}" for k in keys))
+
+
 def buffers(df: DataFrame, stream_col: str, order_col: str, chunk_col: str, size: int = BUFFER) -> DataFrame:
-    """Adds the rolling buffer after each chunk. Its last `size` characters lie in the last `size` chunks that aren't empty, which bounds the
-    frame whatever the length of a stream."""
-    some = F.when(F.length(chunk_col) > 0, F.col(chunk_col))
-    so_far = Window.partitionBy(stream_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    last = Window.partitionBy(stream_col).orderBy("__some").rangeBetween(1 - size, 0)
-    x = df.withColumn("__some", F.count(some).over(so_far))
-    return x.withColumn("buffer", F.right(F.array_join(F.collect_list(some).over(last), ""), F.lit(size))).drop("__some")
+    """Adds the rolling buffer after each chunk."""
+    return rolling(df, [stream_col], [order_col], F.col(chunk_col), size, "buffer")
 
 
 def buffer_hit(buffer: Column, assets: list[tuple[str, str]], tokens: list[str]) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from veilspark.functions import fixed_values as V
-from veilspark.streaming.monitor import BUFFER, buffer_hit, fragments
+from veilspark.streaming.monitor import BUFFER, buffer_hit, fragments, rolling
 
 INPUT = "stream_id string, seq long, kind string, text string, stage string, ts timestamp"
 OUTPUT = "stream_id string, seq long, kind string, interrupted boolean, matched_type string, text string"
@@ -128,10 +128,7 @@ def watched(rows: DataFrame, assets: list[tuple[str, str]], tokens: list[str], s
     x = rows.withColumn("__life", F.coalesce(F.sum(F.when(F.col("kind") == "done", 1).otherwise(0)).over(before), F.lit(0)))
     x = x.withColumn("__part", F.sum(F.when(F.col("kind") == "reset", 1).otherwise(0)).over(so_far))
     some = F.when((F.col("kind") == "chunk") & (text != ""), text)
-    own = Window.partitionBy("stream_id", "__life", "__part").orderBy(*order)
-    x = x.withColumn("__some", F.count(some).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    last = Window.partitionBy("stream_id", "__life", "__part").orderBy("__some").rangeBetween(1 - size, 0)
-    x = x.withColumn("__buffer", F.right(F.array_join(F.collect_list(some).over(last), ""), F.lit(size)))
+    x = rolling(x, ["stream_id", "__life", "__part"], order, some, size, "__buffer")
     found = F.when(some.isNotNull() | (F.col("kind") == "done"), buffer_hit(F.col("__buffer"), assets, tokens)["matched_type"])
     x = x.withColumn("__hit", found)
     because = F.coalesce(*(F.when(F.col("__hit") == k, F.lit(r)) for k, r in REASONS.items()))
