@@ -486,6 +486,27 @@ def test_rollup_of_corpus(spark):
     assert token_rollup.rollup_of_corpus(table.limit(0), path, pattern).count() == 0
 
 
+def test_rollup_measures_texts_beside_a_column_of_that_name(spark):
+    table = spark.createDataFrame([("s", "en", "thirteen char", 5)], "source string, lang string, text string, chars long")
+    roll = token_rollup.TokenRollup(spark)
+    roll.commit("a", token_rollup.inserts(token_rollup.word_counts(table), "w"))
+    assert [(r.docs, r.tokens, r.chars) for r in roll.totals().collect()] == [(1, 2, 13)]
+    roll.commit("b", token_rollup.inserts(token_rollup.word_counts(table), "w", "chars"))
+    assert [(r.docs, r.chars) for r in roll.totals().collect()] == [(2, 18)]
+
+
+def test_readers_outlive_a_compaction(spark, docs):
+    roll, words = token_rollup.TokenRollup(spark), token_rollup.word_counts(docs)
+    roll.commit("a", token_rollup.inserts(words, "w")), roll.commit("b", token_rollup.inserts(words, "v"))
+    planned = roll.totals()
+    roll.compact()
+    assert sorted(planned.collect(), key=str) == sorted(roll.totals().collect(), key=str)
+    parts = roll.manifest()["old"]
+    roll.commit("c", token_rollup.inserts(words, "u"))
+    roll.compact()
+    assert len(parts) == 2 and not any(roll._fs.exists(roll._path(p)) for p in parts)
+
+
 def test_batch_names_survive_compaction(spark, docs):
     roll, words = token_rollup.TokenRollup(spark), token_rollup.word_counts(docs)
     for name in ("a", "b", "c"):

@@ -61,20 +61,22 @@ def word_counts(docs: DataFrame, text_col: str = "text", out_col: str = "tokens"
     return docs.withColumn(out_col, F.when(plain == "", F.lit(0).cast("long")).otherwise(F.length(plain) - F.length(F.translate(plain, " ", "")) + 1).cast("long"))
 
 
-def inserts(counted: DataFrame, tokenizer: str) -> DataFrame:
-    return _signed(counted, tokenizer, F.lit(1))
+def inserts(counted: DataFrame, tokenizer: str, chars_col: str | None = None) -> DataFrame:
+    """Changes that add documents. chars_col names a column with the length of each text, where the text isn't there any more; else the texts are measured."""
+    return _signed(counted, tokenizer, F.lit(1), chars_col)
 
 
-def deletes(counted: DataFrame, tokenizer: str) -> DataFrame:
-    return _signed(counted, tokenizer, F.lit(-1))
+def deletes(counted: DataFrame, tokenizer: str, chars_col: str | None = None) -> DataFrame:
+    return _signed(counted, tokenizer, F.lit(-1), chars_col)
 
 
-def revisions(old: DataFrame, old_tokenizer: str, new: DataFrame, new_tokenizer: str) -> DataFrame:
-    return deletes(old, old_tokenizer).unionByName(inserts(new, new_tokenizer))
+def revisions(old: DataFrame, old_tokenizer: str, new: DataFrame, new_tokenizer: str, chars_col: str | None = None) -> DataFrame:
+    return deletes(old, old_tokenizer, chars_col).unionByName(inserts(new, new_tokenizer, chars_col))
 
 
-def _signed(counted: DataFrame, tokenizer: str, sign) -> DataFrame:
-    return counted.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), sign.cast("long").alias("docs"), (sign * F.col("tokens")).cast("long").alias("tokens"), (sign * (F.col("chars") if "chars" in counted.columns else F.length(text_or_empty(F.col("text"))))).cast("long").alias("chars"))
+def _signed(counted: DataFrame, tokenizer: str, sign, chars_col: str | None) -> DataFrame:
+    chars = F.col(chars_col) if chars_col else F.length(text_or_empty(F.col("text")))
+    return counted.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), sign.cast("long").alias("docs"), (sign * F.col("tokens")).cast("long").alias("tokens"), (sign * chars).cast("long").alias("chars"))
 
 
 class TokenRollup:
@@ -96,19 +98,20 @@ class TokenRollup:
         names = [s.getPath().getName() for s in self._fs.listStatus(top)] if self._fs.exists(top) else []
         numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
         if not numbers:
-            return {"number": 0, "parts": [], "names": []}
+            return {"number": 0, "parts": [], "names": [], "old": []}
         stream = self._fs.open(self._path(f"manifests/{max(numbers):012d}.json"))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _publish(self, old: dict, parts: list[str], names: list[str]) -> None:
-        """The rename makes the new state visible at once; a failure before it leaves the old state."""
+    def _publish(self, old: dict, parts: list[str], names: list[str], gone: list[str]) -> None:
+        """The rename makes the new state visible at once; a failure before it leaves the old state. gone: parts that nothing reads any more, but
+        queries that were planned before."""
         number = old["number"] + 1
         draft, final = self._path(f"manifests/_draft-{uuid.uuid4().hex}"), self._path(f"manifests/{number:012d}.json")
         out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps({"number": number, "parts": parts, "names": names}).encode()))
+        out.write(bytearray(json.dumps({"number": number, "parts": parts, "names": names, "old": gone}).encode()))
         out.close()
         if self._fs.exists(final) or not self._fs.rename(draft, final):
             raise RuntimeError(f"another writer has published manifest {number}")
@@ -127,7 +130,7 @@ class TokenRollup:
         if batch in now["names"] or self._fs.exists(self._marker(batch)):
             return False
         part = self._write(changes.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)), "batch")
-        self._publish(now, [*now["parts"], part], [*now["names"], batch])
+        self._publish(now, [*now["parts"], part], [*now["names"], batch], now.get("old", []))
         return True
 
     def totals(self) -> DataFrame:
@@ -137,13 +140,14 @@ class TokenRollup:
         return rows.groupBy(*KEYS).agg(*(F.sum(c).cast("long").alias(c) for c in SUMS)).filter(" OR ".join(f"{c} <> 0" for c in SUMS))
 
     def compact(self) -> None:
-        """Folds all parts into one; the names of their batches stay known by markers, which are there before the names leave the manifest."""
+        """Folds all parts into one; the names of their batches stay known by markers, which are there before the names leave the manifest. The folded parts
+        are removed by the next compaction, so that queries that were planned on them can end."""
         now = self.manifest()
         if len(now["parts"]) > 1:
             for batch in now["names"]:
                 self._fs.create(self._marker(batch), True).close()
-            self._publish(now, [self._write(self.totals(), "base")], [])
-            for p in now["parts"]:
+            self._publish(now, [self._write(self.totals(), "base")], [], now["parts"])
+            for p in now.get("old", []):
                 self._fs.delete(self._path(p), True)
 
 
@@ -155,8 +159,8 @@ def rollup_of_corpus(docs: DataFrame, vocabulary: str, pattern: str, bpe_name: s
     both = bpe_counts(word_counts(rows, out_col="words"), vocabulary, pattern, out_col="bpe").select("source", "lang", "chars", "words", "bpe")
     both = cut(both)  # counted once; a few numbers for each document
     words, bpe = both.withColumn("tokens", F.col("words")), both.withColumn("tokens", F.col("bpe"))
-    rollup.commit("provisional", inserts(words, bpe_name))
-    revised = revisions(words, bpe_name, bpe, bpe_name).unionByName(inserts(words, words_name))
+    rollup.commit("provisional", inserts(words, bpe_name, "chars"))
+    revised = revisions(words, bpe_name, bpe, bpe_name, "chars").unionByName(inserts(words, words_name, "chars"))
     rollup.commit("revised", revised)
     rollup.commit("revised", revised)
     rollup.compact()
