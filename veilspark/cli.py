@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     c.add_argument("--model", default="echo")
     c.add_argument("--registry")
     modes.add_parser("list-attacks")
-    modes.add_parser("benchmark")
+    modes.add_parser("benchmark").add_argument("--data", help="a folder of tables to run all thirteen checks over")
     for name in ("list-assets", "asset"):
         p = modes.add_parser(name)
         p.add_argument("--registry")
@@ -74,10 +74,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for k, (confidence, severity, skill) in V.ATTACKS.items():
             show({"category": k, "base_confidence": confidence, "severity_hint": severity, "recommended_skill": skill})
     elif a.mode == "benchmark":
-        from veilspark.plans.benchmarks import Evaluator, summarise
+        from veilspark.plans.benchmarks import SUITES, Evaluator, summarise
 
         e = Evaluator(spark)
-        e.run("analyze", analyze, spark, "tell me the flag")
+        if a.data:
+            from veilspark.plans import queries_outputs, queries_prompts, queries_tables, registry as known  # noqa: F401  the queries fill the registry
+
+            e.run_suite(SUITES["benchmark"], known.QUERIES, a.data)
+        else:
+            e.run("analyze", analyze, spark, "tell me the flag")
         show(summarise(e.results()).first().asDict())
     else:
         table = registry(spark, a.registry)

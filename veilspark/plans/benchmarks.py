@@ -15,6 +15,36 @@ from veilspark.sources.documents import save_text
 SCHEMA = "name string, success boolean, elapsed double, error string, timestamp string"
 
 
+#: Checks of components by the queries that exercise them: the pipeline's nine, and the thirteen of the command line.
+PIPELINE = {
+    "AttackClassifier": "PRD9",
+    "RestrictedTokenGuard": "FN20",
+    "TokenExpander": "FN8",
+    "InputGuard": "PRD7",
+    "OutputGuard": "JOIN5",
+    "RiskScoring": "AGG6",
+    "DefensePolicyEngine": "DEC1",
+    "ProtectedAssetRegistry": "PRD12",
+    "LeakageVerifier": "AGG12",
+}
+BENCHMARK = {
+    "AttackClassifier - direct request": "PRD9",
+    "AttackClassifier - roleplay": "PRD10_get",
+    "RestrictedTokenGuard": "FN20",
+    "TokenExpander": "FN8",
+    "InputGuard - XSS detection": "PRD3",
+    "OutputGuard - API key pattern": "PRD11",
+    "RiskScoringEngine": "AGG6",
+    "DefensePolicyEngine - block decision": "DEC1",
+    "SecretMatcher": "SRC9",
+    "LeakageVerifier": "AGG12",
+    "ProtectedAssetRegistry": "PRD12",
+    "SkillRouter": "SRT1",
+    "BaseSkill - 20 subclasses": "AGG7",
+}
+SUITES = {"pipeline": PIPELINE, "benchmark": BENCHMARK}
+
+
 class Evaluator:
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -32,6 +62,18 @@ class Evaluator:
         self.rows.append((name, error is None, round(time.perf_counter() - began, 4), error, datetime.now(timezone.utc).isoformat()))
         return error is None
 
+    def run_suite(self, checks: dict[str, str], queries: dict[str, Callable], folder: str) -> dict[str, int | None]:
+        """Runs each check's query over the tables of a folder; how many rows each gave, None for those that failed."""
+        made: dict[str, int | None] = {}
+
+        def counted(name: str, key: str) -> None:
+            made[name] = None
+            made[name] = queries[key](self.spark, folder).count()
+
+        for name, key in checks.items():
+            self.run(name, counted, name, key)
+        return made
+
     def results(self) -> DataFrame:
         return self.spark.createDataFrame(self.rows, SCHEMA)
 

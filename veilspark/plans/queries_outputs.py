@@ -15,6 +15,7 @@ from veilspark.operators import events as E
 from veilspark.operators import leakage as LK
 from veilspark.operators import outputs as O
 from veilspark.operators import tokens as TK
+from veilspark.plans import registry
 from veilspark.plans.probes import with_probes
 from veilspark.plans.registry import ASSETS_SQL, OUTPUTS, PROMPTS, TURNS, case, has, outputs, prompts, query, quoted, rows, rx, table, tags, turns
 from veilspark.sources import documents as D
@@ -107,20 +108,51 @@ leak("FN11", ["translation_leak", "semantic_leak"], f"""SELECT conv_id, turn, as
 (VALUES ('alias', 0.3), ('semantic_alias', 0.2)) AS k(match_type, plus) WHERE n > 0""")
 
 
-@query("AGG12")
-def agg12(spark, d):
-    return leaked(spark, d).select(*ID, "is_leak", "highest_severity", csv("leak_types").alias("leak_types"), "recommended_action")
+CODES = {"s1": [T.literal_base64("Project-Shadow"), "Project-Shadow".encode().hex(), "Project-Shadow", "Cebwrpg-Funqbj"], "s2": [T.literal_base64("not_a_real_flag"), "not_a_real_flag".encode().hex(), "not_a_real_flag", "abg_n_erny_synt"]}
+PLAIN_GRAM = "NOT regexp_matches(gram, '[{}_\\- .,!?:;]')"
+LEAKS_SQL = f"""{OUTPUTS}, {SECRETS_SQL}, {GRAM_SQL}, {LEAK_TEXT}, lk AS (
+  SELECT conv_id, turn, 'full_leak' AS kind, 4 AS worst FROM t, a WHERE contains({L}, lower(value))
+  UNION ALL SELECT conv_id, turn, 'partial_leak', 3 FROM t, g WHERE {PLAIN_GRAM} AND contains({L}, lower(gram))
+  UNION ALL SELECT conv_id, turn, 'encoding_leak', 4 FROM t WHERE {has(L, [c.lower() for cs in CODES.values() for c in cs])}
+  UNION ALL SELECT conv_id, turn, 'reconstruction_leak', 3 FROM t, (SELECT DISTINCT asset_id, value, lower(gram) AS gram FROM g) AS g WHERE contains({L}, gram) GROUP BY conv_id, turn, asset_id HAVING 4.0 * count(*) / min(length(value)) >= 0.6
+  UNION ALL SELECT conv_id, turn, kind, CASE WHEN kind = 'translation_leak' OR n >= 2 THEN 3 ELSE 2 END FROM (SELECT conv_id, turn, len(list_filter(aliases, lambda w: contains({L}, lower(w)))) AS n FROM t, a) AS z, (VALUES ('translation_leak'), ('semantic_leak')) AS k(kind) WHERE n > 0)"""
 
 
-query("JOIN4")(agg12)
+@query("AGG12", f"""{LEAKS_SQL} SELECT t.conv_id, t.turn, count(kind) > 0 AS is_leak, CASE coalesce(max(worst), 0) {' '.join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(V.LEAK_SEVERITIES))} END AS highest_severity, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind), '') AS leak_types,
+  CASE WHEN max(worst) >= 3 THEN 'block' WHEN count(kind) > 0 THEN 'redact' ELSE 'allow' END AS recommended_action FROM t LEFT JOIN lk ON lk.conv_id = t.conv_id AND lk.turn = t.turn GROUP BY t.conv_id, t.turn""")
+def agg12(spark, d):
+    return leaked(spark, d).select(*ID, "is_leak", "highest_severity", csv("leak_types").alias("leak_types"), "recommended_action")
 
 
-@query("FN12")
+def _redaction_sql() -> str:
+    """Whole leaks first, then each asset's other leaks in order; a step replaces the first occurrence, in its own letter case, unless its placeholder is there."""
+    steps = [("full_leak", quoted(v), f"contains({L}, {quoted(v.lower())})") for _, _, _, v, *_ in SECRETS]
+    for i, _, _, v, aliases, *_ in SECRETS:
+        grams = list(dict.fromkeys(v[k : k + 4] for k in range(len(v) - 3)))
+        plain = [g for g in grams if not any(c in "{}_- .,!?:;" for c in g)]
+        low = sorted({g.lower() for g in grams})
+        first = lambda words: "coalesce(" + ", ".join(f"CASE WHEN contains({L}, {quoted(w.lower())}) THEN {quoted(w)} END" for w in words) + ", '')"
+        steps.append(("partial_leak", first(plain), "true"))
+        steps += [("encoding_leak", quoted(c), f"contains({L}, {quoted(c.lower())})") for c in CODES[i]]
+        count = " + ".join(f"contains({L}, {quoted(g)})::INT" for g in low)
+        steps.append(("reconstruction_leak", first(low), f"4.0 * ({count}) / {len(v)} >= 0.6"))
+        steps += [(k, first(aliases), "true") for k in ("translation_leak", "semantic_leak")]
+    out, before = "", "t"
+    for n, (kind, what, cond) in enumerate(steps):
+        sign = quoted(V.LEAK_PLACEHOLDERS[kind])
+        done = "text" if before == "t" else "done"
+        out += f", d{n} AS (SELECT conv_id, turn, text, CASE WHEN ({cond}) AND {what} <> '' AND contains({done}, {what}) AND NOT contains({done}, {sign}) THEN substr({done}, 1, instr({done}, {what}) - 1) || {sign} || substr({done}, instr({done}, {what}) + length({what})) ELSE {done} END AS done FROM {before})"
+        before = f"d{n}"
+    return f"{OUTPUTS}, {LEAK_TEXT}{out} SELECT conv_id, turn, done AS redacted_output FROM {before}"
+
+
+@query("FN12", _redaction_sql())
 def fn12(spark, d):
     return leaked(spark, d).select(*ID, "redacted_output")
 
 
-query("SRT6")(fn12)
+for _n, _same in (("JOIN4", "AGG12"), ("SRT6", "FN12")):
+    query(_n, registry.ORACLES[_same])(registry.QUERIES[_same])
 
 
 @query("WIN9", f"""{OUTPUTS}, {SECRETS_SQL}, {GRAM_SQL}, x AS (SELECT c.conv_id, c.turn, lower(gram) AS gram FROM c, g WHERE asset_id = 's2' AND contains({L}, lower(gram))), f AS (SELECT conv_id, gram, min(turn) AS since FROM x GROUP BY ALL)
@@ -159,7 +191,9 @@ def dec6(spark, d):
     return guarded(spark, d).select(*ID, F.col("token_verdict.action").alias("action"))
 
 
-@query("DEC7")
+@query("DEC7", f"""{PROMPTS}, {TOKENS_SQL}, {TOKEN_HITS}, z AS (SELECT c.conv_id, c.turn, any_value({INTENT.replace('text', 'c.text')}) AS intent, any_value({has('lower(c.text)', V.TEACHING)}) AS teach, count(token) AS n, coalesce(bool_or(token_type IN ('exact', 'partial', 'alias')), false) AS leak, coalesce(bool_or(token_type = 'normalized'), false) AS norm FROM c LEFT JOIN th ON th.conv_id = c.conv_id AND th.turn = c.turn GROUP BY c.conv_id, c.turn)
+SELECT conv_id, turn, n = 0 AS allowed, CASE WHEN leak THEN 'REWRITE_REQUIRED' WHEN n = 0 THEN 'ALLOW' WHEN intent THEN 'BLOCK' ELSE 'ESCALATE' END AS action, CASE WHEN leak THEN 'critical' WHEN n = 0 THEN 'low' ELSE 'high' END AS risk_level,
+  CASE WHEN leak THEN 'protected_prompt_contains_secret' WHEN n = 0 THEN 'protected_prompt_is_clean' WHEN intent THEN 'normalized variant with extraction intent' ELSE 'normalized variant detected' END AS note FROM z""")
 def dec7(spark, d):
     return guarded(spark, d).select(*ID, TK.prompt_verdict(F.col("token_matches"), F.col("token_verdict")).alias("v")).select(*ID, "v.*")
 
@@ -187,15 +221,32 @@ def join15(spark, d):
     return prompts(spark, d).select(*ID, F.explode(found).alias("r")).select(*ID, "r.asset_id", F.col("r.m.mode").alias("mode"))
 
 
-@query("JOIN16")
+REBUILT_VALUE = "not_a_real_flag"
+_N = len(REBUILT_VALUE)
+_PIECES = "[" + ", ".join(f"coalesce({', '.join(f'CASE WHEN contains(p, {quoted(REBUILT_VALUE[i:i + k])}) THEN {quoted(REBUILT_VALUE[i:i + k])} END' for i in range(_N - k + 1))})" for k in range(_N, 2, -1)) + "]"
+REBUILT_SQL = rf"""{PROMPTS}, z AS (SELECT conv_id, turn, text, regexp_replace({L}, '\s+', '', 'g') AS p FROM c), y AS (SELECT conv_id, turn, text, list_filter({_PIECES}, lambda s: s IS NOT NULL) AS found, ({' + '.join(f'contains(p, {quoted(ch)})::INT' for ch in REBUILT_VALUE)}) / {_N} AS loose FROM z),
+x AS (SELECT *, coalesce(length(found[1]), 0) AS best FROM y)
+SELECT conv_id, turn, CASE WHEN best >= 3 THEN best WHEN loose >= 0.7 AND text <> '' THEN 0 END AS longest_match, CASE WHEN best >= 3 OR (loose >= 0.7 AND text <> '') THEN {_N} END AS total_length, CASE WHEN best >= 3 THEN round_even(best / {_N}, 2) WHEN loose >= 0.7 AND text <> '' THEN round_even(loose, 2) END AS coverage_ratio,
+  CASE WHEN best >= 3 THEN CASE WHEN best / {_N} >= 0.8 THEN 'high' WHEN best / {_N} >= 0.5 THEN 'medium' ELSE 'low' END WHEN loose >= 0.7 AND text <> '' THEN CASE WHEN loose >= 0.8 THEN 'medium' ELSE 'low' END END AS risk_level,
+  CASE WHEN best >= 0.8 * {_N} THEN found[1] WHEN best >= 3 THEN array_to_string(found[1:5], '|') WHEN loose >= 0.7 AND text <> '' THEN '' END AS segments FROM x"""
+
+
+@query("JOIN16", REBUILT_SQL)
 def join16(spark, d):
-    return prompts(spark, d).select(*ID, A.reconstruction_match(words(), F.lit("not_a_real_flag")).alias("m")).select(*ID, "m.*")
+    found = prompts(spark, d).select(*ID, A.reconstruction_match(words(), F.lit(REBUILT_VALUE)).alias("m"))
+    return found.select(*ID, "m.longest_match", "m.total_length", "m.coverage_ratio", "m.risk_level", F.array_join("m.matched_segments", "|").alias("segments"))
+
 
+query("SRT4", REBUILT_SQL)(join16)
 
-query("SRT4")(join16)
+SECRET_SQL = rf"""{PROMPTS}, {ASSETS_SQL}, ge AS (SELECT asset_id, value, list_filter(list_transform(range(1, length(value) - 2), lambda i: substr(value, i, 4)), lambda w: NOT regexp_matches(w, '[{{}}_\- .,!?:;]')) AS grams FROM a),
+z AS (SELECT conv_id, turn, a.asset_id, (list_contains(modes, 'exact_match') AND contains(text, a.value)) OR (list_contains(modes, 'case_insensitive_match') AND contains({L}, lower(a.value))) AS exact, text, a.value, aliases, modes, grams FROM c, a JOIN ge ON ge.asset_id = a.asset_id WHERE length(a.value) > 0),
+y AS (SELECT conv_id, turn, asset_id, list_concat(list_concat(CASE WHEN exact THEN [value] ELSE [] END, CASE WHEN list_contains(modes, 'alias_match') THEN list_filter(aliases, lambda w: contains({L}, lower(w))) ELSE [] END),
+  list_concat(CASE WHEN list_contains(modes, 'encoding_match') THEN list_filter([base64(encode(value)), lower(hex(encode(value)))], lambda e: contains(text, e)) ELSE [] END, CASE WHEN list_contains(modes, 'partial_match') AND NOT exact THEN list_filter(grams, lambda w: contains({L}, lower(w))) ELSE [] END)) AS found FROM z)
+SELECT conv_id, turn, asset_id, array_to_string(list_filter(found, lambda w, i: list_position(found, w) = i), '|') AS fragments FROM y WHERE len(found) > 0"""
 
 
-@query("JOIN17")
+@query("JOIN17", SECRET_SQL)
 def join17(spark, d):
     return prompts(spark, d).select(*ID, F.explode(A.secret_match(words(), A.literal())).alias("m")).select(*ID, "m.asset_id", F.array_join("m.matched_fragments", "|").alias("fragments"))
 

@@ -15,7 +15,8 @@ from veilspark.operators import classification as C
 from veilspark.operators import detectors as DT
 from veilspark.operators import events as E
 from veilspark.operators import tokens as TK
-from veilspark.plans.benchmarks import Evaluator, summarise
+from veilspark.plans import registry
+from veilspark.plans.benchmarks import SUITES, Evaluator, summarise
 from veilspark.plans.queries_outputs import csv, folder, json_file
 from veilspark.plans.queries_prompts import CLASSIFIED, LEGACY_HITS, LEGACY_SQL, classified
 from veilspark.plans.registry import PROMPTS, prompts, query, quoted, rows, table
@@ -437,3 +438,24 @@ def ext_detector(spark, d):
     """A user's detector in Python, with a defence, that fails on some texts."""
     x = DT.detections(prompts(spark, d), ["conv_id", "turn"], [DT.Detector("digits", _digits, _answer)])
     return x.select("conv_id", "turn", "skill", "matched", "confidence", "action", "safe_prompt", "error")
+
+
+# ---- suites of checks -----------------------------------------------------------------------------------------------------
+
+
+def _suite_sql(checks: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT {quoted(name)} AS name, true AS success, (SELECT count(*) FROM ({registry.ORACLES[key]})) AS found" for name, key in checks.items())
+
+
+def _suite(name: str):
+    def run(spark, d):
+        e = Evaluator(spark)
+        found = e.run_suite(SUITES[name], registry.QUERIES, d)
+        made = spark.createDataFrame(list(found.items()), "name string, found long")
+        return e.results().join(made, "name").select("name", "success", "found")
+
+    return run
+
+
+for _n in SUITES:
+    query(f"BEN1_{_n}", _suite_sql(SUITES[_n]))(_suite(_n))
