@@ -70,6 +70,19 @@ def fn8(spark, d):
     return TK.expand(part_assets(spark, d)).filter(F.col("token_type").isin("exact", "alias")).select("asset_id", "token", "token_type")
 
 
+PARTS_LIST = f"list_distinct(list_filter(list_concat({CUT_SQL.format(quoted('[{}()\\[\\]]+'))}, {CUT_SQL.format(quoted('[{}\\[\\]()_\\-.\\s,;:!?]+'))}), lambda x: length(x) >= 6))"
+URL_SQL = "replace(replace(replace(replace(value, ' ', '%20'), '#', '%23'), '{', '%7B'), '}', '%7D')"
+UNICODE_SQL = "array_to_string(list_transform(string_split(value, ''), lambda x: '\\u' || lpad(lower(hex(x)), 4, '0')), '')"
+
+
+@query("FN8_all", f"""WITH {PARTS_SQL} SELECT asset_id, value AS token, 'exact' AS token_type, 'asset_value' AS source FROM pa UNION ALL SELECT asset_id, unnest({PARTS_LIST}), 'partial', 'generated_variant' FROM pa UNION ALL SELECT asset_id, unnest(aliases), 'alias', 'alias' FROM pa
+UNION ALL SELECT asset_id, unnest([base64(encode(value)), lower(hex(value)), {URL_SQL}, {UNICODE_SQL}]), 'encoded', 'generated_variant' FROM pa UNION ALL SELECT asset_id, lower(regexp_replace(value, '[^a-zA-Z0-9]', '', 'g')), 'normalized', 'generated_variant' FROM pa""")
+def fn8_all(spark, d):
+    """Tokens of every kind, of assets that have all modes."""
+    every = F.array(*map(F.lit, ("exact_match", "partial_match", "alias_match", "encoding_match", "normalization_match")))
+    return TK.expand(part_assets(spark, d).withColumn("protection_modes", every)).select("asset_id", "token", "token_type", "source")
+
+
 @query("JOIN13", f"WITH {PARTS_SQL} SELECT asset_id, CASE WHEN list_contains(modes, 'exact_match') THEN value ELSE '' END AS exact, CASE WHEN list_contains(modes, 'alias_match') THEN array_to_string(aliases, ',') ELSE '' END AS aliases FROM pa")
 def join13(spark, d):
     return TK.export(TK.expand(part_assets(spark, d))).select("asset_id", csv("exact").alias("exact"), csv("aliases").alias("aliases"))
