@@ -1,6 +1,7 @@
 """Normal forms in the JVM against Python's, sessions in linear work, rolling buffers, and detectors of users."""
 
 import random
+import re
 import sys
 import unicodedata
 
@@ -12,6 +13,7 @@ from veilspark.functions import fixed_values as V
 from veilspark.functions import text as T
 from veilspark.operators import detectors as DT
 from veilspark.operators import leakage as LK
+from veilspark.operators import outputs as O
 from veilspark.streaming import monitor as ST
 
 
@@ -87,3 +89,12 @@ def test_detectors(spark):
         assert all(got[i, skill].error.startswith("schema: ") and got[i, skill].matched is None for i in range(1, 6))
     assert got[5, "defends wrongly"].error.startswith("schema: ")
     assert DT.detections(df, ["id"], []).count() == 0 and DT.detections(df.limit(0), ["id"], detectors).count() == 0
+
+
+def test_places_of_many_findings(spark):
+    """More matches than a block holds, and none."""
+    patterns = {"number": ("[0-9]+", "secret", "FULL_LEAK", "REDACT", "[N]")}
+    rng = random.Random(6)
+    texts = ["", "none", "7", "".join(rng.choice(["12", "é", "x", " ", "4567"]) for _ in range(5000)), "1 " * 256, "1 " * 257, "a1" * 600]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", O.findings(F.col("t"), patterns).alias("f")).collect():
+        assert [(f.matched_text, f.start) for f in r.f] == [(m[0], m.start()) for m in re.finditer("[0-9]+", r.t)]

@@ -15,16 +15,21 @@ from veilspark.functions.rules import listed, ranked
 FINDING = "array<struct<name:string,type:string,matched_text:string,start:int,severity:string,action:string,placeholder:string>>"
 
 
+def _sums_before(sizes: Column, block: int = 256) -> Column:
+    """The sum of the elements before each one. Arrays are grown within blocks only, so that long ones aren't copied over and over."""
+    grown = lambda xs: F.aggregate(xs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+    last = F.floor((F.size(sizes) - 1) / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(sizes, k * block + 1, block))
+    before = grown(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)))
+    return F.flatten(F.zip_with(F.transform(blocks, grown), before, lambda own, more: F.transform(own, lambda x: x + more)))
+
+
 def _places(text: Column, pattern: str, make) -> Column:
     """make(match, place) for every match of a pattern."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    starts = F.aggregate(
-        F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda p, f: F.struct(F.length(p).alias("gap"), F.length(f).alias("own"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, x: F.struct((a["at"] + x["gap"] + x["own"]).alias("at"), F.array_append(a["out"], a["at"] + x["gap"]).alias("out")),
-        lambda a: a["out"],
-    )
-    return F.when(text.rlike(pattern), F.zip_with(found, starts, make)).otherwise(F.array().cast(FINDING))
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda p: F.length(p))
+    before = _sums_before(F.zip_with(gaps, found, lambda g, f: g + F.length(f)))
+    return F.when(text.rlike(pattern), F.zip_with(found, F.zip_with(before, gaps, lambda b, g: b + g), make)).otherwise(F.array().cast(FINDING))
 
 
 def findings(text: Column, patterns: dict = V.SECRET_PATTERNS) -> Column:
