@@ -409,25 +409,25 @@ def str4(spark, d):
 
 
 def large_registry(spark, d):
-    """Assets of the tables: every part's name with its key, every customer's name, and what lies inside each turn that a user wrote; names of parts
-    and their brands besides, of which pieces count too."""
+    """Assets of the tables: every part's name and brand with its key, every customer's name, and what lies inside each turn that a user wrote; names of parts
+    besides, of which pieces count too."""
     modes = lambda *m: F.array(*map(F.lit, m))
     none = F.array().cast("array<string>")
     one = lambda x, key, value, aliases, protection: x.select(F.concat(F.lit(key), F.lit(":"), *value[0]).alias("asset_id"), F.lit(key).alias("name"), F.lit("exact").alias("type"), value[1].alias("value"), aliases.alias("aliases"), F.lit("high").alias("risk_level"), modes("owner").alias("allowed_roles"), protection.alias("protection_modes"), F.lit(True).alias("enabled"), F.lit("").alias("description"), F.lit("user").alias("source"))
     parts = table(spark, d, "part")
     return (
-        one(parts, "part", ([F.col("p_partkey")], F.concat_ws("-", "p_name", F.col("p_partkey").cast("string"))), F.array("p_brand"), modes("exact_match"))
+        one(parts, "part", ([F.col("p_partkey")], F.concat_ws("-", "p_name", F.col("p_partkey").cast("string"))), F.array(F.concat_ws("-", "p_brand", F.col("p_partkey").cast("string"))), modes("exact_match"))
         .unionByName(one(parts.select("p_name").distinct(), "name", ([F.col("p_name")], F.col("p_name")), none, modes("exact_match", "partial_match")))
         .unionByName(one(table(spark, d, "customer"), "customer", ([F.col("c_custkey")], F.col("c_name")), none, modes("exact_match")))
         .unionByName(one(table(spark, d, "conversations").filter("role = 'user'"), "turn", ([F.col("conv_id"), F.lit("-"), F.col("turn")], F.expr("substring(text, 6, 12 + turn)")), none, modes("exact_match")))
     )
 
 
-REGISTRY_SQL = """ra AS (SELECT 'part:' || p_partkey AS asset_id, p_name || '-' || p_partkey AS value, [p_brand] AS aliases, false AS part FROM part
+REGISTRY_SQL = """ra AS (SELECT 'part:' || p_partkey AS asset_id, p_name || '-' || p_partkey AS value, [p_brand || '-' || p_partkey] AS aliases, false AS part FROM part
   UNION ALL SELECT 'name:' || p_name, p_name, []::VARCHAR[], true FROM (SELECT DISTINCT p_name FROM part) UNION ALL SELECT 'customer:' || c_custkey, c_name, []::VARCHAR[], false FROM customer
   UNION ALL SELECT 'turn:' || conv_id || '-' || turn, substr(text, 6, 12 + turn), []::VARCHAR[], false FROM conversations WHERE role = 'user')"""
 #: Every text gets the names of a part and of a customer that its place in the table points to, so that there are hits.
-NAMED_SQL = """tx AS (SELECT conv_id, turn, text || CASE conv_id % 4 WHEN 0 THEN ' ' || p_name || '-' || p_partkey WHEN 1 THEN ' ' || upper(c_name) WHEN 2 THEN ' ' || p_brand ELSE '' END AS text
+NAMED_SQL = """tx AS (SELECT conv_id, turn, text || CASE conv_id % 4 WHEN 0 THEN ' ' || p_name || '-' || p_partkey WHEN 1 THEN ' ' || upper(c_name) WHEN 2 THEN ' ' || p_brand || '-' || p_partkey ELSE '' END AS text
   FROM c JOIN part ON p_partkey = (conv_id * 31 + turn) % (SELECT count(*) FROM part) JOIN customer ON c_custkey = (conv_id * 17 + turn) % (SELECT count(*) FROM customer))"""
 
 
@@ -437,7 +437,7 @@ def named_texts(spark, d):
     x = turns(spark, d).withColumns({"p_partkey": (F.col("conv_id") * 31 + F.col("turn")) % n, "c_custkey": (F.col("conv_id") * 17 + F.col("turn")) % m})
     x = x.join(parts.select("p_partkey", "p_name", "p_brand"), "p_partkey").join(customers.select("c_custkey", "c_name"), "c_custkey")
     four = F.col("conv_id") % 4
-    more = F.when(four == 0, F.concat(F.lit(" "), "p_name", F.lit("-"), F.col("p_partkey"))).when(four == 1, F.concat(F.lit(" "), F.upper("c_name"))).when(four == 2, F.concat(F.lit(" "), "p_brand")).otherwise("")
+    more = F.when(four == 0, F.concat(F.lit(" "), "p_name", F.lit("-"), F.col("p_partkey"))).when(four == 1, F.concat(F.lit(" "), F.upper("c_name"))).when(four == 2, F.concat(F.lit(" "), "p_brand", F.lit("-"), F.col("p_partkey"))).otherwise("")
     return x.select(*ID, F.concat("text", more).alias("text"))
 
 
