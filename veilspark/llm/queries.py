@@ -76,4 +76,4 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_cuckoo_dedup, op3_hyperdimensional_langid, op4_pii_spans, op5_template_decontamination, op6_toxicity_severity, op7_kneser_ney, op8_sentencepiece, op9_license_scan, op10_token_rollup, op11_fill_in_middle, op12_jaccard_join, op13_centroid_clusters)}
 
-ORACLES: dict[str, str] = {"op2_cuckoo_dedup": cuckoo_dedup.ORACLE, "op11_fill_in_middle": infill.ORACLE, "op13_centroid_clusters": centroids.ORACLE}
+ORACLES: dict[str, str] = {"op2_cuckoo_dedup": cuckoo_dedup.ORACLE, "op11_fill_in_middle": infill.ORACLE, "op12_jaccard_join": metric_join.ORACLE, "op13_centroid_clusters": centroids.ORACLE}
