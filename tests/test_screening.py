@@ -56,3 +56,9 @@ def test_session_rule(spark):
     df = spark.createDataFrame([("hello", 3, ["partial_disclosure", "encoding_bypass"]), ("hello", 3, ["partial_disclosure"]), ("hello", 1, ["partial_disclosure", "encoding_bypass"])], "text string, n int, p array<string>")
     got = [r.primary_category for r in C.classify(df, turn_col="n", previous_col="p").select("primary_category").collect()]
     assert got == ["multi_turn_probe", "benign", "benign"]
+
+
+def test_normal_forms_name_their_steps_once(spark):
+    """The plan holds a few copies of a text's Unicode form, not one for each form, flag and alias that rests on it; whole code of the latter never compiled in time."""
+    n = spark.createDataFrame([("ＦＬＡＧ",)], "t string").select(T.normalise(F.col("t")).alias("n"))
+    assert n._jdf.queryExecution().optimizedPlan().toString().count("compose") <= 4

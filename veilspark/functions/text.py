@@ -21,6 +21,11 @@ WHITE = r"(?U)[\s\x1c-\x1f]"
 ASCII_ONLY = r"^[\x00-\x7f]*$"
 
 
+def bound(c: Column, f) -> Column:
+    """f of a column that is computed once a row: the variable of a lambda, which no rule of the optimizer replaces by a copy of its expression."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"{WHITE}+$|^{WHITE[4:]}+", "")
 
@@ -90,8 +95,7 @@ def spacing_obfuscated(c: Column) -> Column:
 
 def confusable(c: Column) -> Column:
     """Does it hold look-alike characters (after NFKC, half width and zero width)?"""
-    x = drop_zero_width(half_width(nfkc(c)))
-    return homoglyphs(x) != x
+    return bound(drop_zero_width(half_width(nfkc(c))), lambda x: homoglyphs(x) != x)
 
 
 def confusable_steps(c: Column) -> Column:
@@ -114,13 +118,15 @@ def _utf8(b: Column) -> Column:
 
 def decoded(c: Column) -> Column:
     """Struct of what the text decodes to: base64, url and hex; null where it doesn't, or not to readable text."""
-    t = strip(c)
+    return bound(strip(c), lambda t: bound(F.regexp_replace(t, f"{WHITE}+", ""), lambda bare: _decoded(t, bare)))
+
+
+def _decoded(t: Column, bare: Column) -> Column:
     as64 = F.when(t.rlike(r"^[A-Za-z0-9+/]+={0,2}$") & (F.length(t) % 4 == 0), _utf8(F.try_to_binary(t, F.lit("base64"))))
     url = F.when(t.rlike("[%+]"), _percent(t))
-    bare = F.regexp_replace(t, f"{WHITE}+", "")
     hexed = F.when(bare.rlike("^[0-9A-Fa-f]+$") & (F.length(bare) % 2 == 0) & (F.length(bare) >= 4), _utf8(F.try_to_binary(bare, F.lit("hex"))))
-    ok = lambda x: F.when(_readable(x), x)
-    return F.struct(ok(as64).alias("base64"), F.when(url != t, ok(url)).alias("url"), ok(hexed).alias("hex"))
+    ok = lambda c: bound(c, lambda x: F.when(_readable(x), x))
+    return F.struct(ok(as64).alias("base64"), bound(url, lambda x: F.when((x != t) & _readable(x), x)).alias("url"), ok(hexed).alias("hex"))
 
 
 def _percent(t: Column) -> Column:
@@ -131,8 +137,10 @@ def _percent(t: Column) -> Column:
 
 def alias_hits(c: Column, aliases: dict[str, list[str]] = V.ALIASES, folded: bool = False) -> Column:
     """(canonical, language) for each notion with an alias in the text, or in the text without blanks; its first alias decides the language."""
-    x = c if folded else casefold(c)
-    packed = F.regexp_replace(x, f"{WHITE}+", "")
+    return bound(c if folded else casefold(c), lambda x: bound(F.regexp_replace(x, f"{WHITE}+", ""), lambda packed: _alias_hits(x, packed, aliases)))
+
+
+def _alias_hits(x: Column, packed: Column, aliases: dict[str, list[str]]) -> Column:
     hits = []
     for canonical, words in aliases.items():
         first = None
@@ -157,11 +165,13 @@ def rebuild_hits(c: Column) -> Column:
 
 
 def normalise(c: Column) -> Column:
-    """Struct of all normal forms and of the sorted suspicion flags."""
-    spaced = whitespace(c)
-    normal = unicode_chain(spaced)
-    bare = strip_symbols(normal)
-    codes, aliases, rebuilt = decoded(c), alias_hits(normal, folded=True), rebuild_hits(c)
+    """Struct of all normal forms and of the sorted suspicion flags. Each form is bound, as the later ones name it many times: without that, the plan holds
+    hundreds of copies of the first."""
+    nest = lambda raw, normal: bound(strip_symbols(normal), lambda bare: bound(decoded(raw), lambda codes: bound(alias_hits(normal, folded=True), lambda aliases: bound(rebuild_hits(raw), lambda rebuilt: _normal_forms(raw, normal, bare, codes, aliases, rebuilt)))))
+    return bound(c, lambda raw: bound(whitespace(raw), lambda spaced: bound(unicode_chain(spaced), lambda normal: nest(raw, normal))))
+
+
+def _normal_forms(c: Column, normal: Column, bare: Column, codes: Column, aliases: Column, rebuilt: Column) -> Column:
     flag = lambda cond, name: F.when(cond, F.lit(name))
     flags = F.array_compact(F.array(
         flag(confusable(c), "unicode_confusable_detected"),
