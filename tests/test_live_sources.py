@@ -116,3 +116,16 @@ def test_a_writer_that_comes_between(spark, tmp_path, monkeypatch):
         store.publish(base.limit(5), 1)
     monkeypatch.undo()
     assert store.versions() == [1, 2] and store.read().count() == 3
+
+
+def test_a_large_registry_is_saved_in_several_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(D, "LOT", 7)
+    rows = [(f"a{i % 45}", "n", "exact", f"v{i}", ["x\ny"], "high", ["owner"], ["exact_match"], True, None, "user") for i in range(50)]
+    registry, path = spark.createDataFrame(rows, A.SCHEMA), f"file://{tmp_path}/saved"
+    D.save_registry(registry.limit(3), path)
+    D.save_registry(registry, path)  # in place of the one before
+    held = spark.read.text(path, wholetext=True).selectExpr("get_json_object(value, '$.asset_count') AS n").collect()
+    assert 1 < len(held) <= 8 and sum(int(r.n) for r in held) == 50
+    assert sorted(map(str, D.load_assets(spark, path, pattern="*.txt").collect())) == sorted(map(str, registry.collect()))
+    D.save_registry(registry.limit(0), path)
+    assert D.load_assets(spark, path, pattern="*.txt").count() == 0

@@ -173,22 +173,22 @@ for _n in ("JOIN9", "SET5"):
 
 
 def brand_files(assets, path, bare: bool = False):
-    """A JSON document per brand: {assets: [..]}, or a bare list that holds rows that are no objects too."""
+    """JSON documents of each brand, of about `D.LOT` assets at most: {assets: [..]}, or a bare list that holds rows that are no objects too."""
     brand = F.element_at("aliases", 1)
-    each = assets.withColumn("brand", brand).groupBy("brand").agg(F.collect_list(F.struct(*A.FIELDS)).alias("assets"))
+    each = D.in_lots(assets.withColumn("brand", brand), "brand").groupBy("brand", "lot").agg(F.collect_list(F.struct(*A.FIELDS)).alias("assets"))
     if bare:
         listed = F.to_json("assets")
-        each.select("brand", F.concat(F.lit('[3, null, "x", [], '), F.substring(listed, F.lit(2), F.length(listed))).alias("value")).write.partitionBy("brand").text(path)
+        each.select("brand", "lot", F.concat(F.lit('[3, null, "x", [], '), F.substring(listed, F.lit(2), F.length(listed))).alias("value")).write.partitionBy("brand", "lot").text(path)
     else:
-        each.write.partitionBy("brand").json(path)
+        each.write.partitionBy("brand", "lot").json(path)
     return path
 
 
 def mixed(spark, d):
     """The parts' assets in one document per brand, with a broken one and one of another kind."""
     path = brand_files(part_assets(spark, d), folder(spark, "mixed"))
-    D.save_text(spark, '{"assets": [', f"{path}/brand=broken/broken.json")
-    D.save_text(spark, '{"assets": [{"asset_id": "no", "value": "no"}]}', f"{path}/brand=other/other.txt")
+    D.save_text(spark, '{"assets": [', f"{path}/brand=broken/lot=0/broken.json")
+    D.save_text(spark, '{"assets": [{"asset_id": "no", "value": "no"}]}', f"{path}/brand=other/lot=0/other.txt")
     return path
 
 

@@ -15,6 +15,9 @@ from veilspark.operators.assets import FIELDS, SCHEMA, merge
 from veilspark.operators.events import SCHEMA as EVENT_SCHEMA
 from veilspark.operators.events import complete, redact
 
+#: Assets in a document of a saved registry, a few megabytes, which one task writes or reads.
+LOT = 10_000
+
 
 class RuleLoadError(ValueError):
     """kind: missing, invalid or shape."""
@@ -92,10 +95,18 @@ def load_assets(spark: SparkSession, path: str, source: str | None = None, patte
     return rows.withColumn("source", F.coalesce("source", F.lit(source))) if source else rows
 
 
+def in_lots(assets: DataFrame, *by: str) -> DataFrame:
+    """The assets with the `lot` of each: as many lots (of each group, if they are grouped) as hold about `LOT` assets each, however large the registry."""
+    most = assets.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    lots = -(-most // LOT)
+    return assets.withColumn("lot", F.pmod(F.xxhash64(*FIELDS), F.lit(lots)))
+
+
 def save_registry(assets: DataFrame, path: str, version: str = "1.0") -> None:
-    """One document {version, asset_count, assets}. A registry is small; its document is one row."""
-    doc = assets.agg(F.to_json(F.struct(F.lit(version).alias("version"), F.count(F.lit(1)).alias("asset_count"), F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("assets"))).alias("value"))
-    doc.coalesce(1).write.mode("overwrite").text(path)
+    """A folder of documents {version, asset_count, assets}, one for each lot, with the count of its own assets; a registry of up to `LOT` assets is one document.
+    An empty registry has none."""
+    each = in_lots(assets).groupBy("lot").agg(F.count(F.lit(1)).alias("asset_count"), F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("assets"))
+    each.select("lot", F.to_json(F.struct(F.lit(version).alias("version"), "asset_count", "assets")).alias("value")).write.mode("overwrite").partitionBy("lot").text(path)
 
 
 def refresh(spark: SparkSession, defaults: str, users: str, path: str) -> DataFrame:
