@@ -574,3 +574,17 @@ def test_pipeline(spark, tmp_path, docs):
     assert set(out) == want and 800 not in out and 801 in out
     assert [f.name for f in corpus_pipeline.drop_near_copies(spark, rows, str(tmp_path)).schema] == ["doc_id", "text", "lang", "source", "n_chars"]
     assert all(n.startswith("op") for n in queries.QUERIES)
+
+
+def test_kneser_ney_sorts_each_order_once(spark, monkeypatch):
+    """A chunk of texts is sorted once per order: contexts are the n-grams before and need no sort of their own."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["a", "b", "c", "dd"], rng.integers(0, 30))) for _ in range(60)] + ["", " "]
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"), order=4)
+    keyed, real = [], kneser_ney.gram_key
+    monkeypatch.setattr(kneser_ney, "gram_key", lambda h: keyed.append(len(h)) or real(h))
+    scorer = kneser_ney.Scorer(model)
+    whole = scorer.score_all(texts)
+    assert keyed == [2, 3, 4]
+    alone = np.vstack([scorer.score_all([t]).to_numpy() for t in texts])
+    assert np.allclose(whole.to_numpy(), alone, rtol=1e-12) and scorer.score_all([]).empty

@@ -69,17 +69,40 @@ def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return w, n
 
 
-def histories(w: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray]:
+def shifted(w: np.ndarray, n: np.ndarray, start) -> np.ndarray:
+    """Of each token what stands before it, start where a text of n tokens begins."""
+    u = np.empty_like(w)
+    u[1:] = w[:-1]
+    u[np.cumsum(n) - n] = start
+    return u
+
+
+def histories(w: np.ndarray, n: np.ndarray, order: int, start=START) -> list[np.ndarray]:
     """The tokens, those before them, those two before and so on."""
-    h, begin = [w], np.cumsum(n) - n
+    h = [w]
     for _ in range(order - 1):
-        u = np.empty_like(w)
-        u[1:] = h[-1][:-1]
-        u[begin] = START
-        h.append(u)
+        h.append(shifted(h[-1], n, start))
     return h
 
 
+def sorted_runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys, in which equal ones come as they like (a stable sort takes some times longer), and where in it each new key is."""
+    order = np.argsort(key)
+    own = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = own[1:] != own[:-1]
+    return order, new
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, a place of each, and of each place the number of its key."""
+    order, new = sorted_runs(key)
+    at = np.empty(len(key), np.int64)
+    at[order] = np.cumsum(new) - 1
+    first = order[new]
+    return key[first], first, at
+
+
 def gram_key(h: list[np.ndarray]) -> np.ndarray:
     """Hash of n-grams; h has their words, the last ones first."""
     key = h[0]
@@ -169,13 +192,12 @@ def places_of(key: np.ndarray, low: np.ndarray, index: np.ndarray) -> np.ndarray
     bits = (len(index) - 1).bit_length() - 1
     top = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
     want, a, b = (key << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), index[top].astype(np.int64), index[top + 1].astype(np.int64)
-    end = b
-    for _ in range(int((b - a).max(initial=0)).bit_length()):
-        mid = (a + b) >> 1
-        less = (a < b) & (low[np.minimum(mid, len(low) - 1)] < want)
-        a, b = np.where(less, mid + 1, a), np.where(less, b, np.where(a < b, mid, b))
-    hit = (a < end) & (low[np.minimum(a, len(low) - 1)] == want) if len(low) else np.zeros(len(key), bool)
-    return np.where(hit, a, -1)
+    if not len(low):
+        return np.full(len(key), -1)
+    for bit in reversed(range(int((b - a).max(initial=0)).bit_length())):
+        then = a + (1 << bit)
+        a = np.where((then <= b) & (low.take(then - 1, mode="clip") < want), then, a)
+    return np.where((a < b) & (low.take(a, mode="clip") == want), a, -1)
 
 
 def tabled(kind: str, key: np.ndarray, rows: np.ndarray, ones: list[int]) -> dict[str, np.ndarray]:
@@ -264,10 +286,9 @@ def _pieces(kind: str, key: np.ndarray, n: np.ndarray, shards: int) -> pd.DataFr
     return pd.DataFrame(rows, columns=["kind", "shard", "key", "more", "n"])
 
 
-def _gram_pieces(h: list[np.ndarray], n: np.ndarray, words: np.ndarray, layout: Layout) -> pd.DataFrame:
-    """One row per shard of n-grams: key has the words in them; more the places in key of all last words, of all words before (ascending, as steps) and so on. words has all of them, ascending."""
-    shard = layout.gram(h[1], h[0])
-    at = np.array([np.searchsorted(words, x) for x in h], np.int32)
+def _gram_pieces(at: np.ndarray, n: np.ndarray, words: np.ndarray, layout: Layout) -> pd.DataFrame:
+    """One row per shard of n-grams: key has the words in them; more the places in key of all last words, of all words before (ascending, as steps) and so on. words has all of them, ascending, at their places in it, the last words first."""
+    shard = layout.gram(words[at[1]], words[at[0]])
     order = np.lexsort((at[0], at[1], shard))
     at, n, shard = at[:, order], n[order], shard[order]
     begin = np.searchsorted(shard, np.arange(layout.shards + 1)).tolist()
@@ -308,12 +329,13 @@ def _runs(layout: Layout, order: int):
         def flush() -> Iterator[pd.DataFrame]:
             w, n = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            word, count = np.unique(w, return_counts=True)
-            yield _pieces("word", word, count, layout.shards)
-            h = histories(w, n, order)
-            _, first, count = np.unique(gram_key(h), return_index=True, return_counts=True)
-            h = [c[first] for c in h]
-            yield _gram_pieces(h, count, np.union1d(word, START), layout)
+            words, _, at = distinct(np.append(w, START))
+            count = np.bincount(at[:-1], minlength=len(words))
+            yield _pieces("word", words[count > 0], count[count > 0], layout.shards)
+            h = histories(at[:-1].astype(np.int32), n, order, at[-1])
+            sort, new = sorted_runs(gram_key([words[c] for c in h]))
+            count = np.diff(np.flatnonzero(new), append=len(new))
+            yield _gram_pieces(np.array([c[sort[new]] for c in h]), count, words, layout)
 
         for x in batches:
             for _, part in chunks(x.text.tolist(), COUNTED_CHARS):
@@ -353,7 +375,7 @@ def _merge_runs(shards: int, folder: str, order: int):
             return _pieces("count", *summed(_joined(x.key), n), shards)
         h, arrays, stat = _grams(x, order), {}, np.zeros(3 + 4 * order)
         for k in range(order, 1, -1):
-            key, first, at = np.unique(gram_key(h), return_index=True, return_inverse=True)
+            key, first, at = distinct(gram_key(h))
             n = np.bincount(at, n, len(key)).astype(np.int64)
             h = [c[first] for c in h]
             arrays |= tabled(f"gram{k}", key, n[:, None], ONES["gram"])
@@ -442,6 +464,7 @@ class Scorer:
     def look_up(self, kind: str, key: np.ndarray, shard: np.ndarray, width: int) -> np.ndarray:
         """Rows of ascending distinct keys in their shards; zeros where there is none."""
         out = np.zeros((len(key), width), np.int64)
+        shard = narrow(shard)  # up to 16 bits are sorted by counting
         order = np.argsort(shard, kind="stable")
         at = np.searchsorted(shard[order], np.arange(self.model.shards + 1)).tolist()
         for s in range(self.model.shards):
@@ -456,37 +479,41 @@ class Scorer:
                 out[mine[spot >= 0]] = ONES[kind.rstrip("0123456789")]
         return out
 
-    def contexts(self, k: int, h: list[np.ndarray]) -> np.ndarray:
-        """Total and followers seen once, twice and more often, of the contexts of more than one word that h has."""
-        key, first, at = np.unique(gram_key(h), return_index=True, return_inverse=True)
-        last, layout = h[0][first], self.model.layout
+    def contexts(self, k: int, key: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Total and followers seen once, twice and more often, of contexts of more than one word, by their hashes and last words."""
+        layout = self.model.layout
         spread, out = layout.spread(last), np.zeros((len(key), 4), np.int64)
         for part in range(int(spread.max(initial=0))):
             some = np.flatnonzero(spread > part)
             out[some] += self.look_up(f"context{k}", key[some], layout.shard(last[some], part), 4)
-        return out[at]
+        return out
 
     def score_all(self, texts: list[str]) -> pd.DataFrame:
+        """All numbers that follow from a word, an n-gram or a context are made once for each distinct one. A context is the n-gram before, so that it needs no sort
+        of its own; one of start tokens alone is put behind all others for that."""
         m = self.model
         w, lens = tokens_of(texts)
-        h = histories(w, lens, m.order)
-        w, u = h[:2]
-        words, at = np.unique(np.concatenate([w, u]), return_inverse=True)
+        h = [np.append(c, START) for c in histories(w, lens, m.order)]
+        words, _, at = distinct(h[0])
         table = self.look_up("word", words, shard_of(words, m.shards), 6)
-        own, before = table[at[: len(w)]], table[at[len(w) :]]
-        follows, word_d = own[:, 1], np.array([0, *m.word_d])
-        p = np.maximum(follows - word_d[np.minimum(follows, 3)], 0) / max(1, m.pairs) + m.left / (m.types + 1)
+        word_d, own = np.array([0, *m.word_d]), at[:-1]
+        p = (np.maximum(table[:, 1] - word_d[np.minimum(table[:, 1], 3)], 0) / max(1, m.pairs) + m.left / (m.types + 1))[own]
+        base, known = np.log10((table[:, 0] + 0.5) / (m.tokens + 0.5 * (m.types + 1)))[own], (table[:, 0] > 0)[own].astype(np.int64)
+        context = table[:, 2:6]
         for k in range(2, m.order + 1):
-            grams, first, at = np.unique(gram_key(h[:k]), return_index=True, return_inverse=True)
-            c = self.look_up(f"gram{k}", grams, m.layout.gram(u[first], w[first]), 1)[at, 0]
-            context, d = before[:, 2:6] if k == 2 else self.contexts(k, h[1:k]), np.array([0, *m.gram_d[k]])
-            total = context[:, 0]
+            before = shifted(at[:-1], lens, at[-1])
+            grams, first, at = distinct(gram_key(h[:k]))
+            last = h[0][first]
+            c = self.look_up(f"gram{k}", grams, m.layout.gram(h[1][first], last), 1)[:, 0]
+            d, total = np.array([0, *m.gram_d[k]]), context[:, 0]
             some = np.maximum(total, 1)
-            p = np.where(total > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / some + context[:, 1:] @ d[1:] / some * p, p)
-        base = np.log10((own[:, 0] + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
+            rest, total, some = (context[:, 1:] @ d[1:] / some)[before], total[before], some[before]
+            p = np.where(total > 0, np.maximum(c - d[np.minimum(c, 3)], 0)[at[:-1]] / some + rest * p, p)
+            if k < m.order:
+                context = self.contexts(k + 1, grams, last)
         first = np.cumsum(lens) - lens
         total_of = lambda v: np.add.reduceat(v, first) if len(first) else v[:0]
-        return pd.DataFrame({"n_tokens": lens, "n_known": total_of((own[:, 0] > 0).astype(np.int64)), "base_score": total_of(base), "score": total_of(np.log10(p))})
+        return pd.DataFrame({"n_tokens": lens, "n_known": total_of(known), "base_score": total_of(base), "score": total_of(np.log10(p))})
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "lm") -> DataFrame:
